@@ -83,23 +83,46 @@ def components(edges: DataFrame) -> DataFrame:
     cur = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "cc")
+    mark = _mark(cur)
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        large = written(large, "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u")
-                 .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        nxt = written(small, "cc")
-        moved = nxt.exceptAll(cur).limit(1).count() + cur.exceptAll(nxt).limit(1).count()
-        dropped(large)
-        dropped(cur)
-        cur = nxt
-        if not moved:
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        nxt = written(
+            large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            .where("u <> v").distinct(), "cc")
+        for old in (cur, low, large, least):
+            dropped(old)
+        cur, before = nxt, mark
+        mark = _mark(cur)
+        if mark == before:
             break
     out = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cur.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return out.union(roots)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.select(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Runs of equal keys in a partition sorted by key, each whole; memory is one run and one batch."""
+    import numpy as np
+
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+        start = 0
+        for end in cut.tolist():
+            yield batch.slice(start, end - start)
+            start = end
+        rest = batch.slice(start)
+    if rest is not None and rest.num_rows:
+        yield rest
