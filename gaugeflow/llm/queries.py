@@ -28,6 +28,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_docs import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn_profiles
 
@@ -56,6 +62,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op7_language_id, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_minhash, op7_language_id, op9_secret_scan, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
