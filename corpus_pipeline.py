@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import bpe, decontam, langid, secrets
+from gaugeflow.llm import bpe, decontam, langid, near_docs, secrets
 from gaugeflow.llm.common import written
 
 
@@ -18,6 +18,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.learn_profiles(docs))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, Jaccard 0.8)."""
+    return near_docs.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -35,6 +40,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
     ("decontamination", decontaminate),
     ("secret_scan", secret_scan),
     ("bpe", bpe_encode),
