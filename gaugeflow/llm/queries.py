@@ -42,6 +42,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, learn_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    return score_toxicity(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, joined
 
@@ -62,6 +70,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_minhash, op7_language_id, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_minhash, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
