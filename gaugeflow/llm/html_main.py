@@ -154,7 +154,7 @@ def content_odds(b: Block) -> float:
     n, words = len(b.text), b.text.count(" ") + 1
     share = b.linked / n
     own = b.node.odds + _OWN.get(b.node.name, 0.0)
-    return own + min(2.0, math.log1p(words) / 2) - 1.0 - 4.0 * share
+    return own + min(2.0, math.log1p(words) / 2) - 0.6 - 4.0 * share
 
 
 def content_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:

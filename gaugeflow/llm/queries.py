@@ -34,6 +34,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_main import extract_main
 
@@ -76,6 +82,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_minhash, op6_html_main, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_minhash, op5_pivot_index, op6_html_main, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
