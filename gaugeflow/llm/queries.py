@@ -21,6 +21,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -82,6 +88,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op4_minhash, op5_pivot_index, op6_html_main, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_sharding, op4_minhash, op5_pivot_index, op6_html_main, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
