@@ -34,10 +34,12 @@ MANTISSA_BITS = 10
 BAND = 6
 EMPTY = 0xFFFF
 #: Star rounds before the remaining pairs are tried in blocks, and members in a block.
-STARS = 3
-BLOCK = 128
+STARS = 2
+BLOCK = 512
+#: Sets up to this size go whole into the blocks (4 bytes a shingle) beside their registers.
+SMALL = 256
 #: Standard deviations that an estimate may lie below the threshold before the pair is dropped unverified.
-SLACK = 6.0
+SLACK = 5.0
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -102,48 +104,75 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.where(full, out, EMPTY).astype(np.uint16)
 
 
+def _borrowing() -> np.ndarray:
+    """For each register, the registers it borrows from while it is empty, in order of trial."""
+    place = np.arange(1 << REGISTER_BITS, dtype=np.uint64)
+    turn = np.arange(TRIALS, dtype=np.uint64)[:, None]
+    with np.errstate(over="ignore"):
+        return (_mixed(place * np.uint64(0x9E3779B97F4A7C15) + turn * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) >> np.uint64(64 - REGISTER_BITS)).astype(np.int64)
+
+
+TRIALS = 1024
+_BORROW = _borrowing()
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Empty registers take the value of the first filled one in their order of trial (Shrivastava 2017), so that
+    two sets agree in any register with probability equal to their similarity, however small they are."""
+    full = regs != EMPTY
+    empty = np.flatnonzero(~full)
+    out = regs.copy()
+    for trials in (64, TRIALS):
+        if not len(empty) or not full.any():
+            break
+        tried = full[_BORROW[:trials, empty]]
+        first, found = tried.argmax(0), tried.any(0)
+        out[empty[found]] = regs[_BORROW[first[found], empty[found]]]
+        empty = empty[~found]
+    return out
+
+
 def band_keys(regs: np.ndarray) -> list[int]:
-    """A key for each band that has a filled register."""
-    keys = []
-    for b in range(len(regs) // BAND):
-        part = regs[b * BAND : (b + 1) * BAND]
-        if (part != EMPTY).any():
-            keys.append(xxhash.xxh3_64_intdigest(part.tobytes(), seed=b + 1) - (1 << 63))
-    return keys
-
-
-def passes_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether each pair's Jaccard estimate, less the collisions expected by chance, may reach threshold."""
-    filled = ((a != EMPTY) | (b != EMPTY)).sum(1)
-    same = ((a == b) & (a != EMPTY)).sum(1)
+    """A key for each band of densified registers."""
+    dense = densified(regs)
+    return [xxhash.xxh3_64_intdigest(dense[b * BAND : (b + 1) * BAND].tobytes(), seed=b + 1) - (1 << 63) for b in range(len(regs) // BAND)]
+
+
+def passes_estimate(same: np.ndarray, filled: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each pair's Jaccard estimate, less the collisions expected by chance, may reach threshold. same: registers that
+    are filled and equal; filled: registers that either fills. The filled registers are a sample without replacement
+    of the union, whose size follows from the set sizes at the threshold; hence the finite-population factor."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     ratio = large / np.maximum(small, 1)
     chance = 0.169919487159739 * 2.0 ** -MANTISSA_BITS * (4 * ratio / (1 + ratio) ** 2) * filled
-    jaccard = np.maximum(same - chance, 0) / np.maximum(filled, 1)
-    return (jaccard >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))) & (small >= threshold * large)
+    union = (n_a + n_b) / (1 + threshold)
+    share = np.clip(1 - filled / np.maximum(union, 1), 0.02, 1.0)
+    slack = SLACK * np.sqrt(threshold * (1 - threshold) * share / np.maximum(filled, 1)) + 2 / np.maximum(filled, 1)
+    return (np.maximum(same - chance, 0) / np.maximum(filled, 1) >= threshold - slack) & (small >= threshold * large)
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, digest, regs, bands) for each row with an id."""
+    """(id, n, digest, regs, small, bands) for each row; small is the set itself, in 32 bits each, where it is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                n, digest, regs, bands = [], [], [], []
+                n, digest, regs, small, bands = [], [], [], [], []
                 for raw in part.column(1).to_pylist():
                     h = shingle_hashes(raw, shingle)
                     r = registers(h)
                     n.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     regs.append(r.tobytes())
+                    small.append((h >> np.uint64(32)).astype(np.uint32).tobytes() if len(h) <= SMALL else b"")
                     bands.append(band_keys(r) if len(h) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "regs", "bands"])
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), pa.array(small, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["id", "n", "digest", "regs", "small", "bands"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary"))
-    return map_batches(rows, run, "id bigint, n bigint, digest binary, regs binary, bands array<bigint>")
+    return map_batches(rows, run, "id bigint, n bigint, digest binary, regs binary, small binary, bands array<bigint>")
 
 
 def _regs(column) -> np.ndarray:
@@ -156,7 +185,11 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = passes_estimate(_regs(batch.column("r_a")), _regs(batch.column("r_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), threshold) if batch.num_rows else []
+            ok = []
+            if batch.num_rows:
+                a, b = _regs(batch.column("r_a")), _regs(batch.column("r_b"))
+                same, filled = ((a == b) & (a != EMPTY)).sum(1), ((a != EMPTY) | (b != EMPTY)).sum(1)
+                ok = passes_estimate(same, filled, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
@@ -185,6 +218,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b"), run, "a bigint, b bigint")
 
 
+def _intersections(sets: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of the small sets of a block (rows of large sets are 0)."""
+    sizes = np.array([len(x) // 4 for x in sets])
+    every = np.frombuffer(b"".join(sets), np.uint32)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    values, where, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(shared), 8192):
+        own = (place[where] >= at) & (place[where] < at + 8192)
+        m = np.zeros((len(sets), min(8192, len(shared) - at)), np.float32)
+        m[row[own], place[where][own] - at] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
 def _in_blocks(members: DataFrame, sizes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs of one bucket and different components whose estimate may reach the threshold. A bucket of
     n members is cut into n / BLOCK chunks by id; a task sees two chunks at a time."""
@@ -193,19 +244,28 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, sketches: DataFrame, thresh
     dealt = (members.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", own)
              .select("id", "component", "key", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
              .select("id", "component", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g")))
-    rows = dealt.join(sketches.select("id", "n", "regs"), "id").select("g", "id", "component", "n", "regs")
+    rows = dealt.join(sketches.select("id", "n", "regs", "small"), "id").select("g", "id", "component", "n", "regs", "small")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
             ids, comp, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
+            if comp.min() == comp.max():
+                continue
             regs = _regs(group.column("regs"))
+            full = regs != EMPTY
+            mask, count = full.astype(np.float32), full.sum(1)
+            other = np.where(full, regs, EMPTY - 1)  # an empty register equals none
+            common = _intersections(group.column("small").to_pylist())
             for i in range(len(ids) - 1):
                 j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+                if len(j) and n[i] <= SMALL:  # exact, but for 32-bit collisions
+                    inter = common[i][j]
+                    j = j[(n[j] > SMALL) | (inter >= threshold * (n[i] + n[j] - inter) - 1e-6)]
                 if len(j):
-                    j = j[passes_estimate(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j], threshold)]
+                    filled = count[i] + count[j] - (mask[j] @ mask[i]).astype(np.int64)
+                    j = j[passes_estimate((other[j] == regs[i]).sum(1), filled, np.full(len(j), n[i]), n[j], threshold)]
                 if len(j):
-                    a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
 
     return map_batches(rows.repartition("g").sortWithinPartitions("g"), run, "a bigint, b bigint").where("a <> b").distinct()
 
@@ -220,7 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = written(some.select("id", "digest").join(heads.where("copies > 1"), "digest").select("id", "head").where("id <> head"), "copies")
     reps = written(
         some.join(heads.select("digest", "head"), "digest").where("id = head")
-        .groupBy("id", "digest").agg(F.any_value(F.struct("n", "regs", "bands")).alias("x")).select("id", "x.n", "x.regs", "x.bands"), "reps")
+        .groupBy("id", "digest").agg(F.any_value(F.struct("n", "regs", "small", "bands")).alias("x")).select("id", "x.n", "x.regs", "x.small", "x.bands"), "reps")
     long = reps.select("id", F.explode("bands").alias("key"))
     shared = written(long.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = written(long.join(shared, "key").select("key", "id", "low"), "members")
