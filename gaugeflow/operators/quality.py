@@ -71,6 +71,7 @@ def cumulative_flags(df: DataFrame) -> DataFrame:
     """Changes of cumulative series from the previous row of (product, sensor, role) in time, then source, order."""
     order = Window.partitionBy("product", "sensor", "role").orderBy(F.asc_nulls_last("stamp"), "row_no", "member")
     gone = F.col("is_cumulative")
+    df = df.withColumns({f: F.lit(False) for f in ("flag_documented_change_boundary", "flag_documented_maintenance_or_outage") if f not in df.columns})
     df = df.withColumns({"_v": F.lag("value").over(order), "_wy": F.lag("water_year").over(order)})
     change = F.when(gone, F.col("value") - F.col("_v"))
     boundary = gone & F.col("_wy").isNotNull() & F.col("water_year").isNotNull() & (F.col("_wy") != F.col("water_year"))
@@ -89,7 +90,8 @@ def level_eligibility(df: DataFrame) -> DataFrame:
     clean = reduce(lambda a, b: a & b, [~_on(f) for f in fatal], F.col("stamp").isNotNull() & F.col("value").isNotNull())
     if "segment" in df.columns:
         clean &= F.coalesce(F.col("segment") != OUTSIDE, F.lit(True))
-    return df.withColumn("eligible", clean).withColumn("retains_range_concern", F.col("eligible") & _on("flag_metadata_range_concern"))
+    concern = _on("flag_metadata_range_concern") if "flag_metadata_range_concern" in df.columns else F.lit(False)
+    return df.withColumn("eligible", clean).withColumn("retains_range_concern", F.col("eligible") & concern)
 
 
 def archive_profile(df: DataFrame) -> DataFrame:

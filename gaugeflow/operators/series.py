@@ -47,7 +47,7 @@ def drop_all_copies(df: DataFrame, keys: list[str]) -> DataFrame:
 def contiguous_runs(df: DataFrame, keys: list[str], min_days: int = 1) -> DataFrame:
     """Maximal runs of consecutive days within keys, numbered before the length filter. Days repeated within the keys are dropped first."""
     order = Window.partitionBy(*keys).orderBy("day")
-    one = drop_all_copies(df, keys)
+    one = drop_all_copies(df, [*keys, "day"])
     gap = F.coalesce((F.datediff("day", F.lag("day").over(order)) != 1).cast("int"), F.lit(1))
     runs = one.withColumn("_gap", gap).withColumn("run_no", F.sum("_gap").over(order)).drop("_gap")
     return runs.withColumn("run_days", F.count("*").over(Window.partitionBy(*keys, "run_no"))).where(F.col("run_days") >= min_days)
