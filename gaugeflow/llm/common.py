@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,12 @@ def dropped(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,9 +81,35 @@ def arrow_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges (16 bytes each) up to which one task joins them with a union-find; beyond, stars do.
+ONE_TASK_EDGES = 2_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(find, part), pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
     """Connected components of edges(a long, b long) as (node, component), component the smallest node
-    reachable. Alternating large-star and small-star steps (Kiveris et al. 2014) over written tables:
+    reachable. Up to one_task_edges distinct edges go through a union-find in one task; more through alternating large-star and small-star steps (Kiveris et al. 2014) over written tables:
     each round is two shuffles with map-side minima, O(log n) rounds in practice; a hub with any number
     of neighbours is only ever seen through its minimum, joined back with a splittable join. Self loops
     and null ends are ignored; nodes without edges are absent."""
@@ -84,6 +117,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "cc")
     mark = _mark(cur)
+    if mark[0] <= (ONE_TASK_EDGES if one_task_edges is None else one_task_edges):
+        return map_batches(cur.coalesce(1), _joined, "node bigint, component bigint")
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
