@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import align, coverage, lags, quality, regimes, series
-from .plans import changepoints, contracts, forecast
+from .plans import changepoints, contracts, exploratory, forecast, synthesis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -427,3 +427,69 @@ def ct_table_difference(spark, sf_dir):
     d = daily_levels(spark, sf_dir).select("sensor", "day", "value")
     other = d.where("day <> DATE '1997-03-03'").withColumn("value", F.col("value") + (F.col("day") == "1996-05-05").cast("int"))
     return contracts.table_difference(d, other, ["sensor", "day"], ["value"])
+
+
+@query("""WITH r AS (SELECT CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1), g AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) = 1 THEN 0 ELSE 1 END AS gap FROM r),
+ n AS (SELECT *, sum(gap) OVER (ORDER BY day) AS run_no FROM g), c AS (SELECT 'all__r' || CAST(run_no AS BIGINT) AS run, day, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY run_no) AS n, sum(value) OVER (PARTITION BY run_no) AS s, sum(value) OVER w - value AS l FROM n WINDOW w AS (PARTITION BY run_no ORDER BY day)),
+ q AS (SELECT run, day, i, l * l / i + (s - l) * (s - l) / (n - i) - s * s / n AS gain FROM c WHERE n >= 60 AND i >= 30 AND n - i >= 30) SELECT run, day, i, round(gain / 1e9, 2) AS gain FROM q QUALIFY row_number() OVER (PARTITION BY run ORDER BY gain DESC, i) = 1""")
+def cp_first_split(spark, sf_dir):
+    return changepoints.first_split(_cp_runs(spark, sf_dir), ["run"]).select("run", "day", F.col("i").cast("bigint").alias("i"), F.round(F.col("gain") / 1e9, 2).alias("gain"))
+
+
+@query()
+def st_stationarity(spark, sf_dir):
+    return exploratory.stationarity(_cp_runs(spark, sf_dir), ["run"])
+
+
+@query()
+def st_dependence(spark, sf_dir):
+    return exploratory.dependence(_cp_runs(spark, sf_dir), ["run"])
+
+
+@query()
+def st_decomposition(spark, sf_dir):
+    return exploratory.decomposition(_cp_runs(spark, sf_dir), ["run"], (30,))
+
+
+@query()
+def st_bootstrap_intervals(spark, sf_dir):
+    return lags.bootstrap_intervals(lags.lag_pairs(predictor(spark, sf_dir), response(spark, sf_dir), 3), ["lag"])
+
+
+@query()
+def st_residual_diagnostics(spark, sf_dir):
+    return exploratory.residual_diagnostics(_attempts(spark, sf_dir), ["window", "model"])
+
+
+@query()
+def st_linear_processes(spark, sf_dir):
+    return exploratory.linear_processes(spark)
+
+
+@query()
+def st_leakage_demo(spark, sf_dir):
+    return exploratory.leakage_demo(spark)
+
+
+@query()
+def fc_comparison_uncertainty(spark, sf_dir):
+    return exploratory.comparison_uncertainty(_attempts(spark, sf_dir), ["window"])
+
+
+@query()
+def fc_arima_attempts(spark, sf_dir):
+    """One order at a few origins: a fit is a task of about a second."""
+    origins = series.scheduled_origins(_windows(spark), 180)
+    return forecast.arima_attempts(_grid(spark, sf_dir), origins, {"ar1": forecast.ARIMA["ar1"]}).select("window", "origin", "model", "horizon", F.round("prediction", 0).alias("prediction"), "converged")
+
+
+@query()
+def sy_key_results(spark, sf_dir):
+    a = _attempts(spark, sf_dir)
+    return synthesis.key_results(forecast.select_models(a, ["window"]), forecast.validation_metrics(a, ["window", "model"]), ["window"])
+
+
+@query("""SELECT 'C01' AS claim, 'daily' AS evidence, printf('%d sensors on %d days', count(DISTINCT o_orderpriority), count(DISTINCT CAST(o_orderdate AS DATE))) AS statement FROM orders""")
+def sy_claims(spark, sf_dir):
+    rules = [("C01", "daily", "%d sensors on %d days", [F.count_distinct("sensor"), F.count_distinct("day")], F.col("a0") > 0)]
+    return synthesis.claims({"daily": daily_levels(spark, sf_dir)}, rules)

@@ -190,3 +190,12 @@ def test_streamed_steps(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.flag_gap_before, r.flag_out_of_order_timestamp) for r in spark.table("steps").orderBy("row_no").collect()] == [(False, False), (False, False), (True, False), (False, True)]
+
+
+def test_fixed_seed_fixtures_reproduce_published_values(spark):
+    from gaugeflow.plans import exploratory
+
+    mae = {r.split: r.mae for r in exploratory.leakage_demo(spark).collect()}
+    assert mae["chronological"] == pytest.approx(4.695688886092125, abs=1e-12) and mae["random"] == pytest.approx(2.0226285060748843, abs=1e-12)
+    r = exploratory.linear_processes(spark).where("process = 'ar1' and lag = 2").first()
+    assert r.acf == pytest.approx(0.4837397600894996, abs=1e-12) and r.pacf == pytest.approx(0.0035106076729137033, abs=1e-12)
