@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SENTINELS, is_nonfinite, minutes_between, parse_number, water_year
+from .parts import lag_in_parts
 
+#: Source rows of a member that one task orders.
+PART_ROWS = 1_000_000
 #: Flags that make a level unfit for analysis.
 FATAL = (
     "flag_timestamp_parse_failure", "flag_duplicate_timestamp", "flag_missing_value", "flag_nonfinite_value", "flag_malformed_value",
@@ -26,11 +29,11 @@ def _on(flag: str) -> Column:
 
 def time_flags(df: DataFrame) -> DataFrame:
     """Steps from the immediately previous source row; unparsed stamps break the chain."""
-    order = Window.partitionBy("member").orderBy("row_no")
-    delta = minutes_between(F.lag("stamp").over(order), F.col("stamp"))
+    df = lag_in_parts(df, ["member"], F.floor(F.col("row_no") / PART_ROWS), "row_no", F.struct("stamp"), "_prev")
+    delta = minutes_between(F.col("_prev.stamp"), F.col("stamp"))
     d, e = F.col("delta_min"), F.col("expected_min")
     copies = F.count("*").over(Window.partitionBy("member", "stamp"))
-    return (df.withColumn("delta_min", delta).withColumns({
+    return (df.withColumn("delta_min", delta).drop("_prev").withColumns({
         "water_year": water_year(F.col("stamp")),
         "missing_before": F.greatest(F.when(d > e, F.floor(d / e) - 1).otherwise(0), F.lit(0)).cast("bigint"),
         "flag_timestamp_parse_failure": F.col("stamp").isNull(),

@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import water_year
+from .parts import lag_in_parts
+
+#: Years of a daily series that one task orders.
+PART_YEARS = 10
 
 
 def daily_changes(levels: DataFrame, same_water_year: bool = False, extra: Column | None = None) -> DataFrame:
     """Change from the previous row of the sensor. Eligible only if both days are, they are one day apart, in one segment (and
     water year, and both meet extra); other rows stay with their value."""
-    order = Window.partitionBy("sensor").orderBy("day")
     df = levels.withColumn("_ok", F.col("eligible") & (F.lit(True) if extra is None else F.coalesce(extra, F.lit(False))))
-    prev = F.lag(F.struct("day", "value", "segment", "_ok")).over(order)
-    df = df.withColumn("_p", prev)
+    df = lag_in_parts(df, ["sensor"], F.floor(F.year("day") / PART_YEARS), "day", F.struct("day", "value", "segment", "_ok"), "_p")
     ok = F.col("_ok") & F.col("_p._ok") & (F.datediff("day", "_p.day") == 1) & (F.col("segment") == F.col("_p.segment"))
     if same_water_year:
         ok &= water_year(F.col("day")) == water_year(F.col("_p.day"))

@@ -199,3 +199,16 @@ def test_fixed_seed_fixtures_reproduce_published_values(spark):
     assert mae["chronological"] == pytest.approx(4.695688886092125, abs=1e-12) and mae["random"] == pytest.approx(2.0226285060748843, abs=1e-12)
     r = exploratory.linear_processes(spark).where("process = 'ar1' and lag = 2").first()
     assert r.acf == pytest.approx(0.4837397600894996, abs=1e-12) and r.pacf == pytest.approx(0.0035106076729137033, abs=1e-12)
+
+
+def test_parts_carry_over_like_one_window(spark):
+    from pyspark.sql import Window
+
+    from gaugeflow.operators.parts import lag_in_parts
+
+    rng = np.random.default_rng(8)
+    rows = [(f"k{int(k)}", int(i), None if i % 7 == 0 else float(i)) for k in range(3) for i in rng.choice(100, 40, replace=False)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double")
+    want = {(r.k, r.i): r.p for r in df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("i"))).collect()}
+    got = {(r.k, r.i): r.p for r in lag_in_parts(df, ["k"], F.floor(F.col("i") / 10), "i", F.col("v"), "p").collect()}
+    assert got == want
