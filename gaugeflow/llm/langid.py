@@ -6,7 +6,7 @@ N-grams (1 to 3 characters) are taken within runs of letters, in lower case, wit
 on both sides; an n-gram is packed in 63 bits, and ties of counts go to the smaller packed value.
 
 Training counts all given rows: n-gram counts are gathered in the workers, summed by Spark, and
-the top of each language is cut by a row_number that Spark limits before the shuffle. The profiles on the
+the top of each language is taken from every partition's own top, never gathering a language's n-grams. The profiles on the
 driver are bounded by languages x PROFILE.
 
 Cases: null, empty and letterless texts are `und` with score 0; a tie of distances goes to the smaller
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import dropped, map_batches, written
 
 #: N-grams in a profile, and in a document's own list.
 PROFILE = 300
@@ -132,14 +132,13 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
         yield from flush()
 
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    total = map_batches(rows, run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = total.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
-    ranks: dict[str, list[tuple[int, int]]] = {}
-    for row in top.select("lang", "gram", "r").limit(size * max_languages + 1).collect():
-        ranks.setdefault(row[0], []).append((row[2], row[1]))
-    if len(ranks) > max_languages or sum(map(len, ranks.values())) > size * max_languages:
+    total = written(map_batches(rows, run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    names = [r[0] for r in total.select("lang").distinct().limit(max_languages + 1).collect()]
+    if len(names) > max_languages:
         raise ValueError(f"over {max_languages} languages")
-    return LanguageProfiles({name: [g for _, g in sorted(r)] for name, r in ranks.items()}, size)
+    top = {name: [r[0] for r in total.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).select("gram").collect()] for name in names}
+    dropped(total)
+    return LanguageProfiles(top, size)
 
 
 def identify(df: DataFrame, model: LanguageProfiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
