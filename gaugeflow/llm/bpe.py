@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Words kept with their ids in each Python worker; the memo starts anew beyond it.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 
 
 def _byte_letters() -> list[str]:

@@ -51,7 +51,7 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
