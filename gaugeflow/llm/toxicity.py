@@ -96,10 +96,13 @@ def _distinct(terms: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndar
 
 def _telling(terms: list[np.ndarray], labels: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Places, and their log-odds beyond the bias as first weights, whose share of positive texts chance explains in fewer than one of all places (Chernoff's bound)."""
-    every = np.concatenate(terms)
-    places, where = np.unique(every, return_inverse=True)
-    count = np.bincount(where, minlength=len(places)).astype(float)
-    hits = np.bincount(where, weights=np.repeat(labels, [len(t) for t in terms]), minlength=len(places))
+    count, hits = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+    for t, label in zip(terms, labels):  # a text's places are distinct
+        count[t] += 1
+        if label:
+            hits[t] += 1
+    places = np.flatnonzero(count)
+    count, hits = count[places].astype(float), hits[places].astype(float)
     p = np.clip(hits / np.maximum(count, 1), 1e-12, 1 - 1e-12)
     away = count * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
     keep = (away > np.log(max(len(places), 2))) & (p > rate)
@@ -171,8 +174,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None =
             found = [np.unique(np.array([t for c in set((x or "").lower().split()) for t in memo[c]], np.uint32)).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.string()), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "terms"])
 
-    rows = map_batches(texts, run, "id string, label int, terms binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    return fit([np.frombuffer(t, np.uint32).astype(np.int64) for t in rows.column("terms").to_pylist()], np.array(rows.column("label").to_pylist(), np.float64))
+    rows = map_batches(texts, run, "id string, label int, terms binary").toArrow()
+    order = sorted(zip(rows.column("id").to_pylist(), rows.column("label").to_pylist(), range(rows.num_rows)))
+    terms = rows.column("terms")
+    return fit([np.frombuffer(terms[i].as_py(), np.uint32) for _, _, i in order], np.array([label for _, label, _ in order], np.float64))
 
 
 def score_toxicity(df: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
