@@ -9,7 +9,8 @@ Signatures that occur in two documents are kept. Within a document, windows of d
 passage are joined by their intervals, so that a candidate agrees in at least two of the HASHES functions. Each
 joint signature ties its documents to one of them, and tokens verify each tie: around the
 shared tokens, matches are followed over short gaps, and the two stretches must reach the similarity. A document
-is held against its likeliest partner first; ties that lie in a verified stretch need no other.
+is held against its likeliest partner first; ties that lie in a verified stretch need no other. Then the other holders of a
+signature get a new leader, unless verified stretches cover them all in one component; after LEADS leaders, all pairs left are verified.
 
 A passage that repeats exactly agrees in all functions; one at similarity 0.8 agrees in two of four with probability 0.97.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, dropped, map_batches, released, written
@@ -36,6 +37,8 @@ SHINGLE = 5
 GAP = 12
 #: Turns of verification: in all but the last, each document meets the partner with which it shares most.
 TURNS = 3
+#: Leaders that a signature's holders are held against in turn, before the pairs left are verified all at once.
+LEADS = 3
 #: Ids of copies (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -232,6 +235,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float)
     return map_batches(both, run, "a bigint, b bigint, a0 int, a1 int, b0 int, b1 int, score double")
 
 
+def _merged(spans: str) -> Column:
+    """Sorted (s, e, score) joined where they overlap."""
+    first = F.slice(spans, 1, 1)
+    return F.aggregate(
+        F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))), first,
+        lambda acc, x: F.when(
+            x["s"] <= F.element_at(acc, -1)["e"],
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+                F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"), F.greatest(F.element_at(acc, -1)["score"], x["score"]).alias("score")))))
+        .otherwise(F.concat(acc, F.array(x))))
+
+
+def _sides(every: DataFrame) -> DataFrame:
+    """(head, s, e, score): both stretches of each verified tie."""
+    return every.select(F.col("a").alias("head"), F.col("a0").alias("s"), F.col("a1").alias("e"), "score").unionByName(
+        every.select(F.col("b").alias("head"), F.col("b0").alias("s"), F.col("b1").alias("e"), "score"))
+
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _state(every: DataFrame) -> DataFrame:
+    """(id, spans, component) of the documents in verified ties."""
+    spans = _sides(every).groupBy("head").agg(F.array_sort(F.collect_set(F.struct("s", "e", "score"))).alias("spans")).select(F.col("head").alias("id"), _merged("spans").alias("spans"))
+    return written(spans.join(components(every.select("a", "b")).withColumnRenamed("node", "id"), "id"), "state")
+
+
+def _placed(holders: DataFrame, state: DataFrame) -> DataFrame:
+    """holders(key, id, c) with covered (c lies in a verified stretch) and component."""
+    covered = F.coalesce(F.exists("spans", lambda x: (F.col("c") >= x["s"]) & (F.col("c") <= x["e"])), F.lit(False))
+    return holders.join(state, "id", "left").select("key", "id", "c", covered.alias("covered"), F.coalesce("component", "id").alias("component"))
+
+
+def _still_open(holders: DataFrame, state: DataFrame) -> DataFrame:
+    """The placed holders of the signatures that have a pair neither covered on both sides in one component."""
+    placed = written(_placed(holders, state), "placed")
+    keys = placed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("component").alias("first"), F.max("component").alias("last"), F.bool_and("covered").alias("done"))
+    return written(placed.join(keys.where("lo < hi and not (done and first = last)").select("key"), "key", "left_semi"), "open")
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8) -> DataFrame:
     """(id, start_word, end_word, n_words, score, class_id): the merged stretches of each document that another
     document nearly repeats; class_id is the smallest id reachable over such ties."""
@@ -257,6 +304,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = written(open_.groupBy("key").agg(F.min(F.struct("id", "c")).alias("m"), F.max("id").alias("hi")).where("m.id < hi").select("key", F.col("m.id").alias("b"), F.col("m.c").alias("cb")), "lead")
     tied = written(open_.join(lead, "key").where("id <> b").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "b", "cb"), "tied")
     dropped(lead)
+    holders = written(tied.select("key", F.col("a").alias("id"), F.col("ca").alias("c")), "holders")
     for turn in range(TURNS):
         by_pair = tied.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors"))
         if turn < TURNS - 1:  # the likeliest partner first; what it covers needs no other
@@ -274,26 +322,33 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = written(rest, "tied")
             dropped(by_pair)
             tied = rest
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    sides = every.select(F.col("a").alias("head"), F.col("a0").alias("s"), F.col("a1").alias("e"), "score").unionByName(
-        every.select(F.col("b").alias("head"), F.col("b0").alias("s"), F.col("b1").alias("e"), "score"))
-    ends = sides.select("head", F.col("s").alias("s"), (F.col("e") + SHINGLE).alias("e"), "score")
+    # pairs of holders in different components, or not both covered, that have not met over this signature
+    for lead_no in range(1, LEADS + 1):
+        rest = _still_open(holders, _state(_all(found)))
+        dropped(holders)
+        if rest.isEmpty():
+            break
+        side = lambda x: [F.col("id").alias(x), F.col("c").alias(f"c{x}"), F.col("covered").alias(f"covered_{x}"), F.col("component").alias(f"component_{x}")]
+        if lead_no < LEADS:  # an uncovered leader first
+            head = rest.groupBy("key").agg(F.min(F.struct("covered", "id", "c", "component")).alias("x")).select("key", "x.*")
+            ties = rest.select("key", *side("a")).join(written(head.select("key", *side("b")), "lead"), "key").where("a <> b")
+        else:
+            ties = rest.select("key", *side("a")).join(rest.select("key", *side("b")), "key").where("a > b")
+        unsettled = ties.where("not (covered_a and covered_b and component_a = component_b)")
+        by_pair = written(unsettled.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")), "pairs")
+        found.append(written(_verified(by_pair, reps, least, similarity), "passages"))
+        if lead_no < LEADS:
+            holders = written(ties.select("key", F.col("a").alias("id"), F.col("ca").alias("c")), "holders")
+        dropped(rest)
+        released(df.sparkSession)
+    every = _all(found)
+    ends = _sides(every).select("head", F.col("s").alias("s"), (F.col("e") + SHINGLE).alias("e"), "score")
     words = F.size(F.filter(F.split(F.translate(F.col("text").cast("string"), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
     twins = heads.where("copies > 1")
     whole = written(reps.join(twins.select(F.col("head").alias("id")), "id", "left_semi").select(F.col("id").alias("head"), F.lit(0).alias("s"), words.alias("e"), F.lit(1.0).alias("score")).where(F.col("e") >= min_words), "whole")
     spans = ends.unionByName(whole).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("s", "e", "score"))).alias("spans"))
-    first = F.slice("spans", 1, 1)
-    merged = F.aggregate(
-        F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0))), first,
-        lambda acc, x: F.when(
-            x["s"] <= F.element_at(acc, -1)["e"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"), F.greatest(F.element_at(acc, -1)["score"], x["score"]).alias("score")))))
-        .otherwise(F.concat(acc, F.array(x))))
     component = written(components(every.select("a", "b")).withColumnRenamed("node", "head"), "component")
-    passages = written(spans.select("head", F.explode(merged).alias("p")).select("head", "p.*").join(component, "head", "left"), "merged")
+    passages = written(spans.select("head", F.explode(_merged("spans")).alias("p")).select("head", "p.*").join(component, "head", "left"), "merged")
     members = digests.join(heads, "digest").select("id", "head")
     out = written(members, "members").join(passages, "head")
     return out.select(

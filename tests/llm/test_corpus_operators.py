@@ -224,6 +224,32 @@ def test_planted_passages_and_odd_rows(spark):
     assert substring.repeated_passages(frame(spark, [])).count() == 0
 
 
+def varied(rng, words, changes):
+    out = list(words)
+    for i in rng.sample(range(3, len(words) - 3), changes):
+        out[i] = f"v{rng.randint(0, 10**6)}"
+    return out
+
+
+def test_passages_meet_beside_variants_that_own_their_signatures(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for family in range(12):
+        passage = words(60)
+        for k in range(10):
+            new = list(passage)
+            for i in (rng.randint(10, 25), rng.randint(34, 49)):
+                new[i] = f"v{rng.randint(0, 10**6)}"
+            rows.append((family * 100 + k, " ".join(words(40) + new + words(40))))
+        rows += [(family * 100 + k, " ".join(words(40) + passage + words(40))) for k in (50, 51)]
+    out = substring.repeated_passages(frame(spark, rows)).collect()
+    got, classes = covered(out), {(r.doc_id, r.class_id) for r in out}
+    for family in range(0, 1200, 100):
+        assert all(set(range(40, 100)) <= got[family + k] for k in (50, 51))
+        assert {c for d, c in classes if d == family + 50} & {c for d, c in classes if d == family + 51}
+
+
 def test_pipeline_stages_match_plain_python(spark):
     import corpus_pipeline as cp
     from gaugeflow.llm import bpe, decontam, secrets
