@@ -9,7 +9,8 @@ Signatures that occur in two documents are kept. Within a document, windows of d
 passage are joined by their intervals, so that a candidate agrees in at least two of the HASHES functions. Each
 joint signature ties its documents to one of them, and tokens verify each tie: around the
 shared tokens, matches are followed over short gaps, and the two stretches must reach the similarity. A document
-is held against its likeliest partner first; ties that lie in a verified stretch need no other. Then the other holders of a
+is held against its likeliest partner first; ties that lie in verified stretches of both documents, in one component, need
+no other. Then the other holders of a
 signature get a new leader, unless verified stretches cover them all in one component; after LEADS leaders, all pairs left are verified.
 
 A passage that repeats exactly agrees in all functions; one at similarity 0.8 agrees in two of four with probability 0.97.
@@ -266,10 +267,13 @@ def _state(every: DataFrame) -> DataFrame:
     return written(spans.join(components(every.select("a", "b")).withColumnRenamed("node", "id"), "id"), "state")
 
 
+def _covered(c: str, spans: str) -> Column:
+    return F.coalesce(F.exists(spans, lambda x: (F.col(c) >= x["s"]) & (F.col(c) <= x["e"])), F.lit(False))
+
+
 def _placed(holders: DataFrame, state: DataFrame) -> DataFrame:
     """holders(key, id, c) with covered (c lies in a verified stretch) and component."""
-    covered = F.coalesce(F.exists("spans", lambda x: (F.col("c") >= x["s"]) & (F.col("c") <= x["e"])), F.lit(False))
-    return holders.join(state, "id", "left").select("key", "id", "c", covered.alias("covered"), F.coalesce("component", "id").alias("component"))
+    return holders.join(state, "id", "left").select("key", "id", "c", _covered("c", "spans").alias("covered"), F.coalesce("component", "id").alias("component"))
 
 
 def _still_open(holders: DataFrame, state: DataFrame) -> DataFrame:
@@ -307,18 +311,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holders = written(tied.select("key", F.col("a").alias("id"), F.col("ca").alias("c")), "holders")
     for turn in range(TURNS):
         by_pair = tied.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors"))
-        if turn < TURNS - 1:  # the likeliest partner first; what it covers needs no other
+        if turn < TURNS - 1:  # the likeliest partner first; what is covered in both documents of one component needs no other
             best = by_pair.groupBy("a").agg(F.max_by(F.struct("b", "anchors"), F.struct(F.size("anchors"), -F.col("b"))).alias("x"))
             by_pair = best.select("a", "x.b", "x.anchors")
         by_pair = written(by_pair, "pairs")
         found.append(written(_verified(by_pair, reps, least, similarity), "passages"))
         released(df.sparkSession)
         if turn < TURNS - 1:
-            spans = found[-1].groupBy("a").agg(F.collect_list(F.struct("a0", "a1")).alias("spans"))
-            tried = by_pair.select("a", F.col("b").alias("done"))
-            rest = (tied.join(written(tried.join(spans, "a", "left"), "covered"), "a", "left")
-                    .where(~F.coalesce(F.col("b") == F.col("done"), F.lit(False)) & ~F.coalesce(F.exists("spans", lambda x: (F.col("ca") >= x["a0"]) & (F.col("ca") <= x["a1"])), F.lit(False)))
-                    .select("key", "a", "ca", "b", "cb"))
+            state = _state(_all(found))
+            of = lambda x: state.select(F.col("id").alias(x), F.col("spans").alias(f"spans_{x}"), F.col("component").alias(f"component_{x}"))
+            settled = F.coalesce((F.col("component_a") == F.col("component_b")) & _covered("ca", "spans_a") & _covered("cb", "spans_b"), F.lit(False))
+            rest = (tied.join(by_pair.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+                    .where(~settled).select("key", "a", "ca", "b", "cb"))
             rest = written(rest, "tied")
             dropped(by_pair)
             tied = rest

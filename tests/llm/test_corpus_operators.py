@@ -250,6 +250,21 @@ def test_passages_meet_beside_variants_that_own_their_signatures(spark):
         assert {c for d, c in classes if d == family + 50} & {c for d, c in classes if d == family + 51}
 
 
+def test_covered_tie_still_counts_for_its_other_document(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for family in range(0, 1200, 100):
+        passage = words(200)
+        near = lambda places: [f"v{rng.randint(0, 10**6)}" if i in places else w for i, w in enumerate(passage)]
+        low, high = near((40, 90, 140)), near((65, 115, 165))  # 0.86 to the passage, 0.74 to each other
+        rows += [(family + k, " ".join(words(30) + x + words(30))) for k, x in enumerate((low, high, passage))]
+    anywhere = lambda x, y: substring.similar_stretches(*(substring.tokens_of(t.encode()) for t in (x, y)), [(i, i) for i in range(26, 226)], 150, 0.8)
+    assert anywhere(rows[2][1], rows[1][1]) and not anywhere(rows[1][1], rows[0][1])
+    got = covered(substring.repeated_passages(frame(spark, rows), min_words=154).collect())
+    assert set(got) == {r[0] for r in rows}
+
+
 def test_pipeline_stages_match_plain_python(spark):
     import corpus_pipeline as cp
     from gaugeflow.llm import bpe, decontam, secrets
