@@ -22,6 +22,7 @@ are ignored. Offsets are words, runs of [^\\x20\\x09-\\x0D]; the end is exclusiv
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,21 +171,77 @@ def _around(where: np.ndarray, ends: np.ndarray, at: int) -> tuple[int, int]:
     return int(where[ends[k - 1]] if k else where[0]), int(where[ends[k] - 1])
 
 
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = np.unique(a), np.unique(b)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
+
+
+def _chain(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the longest chain of equal tokens that rises in both; a token that b repeats counts where it is nearest to its place in a plus shift."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    i = np.flatnonzero(lo < hi)
+    j = order[lo[i]]
+    for k in np.flatnonzero(hi[i] - lo[i] > 1).tolist():
+        places = order[lo[i[k]] : hi[i[k]]]
+        j[k] = places[np.argmin(np.abs(places - (i[k] + shift)))]
+    if (np.diff(j) > 0).all():
+        return i, j
+    tails, ends, back = [], [], np.empty(len(j), np.int64)
+    for k, v in enumerate(j.tolist()):
+        at = bisect_left(tails, v)
+        back[k] = ends[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(v)
+            ends.append(k)
+        else:
+            tails[at], ends[at] = v, k
+    keep, k = [], ends[-1]
+    while k >= 0:
+        keep.append(k)
+        k = int(back[k])
+    keep.reverse()
+    return i[keep], j[keep]
+
+
+def _similar_parts(a: np.ndarray, b: np.ndarray, shift: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """The maximal parts of at least `least` tokens that are similar enough, where a and b are not as a whole. A part of the chain from m to k is
+    similar if (1 + similarity) * matches >= similarity * (tokens of both), so that a sum of steps is not negative: the earliest m of each k is
+    the first whose sum is low enough."""
+    i, j = _chain(a, b, shift)
+    if (1 + similarity) * len(i) < 2 * similarity * least:
+        return []
+    total = np.cumsum(np.append(1 - similarity, 1 + similarity - similarity * (np.diff(i) + np.diff(j))))
+    first = np.searchsorted(-np.minimum.accumulate(total), -(total + 1 - similarity + 1e-9))
+    long = np.flatnonzero((np.minimum(i - i[first], j - j[first]) + 1) >= least)
+    out, past = [], len(i)
+    for k in long[::-1].tolist():
+        m = int(first[k])
+        if m >= past:  # lies in a part with a later end
+            continue
+        part = int(i[m]), int(i[k]), int(j[m]), int(j[k])
+        score = _similarity(a[part[0] : part[1] + 1], b[part[2] : part[3] + 1])
+        if score >= similarity:
+            out.append((*part, score))
+            past = m
+    return out
+
+
 def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """Stretches [a0, a1] and [b0, b1] of tokens around shared ones that are similar enough. Matches of the whole texts are
-    found once; anchors in the same pair of stretches are tried once. Where a stretch is not similar as a whole, an equal run
-    of at least `least` tokens still counts."""
+    found once; anchors in a pair of stretches are tried once, and no more where what was found covers both places. Where a stretch is not
+    similar as a whole, its maximal similar parts count, and an equal run of at least `least` tokens."""
     in_a, in_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
     ends_a, ends_b = _parts(in_a), _parts(in_b)
     out: list[tuple[int, int, int, int, float]] = []
-    tried: dict[tuple[int, int], bool] = {}
+    tried: list[tuple[int, int, int, int]] = []
     for ca, cb in anchors:
-        if ca >= len(a) or cb >= len(b) or a[ca] != b[cb] or any(p <= ca <= q for p, q, *_ in out):
+        if ca >= len(a) or cb >= len(b) or a[ca] != b[cb] or any(x[0] <= ca <= x[1] for x in out) and any(x[2] <= cb <= x[3] for x in out):
             continue
-        (a0, a1), (b0, b1) = _around(in_a, ends_a, ca), _around(in_b, ends_b, cb)
-        key = (a0, b0)
-        if key not in tried:
-            found = None
+        if not any(p <= ca <= q and r <= cb <= t for p, q, r, t in tried):
+            (a0, a1), (b0, b1) = _around(in_a, ends_a, ca), _around(in_b, ends_b, cb)
+            before = len(out)
             if min(a1 - a0, b1 - b0) + 1 >= least:
                 for _ in range(3):  # both sides shrink to what matches in the other
                     w = np.flatnonzero(np.isin(a[a0 : a1 + 1], b[b0 : b1 + 1])) + a0
@@ -194,14 +251,12 @@ def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int
                     if (*na, *nb) == (a0, a1, b0, b1):
                         break
                     a0, a1, b0, b1 = *na, *nb
-                x, y = np.unique(a[a0 : a1 + 1]), np.unique(b[b0 : b1 + 1])
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                score = common / (len(x) + len(y) - common)
-                if score >= similarity and min(a1 - a0, b1 - b0) + 1 >= least:
-                    found = (a0, a1, b0, b1, score)
-            tried[key] = found is not None
-            if found:
-                out.append(found)
+                if min(a1 - a0, b1 - b0) + 1 >= least:
+                    score = _similarity(a[a0 : a1 + 1], b[b0 : b1 + 1])
+                    parts = [(0, a1 - a0, 0, b1 - b0, score)] if score >= similarity else _similar_parts(a[a0 : a1 + 1], b[b0 : b1 + 1], cb - b0 - ca + a0, least, similarity)
+                    out += [(p + a0, q + a0, r + b0, t + b0, x) for p, q, r, t, x in parts]
+            tried.append((a0, a1, b0, b1))
+            if any(p <= ca <= q and r <= cb <= t for p, q, r, t, _ in out[before:]):
                 continue
         j = _equal_run(a[ca:], b[cb:])
         i = _equal_run(a[ca::-1], b[cb::-1])

@@ -265,6 +265,29 @@ def test_covered_tie_still_counts_for_its_other_document(spark):
     assert set(got) == {r[0] for r in rows}
 
 
+def test_similar_parts_of_a_longer_edited_copy():
+    rng = random.Random(13)
+    for _ in range(20):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        # a change every 10 words around 100 words with two changes
+        places = [*range(4, 100, 10), 133, 167, *range(204, 300, 10)]
+        texts = words, [f"v{rng.randint(0, 10**6)}" if i in places else w for i, w in enumerate(words)]
+        a, b = (substring.tokens_of(" ".join(x).encode()) for x in texts)
+        anchors = [(i, i) for i in np.flatnonzero(a == b).tolist()]
+        got = set()
+        for a0, a1, b0, b1, score in substring.similar_stretches(a, b, anchors, 46, 0.8):
+            x, y = set(a[a0 : a1 + 1].tolist()), set(b[b0 : b1 + 1].tolist())
+            assert score == len(x & y) / len(x | y) >= 0.8 and min(a1 - a0, b1 - b0) + 1 >= 46
+            got.update(range(a0, a1 + 1))
+        want = set()
+        for p in range(len(a)):  # brute force over all parts of equal places
+            for q in range(p + 45, len(a)):
+                same = int((a[p : q + 1] == b[p : q + 1]).sum())
+                if a[p] == b[p] and a[q] == b[q] and same >= 0.8 * (2 * (q - p + 1) - same):
+                    want.update(range(p, q + 1))
+        assert want <= got and set(range(100, 196)) <= got
+
+
 def test_pipeline_stages_match_plain_python(spark):
     import corpus_pipeline as cp
     from gaugeflow.llm import bpe, decontam, secrets
