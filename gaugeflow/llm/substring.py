@@ -120,14 +120,14 @@ def signatures(df: DataFrame, least: int) -> DataFrame:
 
 
 def _joint(hits: DataFrame, least: int) -> DataFrame:
-    """(key, id, c) of the windows of one document that hold a common passage, two by two."""
+    """(key, id, c) of the windows of one document that hold a common passage, two by two; c has all places of the key."""
     per_doc = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, keys, cs = [], [], []
+                ids, keys, cs, sizes = [], [], [], []
                 flat = part.column("w")
                 values = flat.flatten()
                 place, key = (values.field(x).to_numpy(zero_copy_only=False) for x in ("place", "key"))
@@ -136,6 +136,7 @@ def _joint(hits: DataFrame, least: int) -> DataFrame:
                 begin = np.cumsum([0, *flat.value_lengths().to_pylist()])
                 for d, doc in enumerate(part.column("id").to_pylist()):
                     a, b = begin[d], begin[d + 1]
+                    own_keys, own_cs = [], []
                     for step in range(1, b - a):
                         i, j = slice(a, b - step), slice(a + step, b)
                         lo, hi = np.maximum(l[i], l[j]), np.minimum(r[i], r[j])
@@ -143,15 +144,27 @@ def _joint(hits: DataFrame, least: int) -> DataFrame:
                         ok = np.flatnonzero(near & (hi - lo + 1 >= least) & (key[i] != key[j]))
                         if len(ok):
                             x, y = np.minimum(key[i][ok], key[j][ok]), np.maximum(key[i][ok], key[j][ok])
-                            keys.append(_mixed(_mixed(x.astype(np.uint64)) + y.astype(np.uint64)).view(np.int64))
-                            ids.append(np.full(len(ok), doc))
-                            cs.append(c[i][ok].astype(np.int32))
+                            own_keys.append(_mixed(_mixed(x.astype(np.uint64)) + y.astype(np.uint64)).view(np.int64))
+                            own_cs.append(c[i][ok].astype(np.int32))
                         if step >= 4 * HASHES and not near.any():
                             break
+                    if own_keys:
+                        k, at_c = np.concatenate(own_keys), np.concatenate(own_cs)
+                        order = np.lexsort((at_c, k))
+                        k, at_c = k[order], at_c[order]
+                        new = np.append(True, (k[1:] != k[:-1]) | (at_c[1:] != at_c[:-1]))
+                        k, at_c = k[new], at_c[new]
+                        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                        keys.append(k[first])
+                        ids.append(np.full(len(first), doc))
+                        cs.append(at_c)
+                        sizes.append(np.diff(np.append(first, len(k))))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, cs)], names=["key", "id", "c"])
+                    ends = pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32())
+                    places = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cs)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids), pa.int64()), places], names=["key", "id", "c"])
 
-    return map_batches(per_doc, run, "key bigint, id bigint, c int")
+    return map_batches(per_doc, run, "key bigint, id bigint, c array<int>")
 
 
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -279,7 +292,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float)
                         memo.clear()
                     memo[tb] = tokens_of(tb)
                 a, b = tokens_of(ta.as_py()), memo[tb]
-                rows += [(x, y, *found) for found in similar_stretches(a, b, [(s["ca"], s["cb"]) for s in anchors.as_py()], least, similarity)]
+                rows += [(x, y, *found) for found in similar_stretches(a, b, [(ca, cb) for s in anchors.as_py() for ca in s["ca"] for cb in s["cb"]], least, similarity)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()])], names=["a", "b", "a0", "a1", "b0", "b1", "score"])
 
@@ -323,11 +336,12 @@ def _state(every: DataFrame) -> DataFrame:
 
 
 def _covered(c: str, spans: str) -> Column:
-    return F.coalesce(F.exists(spans, lambda x: (F.col(c) >= x["s"]) & (F.col(c) <= x["e"])), F.lit(False))
+    """All places in c lie in spans."""
+    return F.coalesce(F.forall(c, lambda p: F.exists(spans, lambda x: (p >= x["s"]) & (p <= x["e"]))), F.lit(False))
 
 
 def _placed(holders: DataFrame, state: DataFrame) -> DataFrame:
-    """holders(key, id, c) with covered (c lies in a verified stretch) and component."""
+    """holders(key, id, c) with covered (all of c lies in verified stretches) and component."""
     return holders.join(state, "id", "left").select("key", "id", "c", _covered("c", "spans").alias("covered"), F.coalesce("component", "id").alias("component"))
 
 
@@ -355,8 +369,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = written(pairs.join(multi, "key"), "hits")
     dropped(windows)
     dropped(multi)
-    joint = _joint(hits, least).groupBy("key", "id").agg(F.min("c").alias("c"))
-    open_ = written(joint, "joint")
+    open_ = written(_joint(hits, least), "joint")
     dropped(hits)
     released(df.sparkSession)
     found: list[DataFrame] = []

@@ -288,6 +288,15 @@ def test_similar_parts_of_a_longer_edited_copy():
         assert want <= got and set(range(100, 196)) <= got
 
 
+def test_every_place_of_a_passage_is_reported(spark):
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(1, " ".join(passage + words(100) + passage)), (2, " ".join(words(30) + passage + words(70) + passage + words(70) + passage))]
+    out = substring.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in out} == {(1, 0, 60), (1, 160, 220), (2, 30, 90), (2, 160, 220), (2, 290, 350)}
+
+
 def test_pipeline_stages_match_plain_python(spark):
     import corpus_pipeline as cp
     from gaugeflow.llm import bpe, decontam, secrets
