@@ -249,8 +249,17 @@ def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int
     ends_a, ends_b = _parts(in_a), _parts(in_b)
     out: list[tuple[int, int, int, int, float]] = []
     tried: list[tuple[int, int, int, int]] = []
-    for ca, cb in anchors:
-        if ca >= len(a) or cb >= len(b) or a[ca] != b[cb] or any(x[0] <= ca <= x[1] for x in out) and any(x[2] <= cb <= x[3] for x in out):
+    in_found = bytearray(len(a)), bytearray(len(b))
+    runs: dict[int, int] = {}  # by diagonal, the end of the last equal run that was too short; sorted anchors come in order
+
+    def add(found: list[tuple[int, int, int, int, float]]) -> None:
+        for p, q, r, t, _ in found:
+            in_found[0][p : q + 1] = b"\1" * (q - p + 1)
+            in_found[1][r : t + 1] = b"\1" * (t - r + 1)
+        out.extend(found)
+
+    for ca, cb in sorted(set(anchors)):
+        if ca >= len(a) or cb >= len(b) or in_found[0][ca] and in_found[1][cb] or a[ca] != b[cb]:
             continue
         if not any(p <= ca <= q and r <= cb <= t for p, q, r, t in tried):
             (a0, a1), (b0, b1) = _around(in_a, ends_a, ca), _around(in_b, ends_b, cb)
@@ -267,14 +276,18 @@ def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int
                 if min(a1 - a0, b1 - b0) + 1 >= least:
                     score = _similarity(a[a0 : a1 + 1], b[b0 : b1 + 1])
                     parts = [(0, a1 - a0, 0, b1 - b0, score)] if score >= similarity else _similar_parts(a[a0 : a1 + 1], b[b0 : b1 + 1], cb - b0 - ca + a0, least, similarity)
-                    out += [(p + a0, q + a0, r + b0, t + b0, x) for p, q, r, t, x in parts]
+                    add([(p + a0, q + a0, r + b0, t + b0, x) for p, q, r, t, x in parts])
             tried.append((a0, a1, b0, b1))
             if any(p <= ca <= q and r <= cb <= t for p, q, r, t, _ in out[before:]):
                 continue
+        if ca < runs.get(ca - cb, 0):
+            continue
         j = _equal_run(a[ca:], b[cb:])
         i = _equal_run(a[ca::-1], b[cb::-1])
         if i + j - 1 >= least:
-            out.append((ca - i + 1, ca + j - 1, cb - i + 1, cb + j - 1, 1.0))
+            add([(ca - i + 1, ca + j - 1, cb - i + 1, cb + j - 1, 1.0)])
+        else:
+            runs[ca - cb] = ca + j
     return out
 
 
