@@ -2,11 +2,13 @@
 
 A document's set holds its distinct k-word shingles, hashed to 64 bits. The first bits of a hash choose a
 register; of the least remainder seen, the register keeps the count of leading zeros and a few mantissa
-bits. Documents with equal sets fold into one representative. Bands of registers retrieve candidates:
-each band's least document is tied to the others of its bucket (stars), a Jaccard estimate corrected for
-chance collisions of registers discards far pairs, and full sets verify the rest. Stars leave in a bucket only pairs
-of different components untried; those are tried in blocks of bounded size (sorted_groups), so that no candidate
-pair of different components is lost and no bucket is ever expanded into all its pairs.
+bits. Documents with equal word sequences fold into one representative; documents with equal sets of hashes are confirmed on full sets.
+Bands of registers retrieve candidates: each band's least document is tied to the others of its bucket (stars), a Jaccard estimate
+corrected for chance collisions of registers discards far pairs, and full sets verify the rest. Stars leave in a bucket only pairs
+of different components untried. For those the documents of open buckets are posted under the rarest shingles of their sets: two
+sets at the threshold share one of them (prefix filter, Bayardo et al. 2007), at places early enough in both (Xiao et al. 2008).
+Posting lists are cut in chunks of bounded size; each pair of chunks intersects whole sets where it lies and gives a spanning forest only, so
+that no pair of different components is lost, and what a list gives grows with its members, not with its pairs.
 
 Links (similarity) are exact; a pair at Jaccard 0.8 shares no band of 6 registers with probability
 (1 - 0.8 ** 6) ** 42, about 3e-6.
@@ -33,11 +35,12 @@ REGISTER_BITS = 8
 MANTISSA_BITS = 10
 BAND = 6
 EMPTY = 0xFFFF
-#: Star rounds before the remaining pairs are tried in blocks, and members in a block.
+#: Star rounds before the rest goes by posting lists; members and shingles in a chunk of a list.
 STARS = 2
 BLOCK = 512
-#: Sets up to this size go whole into the blocks (4 bytes a shingle) beside their registers.
-SMALL = 256
+BLOCK_SHINGLES = 1 << 19
+#: Counters of the sketch that orders shingles by rarity. Any order is exact; a better one gives shorter lists.
+COUNTERS = 1 << 20
 #: Standard deviations that an estimate may lie below the threshold before the pair is dropped unverified.
 SLACK = 5.0
 
@@ -152,27 +155,27 @@ def passes_estimate(same: np.ndarray, filled: np.ndarray, n_a: np.ndarray, n_b:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, digest, regs, small, bands) for each row; small is the set itself, in 32 bits each, where it is small."""
+    """(id, n, digest, words, regs, bands) for each row: size and digest of the set, and a digest of the word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                n, digest, regs, small, bands = [], [], [], [], []
+                n, digest, words, regs, bands = [], [], [], [], []
                 for raw in part.column(1).to_pylist():
                     h = shingle_hashes(raw, shingle)
                     r = registers(h)
                     n.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                    words.append(hashlib.blake2b(b" ".join(words_of(raw)), digest_size=16).digest())
                     regs.append(r.tobytes())
-                    small.append((h >> np.uint64(32)).astype(np.uint32).tobytes() if len(h) <= SMALL else b"")
                     bands.append(band_keys(r) if len(h) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), pa.array(small, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "regs", "small", "bands"])
+                    [part.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, words, regs)), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["id", "n", "digest", "words", "regs", "bands"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary"))
-    return map_batches(rows, run, "id bigint, n bigint, digest binary, regs binary, small binary, bands array<bigint>")
+    return map_batches(rows, run, "id bigint, n bigint, digest binary, words binary, regs binary, bands array<bigint>")
 
 
 def _regs(column) -> np.ndarray:
@@ -214,60 +217,151 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 ok.append(100 * common >= percent * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
-    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b"), run, "a bigint, b bigint")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    some = texts.join(ids, "id", "left_semi")  # only texts that take part are shuffled, where Spark finds ids small enough to broadcast
+    side = lambda x: some.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+    out = written(map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b"), run, "a bigint, b bigint"), "links")
+    dropped(ids)
+    return out
+
+
+def _hashed_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows(id, cluster, component, text) as (id, cluster, component, n, set): sorted hashes, 8 bytes a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(raw, shingle) for raw in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("cluster"), batch.column("component"), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["id", "cluster", "component", "n", "set"])
+
+    return map_batches(rows.select("id", "cluster", "component", "text"), run, "id bigint, cluster bigint, component bigint, n bigint, set binary")
+
 
+def _terms(cluster: int, raw: bytes) -> np.ndarray:
+    """A set's hashes, mixed with the cluster."""
+    with np.errstate(over="ignore"):
+        return _mixed(np.frombuffer(raw, np.uint64) + _mixed(np.array([cluster], np.int64).view(np.uint64)))
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many sets hold the terms of each counter; COUNTERS numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            found = [_terms(*x) % np.uint64(COUNTERS) for x in zip(batch.column("cluster").to_pylist(), batch.column("set").to_pylist())]
+            if found:
+                count += np.bincount(np.concatenate(found).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["counter", "count"])
+
+    rows = map_batches(sets.select("cluster", "set"), run, "counter bigint, count bigint").groupBy("counter").agg(F.sum("count").alias("count")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows.column("counter").to_numpy()] = rows.column("count").to_numpy()
+    return out
 
-def _intersections(sets: list[bytes]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of the small sets of a block (rows of large sets are 0)."""
-    sizes = np.array([len(x) // 4 for x in sets])
-    every = np.frombuffer(b"".join(sets), np.uint32)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    values, where, count = np.unique(every, return_inverse=True, return_counts=True)
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(term, id, component, n, pos): the rarest terms of each set, as many as two sets at the threshold need to share one, and their places."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            n = batch.column("n").to_numpy()
+            for cluster, raw, size in zip(batch.column("cluster").to_pylist(), batch.column("set").to_pylist(), n.tolist()):
+                t = _terms(cluster, raw)
+                found.append(t[np.lexsort((t, shared.value[(t % np.uint64(COUNTERS)).astype(np.int64)]))[: size + percent * -size // 100 + 1]])
+            if not found:
+                continue
+            sizes = np.array([len(x) for x in found])
+            row = np.repeat(np.arange(len(found)), sizes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [np.concatenate(found).view(np.int64), batch.column("id").to_numpy()[row], batch.column("component").to_numpy()[row], n[row], pos]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["term", "id", "component", "n", "pos"])
+
+    return map_batches(sets, run, "term bigint, id bigint, component bigint, n bigint, pos bigint")
+
+
+def _possible(comp: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs i < j of different components whose sets may reach the threshold, where left shingles of each, from a shared one on, are all they can share."""
+    reach = (100 + percent) * np.minimum(left[:, None], left) >= percent * (n[:, None] + n)
+    return np.triu(reach & (comp[:, None] != comp), 1)
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(count > 1)
     place = np.full(len(values), -1)
     place[shared] = np.arange(len(shared))
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, len(shared), 8192):
-        own = (place[where] >= at) & (place[where] < at + 8192)
-        m = np.zeros((len(sets), min(8192, len(shared) - at)), np.float32)
-        m[row[own], place[where][own] - at] = 1
+    at = place[where]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, len(shared), 8192):
+        own = (at >= low) & (at < low + 8192)
+        m = np.zeros((len(sets), min(8192, len(shared) - low)), np.float32)
+        m[row[own], at[own] - low] = 1
         out += m @ m.T
     return out.astype(np.int64)
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket and different components whose estimate may reach the threshold. A bucket of
-    n members is cut into n / BLOCK chunks by id; a task sees two chunks at a time."""
-    chunks = F.ceil(F.col("size") / BLOCK).cast("bigint")
-    own = F.pmod(F.xxhash64("id", "key"), F.col("chunks"))
-    dealt = (members.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", own)
-             .select("id", "component", "key", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
-             .select("id", "component", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g")))
-    rows = dealt.join(sketches.select("id", "n", "regs", "small"), "id").select("g", "id", "component", "n", "regs", "small")
+def _forest(i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Some of the pairs (i, j), at most a few for each component, that join what all of them join."""
+    root, out = comp.copy(), []
+    while True:
+        cross = root[i] != root[j]
+        i, j = i[cross], j[cross]
+        if not len(i):
+            return out
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        _, at = np.unique(high, return_index=True)  # each component takes one smaller than itself
+        out += zip(i[at].tolist(), j[at].tolist())
+        up = dict(zip(high[at].tolist(), low[at].tolist()))
+        for label in sorted(up):
+            up[label] = up.get(up[label], up[label])
+        root = np.array([up.get(x, x) for x in root.tolist()])
+
+
+def _by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rest(key, id, component): the documents of open buckets. (a, b): pairs of different components that reach the threshold, enough to join all that do."""
+    low = rest.groupBy("key").agg(F.min("id").alias("low"))
+    cluster = written(components(rest.join(low, "key").select(F.col("id").alias("a"), F.col("low").alias("b"))), "cluster")
+    own = written(rest.select("id", "component").distinct().join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "own")
+    sets = written(_hashed_sets(texts.join(own, "id"), shingle), "sets")
+    posts = written(_postings(sets, percent), "posts")
+    lists = (posts.groupBy("term").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo < hi")
+             .select("term", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("bigint").alias("chunks")))
+    dealt = (posts.join(lists, "term").withColumn("own", F.pmod(F.xxhash64("id", "term"), F.col("chunks")))
+             .select("id", "component", "n", (F.col("n") - F.col("pos")).alias("left"), "term", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
+             .select("id", "component", "n", "left", F.xxhash64("term", F.least("own", "other"), F.greatest("own", "other")).alias("g")))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "g"):
+            comp, n, left = (group.column(c).to_numpy() for c in ("component", "n", "left"))
+            may = _possible(comp, n, left, percent)
+            some = pa.array(may.any(0) | may.any(1))
+            yield group.select(["g", "id", "n", "left"]).filter(some)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
-            ids, comp, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
-            if comp.min() == comp.max():
-                continue
-            regs = _regs(group.column("regs"))
-            full = regs != EMPTY
-            mask, count = full.astype(np.float32), full.sum(1)
-            other = np.where(full, regs, EMPTY - 1)  # an empty register equals none
-            common = _intersections(group.column("small").to_pylist())
-            for i in range(len(ids) - 1):
-                j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                if len(j) and n[i] <= SMALL:  # exact, but for 32-bit collisions
-                    inter = common[i][j]
-                    j = j[(n[j] > SMALL) | (inter >= threshold * (n[i] + n[j] - inter) - 1e-6)]
-                if len(j):
-                    filled = count[i] + count[j] - (mask[j] @ mask[i]).astype(np.int64)
-                    j = j[passes_estimate((other[j] == regs[i]).sum(1), filled, np.full(len(j), n[i]), n[j], threshold)]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
-
-    return map_batches(rows.repartition("g").sortWithinPartitions("g"), run, "a bigint, b bigint").where("a <> b").distinct()
+            ids, comp, n, left = (group.column(c).to_numpy() for c in ("id", "component", "n", "left"))
+            common = _intersections([np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()])
+            near = _possible(comp, n, left, percent) & (100 * common >= percent * (n[:, None] + n - common))
+            found = _forest(*np.nonzero(near), comp)
+            if found:
+                i, j = (ids[list(x)] for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], names=["a", "b"])
+
+    some = map_batches(dealt.repartition("g").sortWithinPartitions("g").select("g", "id", "component", "n", "left"), narrowed, "g bigint, id bigint, n bigint, left bigint")
+    some = written(some, "narrowed")
+    dropped(posts)
+    rows = some.join(sets.select("id", "component", "n", "set"), ["id", "n"]).repartition("g").sortWithinPartitions("g").select("g", "id", "component", "n", "left", "set")
+    out = written(map_batches(rows, joined, "a bigint, b bigint").where("a <> b").distinct(), "near")
+    for old in (cluster, own, sets, some):
+        dropped(old)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -276,38 +370,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = written(sketch(df, id_col, text_col, shingle), "sketch")
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     some = sketches.where("n > 0 and id is not null")
-    heads = written(some.groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("copies")), "heads")
-    copies = written(some.select("id", "digest").join(heads.where("copies > 1"), "digest").select("id", "head").where("id <> head"), "copies")
+    heads = written(some.groupBy("digest").agg(F.min(F.struct("id", "words")).alias("x"), F.count("*").alias("copies")).select("digest", F.col("x.id").alias("head"), F.col("x.words").alias("own"), "copies"), "heads")
+    copies = written(some.select("id", "digest", "words").join(heads.where("copies > 1"), "digest").select("id", "head", (F.col("words") == F.col("own")).alias("equal")).where("id <> head"), "copies")
     reps = written(
         some.join(heads.select("digest", "head"), "digest").where("id = head")
-        .groupBy("id", "digest").agg(F.any_value(F.struct("n", "regs", "small", "bands")).alias("x")).select("id", "x.n", "x.regs", "x.small", "x.bands"), "reps")
+        .groupBy("id", "digest").agg(F.any_value(F.struct("n", "regs", "bands")).alias("x")).select("id", "x.n", "x.regs", "x.bands"), "reps")
+    nodes = written(sketches.select("id", "n"), "nodes")
+    dropped(sketches)
+    dropped(heads)
     long = reps.select("id", F.explode("bands").alias("key"))
-    shared = written(long.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = written(long.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
     members = written(long.join(shared, "key").select("key", "id", "low"), "members")
-    links = [copies.select(F.col("id").alias("a"), F.col("head").alias("b"))]
+    dropped(shared)
+    tie = copies.select(F.col("id").alias("a"), F.col("head").alias("b"), "equal").distinct()
+    links = [written(tie.where("equal").select("a", "b"), "links")]
     pairs = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     for turn in range(STARS + 1):
-        near = written(_estimated(pairs, reps, threshold), "near")
-        links.append(written(_verified(near, texts, shingle, percent), "links"))
+        near = written(_estimated(pairs, reps, threshold), "near") if turn < STARS else pairs
+        # equal sets of other word sequences pass their estimate by themselves
+        links.append(_verified(near if turn else near.unionByName(tie.where("not equal").select("a", "b")), texts, shingle, percent))
         dropped(near)
         if turn == STARS:
             break
         found = written(components(_all(links)), "component")
         placed = written(
             members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-        open_ = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
+        open_ = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
             F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("low")).where("lo < hi"), "open")
-        if open_.isEmpty():
+        rest = written(placed.join(open_.select("key"), "key", "left_semi"), "rest")
+        if rest.isEmpty():
             break
-        rest = placed.join(open_.select("key"), "key", "left_semi")
         if turn < STARS - 1:
-            head = placed.select("key", F.col("id").alias("low"), F.col("component").alias("own")).join(open_.select("key", "low"), ["key", "low"])
-            pairs = (rest.join(written(head, "head"), "key").where("component <> own")
-                     .select(F.greatest("id", "low").alias("a"), F.least("id", "low").alias("b")).distinct())
+            head = rest.select("key", F.col("id").alias("low"), F.col("component").alias("own")).join(open_.select("key", "low"), ["key", "low"])
+            pairs = written(rest.join(written(head, "head"), "key").where("component <> own")
+                     .select(F.greatest("id", "low").alias("a"), F.least("id", "low").alias("b")).distinct(), "pairs")
         else:
-            pairs = _in_blocks(rest, open_.select("key", "size"), reps, threshold)
+            dropped(reps)
+            dropped(members)
+            pairs = _by_prefix(rest, texts, shingle, percent)
+        for old in (found, placed, open_, rest):
+            dropped(old)
     found = components(_all(links)).withColumnRenamed("node", "id")
-    out = sketches.select("id", "n").join(written(found, "component"), "id", "left")
+    out = nodes.join(written(found, "component"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),

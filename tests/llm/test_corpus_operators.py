@@ -117,6 +117,53 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_docs.near_duplicates(frame(spark, rows), shingle=2).collect()} == {i: u.find(i) for i, _ in rows}
 
 
+def test_blocks_emit_no_more_than_rows(spark, monkeypatch):
+    """2,000 variants of one text, of Jaccard 0.70 to 0.79 to each other: their pairs are four million, their links a few."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(2000):
+        t = list(base)
+        for k, at in enumerate(rng.sample(range(0, 160, 2), 7)):
+            t[at] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    sets = [near_docs.shingle_set(t.encode(), 2) for _, t in rows]
+    at = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(at)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [at[x] for x in own]] = 1
+    common, n = has @ has.T, has.sum(1)
+    near = np.triu(100 * common >= 80 * (n[:, None] + n - common), 1)
+    u = Union()
+    for i, j in np.argwhere(near).tolist():
+        u.join(i, j)
+    assert near.sum() < 10 and (common / (n[:, None] + n - common)).mean() > 0.7
+    given = []
+    kept = near_docs._by_prefix
+
+    def counted(*x):
+        found = kept(*x)
+        given.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_docs, "_by_prefix", counted)
+    out = near_docs.near_duplicates(frame(spark, rows), shingle=2)
+    assert given and given[0] < len(rows)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: u.find(i) for i in range(len(rows))}
+
+
+def test_near_documents_long_and_repeated_texts(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randint(0, 3000)}" for _ in range(60_000)]
+    other = list(long)
+    for at in range(0, len(other), 60):
+        other[at] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "a " * 50_000), (4, "a a"), (5, "x" * 100_000), (5, "x" * 100_000)]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_docs.near_duplicates(frame(spark, rows), shingle=2).collect())
+    n = [len(near_docs.shingle_set(t.encode(), 2)) for _, t in rows]
+    assert out == [(1, n[0], 1), (2, n[1], 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (5, 1, 5)]
+
+
 def test_near_documents_on_the_table(spark):
     rows = [(d["doc_id"], d["text"]) for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
     u = brute_near(rows, 2)
