@@ -7,8 +7,9 @@ Bands of registers retrieve candidates: each band's least document is tied to th
 corrected for chance collisions of registers discards far pairs, and full sets verify the rest. Stars leave in a bucket only pairs
 of different components untried. For those the documents of open buckets are posted under the rarest shingles of their sets: two
 sets at the threshold share one of them (prefix filter, Bayardo et al. 2007), at places early enough in both (Xiao et al. 2008).
-Posting lists are cut in chunks of bounded size; each pair of chunks intersects whole sets where it lies and gives a spanning forest only, so
-that no pair of different components is lost, and what a list gives grows with its members, not with its pairs.
+Documents that lists still leave possible together form a block. Posting lists and blocks are cut in chunks of bounded size; each pair of
+chunks of a block intersects whole sets where it lies and gives a spanning forest only, so
+that no pair of different components is lost, and what a list or block gives grows with its members, not with its pairs.
 
 Links (similarity) are exact; a pair at Jaccard 0.8 shares no band of 6 registers with probability
 (1 - 0.8 ** 6) ** 42, about 3e-6.
@@ -35,9 +36,9 @@ REGISTER_BITS = 8
 MANTISSA_BITS = 10
 BAND = 6
 EMPTY = 0xFFFF
-#: Star rounds before the rest goes by posting lists; members and shingles in a chunk of a list.
+#: Star rounds before the rest goes by posting lists; members and shingles in a chunk of a list or block.
 STARS = 2
-BLOCK = 512
+BLOCK = 1024
 BLOCK_SHINGLES = 1 << 19
 #: Counters of the sketch that orders shingles by rarity. Any order is exact; a better one gives shorter lists.
 COUNTERS = 1 << 20
@@ -331,39 +332,52 @@ def _by_prefix(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     own = written(rest.select("id", "component").distinct().join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "own")
     sets = written(_hashed_sets(texts.join(own, "id"), shingle), "sets")
     posts = written(_postings(sets, percent), "posts")
-    lists = (posts.groupBy("term").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo < hi")
-             .select("term", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("bigint").alias("chunks")))
-    dealt = (posts.join(lists, "term").withColumn("own", F.pmod(F.xxhash64("id", "term"), F.col("chunks")))
-             .select("id", "component", "n", (F.col("n") - F.col("pos")).alias("left"), "term", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
-             .select("id", "component", "n", "left", F.xxhash64("term", F.least("own", "other"), F.greatest("own", "other")).alias("g")))
+    mixed = written(_chunked(posts.groupBy("term"), "term"), "lists")
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
-            comp, n, left = (group.column(c).to_numpy() for c in ("component", "n", "left"))
+            ids, comp, n, left = (group.column(c).to_numpy() for c in ("id", "component", "n", "left"))
             may = _possible(comp, n, left, percent)
-            some = pa.array(may.any(0) | may.any(1))
-            yield group.select(["g", "id", "n", "left"]).filter(some)
+            some = ids[may.any(0) | may.any(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), some.min(initial=np.iinfo(np.int64).max)))], names=["a", "b"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
-            ids, comp, n, left = (group.column(c).to_numpy() for c in ("id", "component", "n", "left"))
+            ids, comp, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
+            if comp.min() == comp.max():
+                continue
             common = _intersections([np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()])
-            near = _possible(comp, n, left, percent) & (100 * common >= percent * (n[:, None] + n - common))
+            near = _possible(comp, n, n, percent) & (100 * common >= percent * (n[:, None] + n - common))
             found = _forest(*np.nonzero(near), comp)
             if found:
                 i, j = (ids[list(x)] for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], names=["a", "b"])
 
-    some = map_batches(dealt.repartition("g").sortWithinPartitions("g").select("g", "id", "component", "n", "left"), narrowed, "g bigint, id bigint, n bigint, left bigint")
-    some = written(some, "narrowed")
+    rows = _dealt(posts.join(mixed, "term").select("term", "id", "component", "n", (F.col("n") - F.col("pos")).alias("left"), "chunks"), "term")
+    some = written(map_batches(rows.select("g", "id", "component", "n", "left"), narrowed, "a bigint, b bigint").distinct(), "possible")
     dropped(posts)
-    rows = some.join(sets.select("id", "component", "n", "set"), ["id", "n"]).repartition("g").sortWithinPartitions("g").select("g", "id", "component", "n", "left", "set")
-    out = written(map_batches(rows, joined, "a bigint, b bigint").where("a <> b").distinct(), "near")
-    for old in (cluster, own, sets, some):
+    block = written(components(some).select(F.col("node").alias("id"), F.col("component").alias("block")), "block")
+    sizes = written(_chunked(block.join(sets.select("id", "component", "n"), "id").groupBy("block"), "block"), "sizes")
+    rows = _dealt(block.join(sizes, "block").join(sets.select("id", "component", "n", "set"), "id"), "block")
+    out = written(map_batches(rows.select("g", "id", "component", "n", "set"), joined, "a bigint, b bigint").where("a <> b").distinct(), "near")
+    for old in (cluster, own, sets, mixed, some, block, sizes):
         dropped(old)
     return out
 
 
+def _chunked(members, key: str) -> DataFrame:
+    """(key, chunks) of the groups of members(id, component, n) that hold two components."""
+    return (members.agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo < hi")
+            .select(key, F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("bigint").alias("chunks")))
+
+
+def _dealt(members: DataFrame, key: str) -> DataFrame:
+    """members(key, id, chunks, ...) with g, a pair of chunks; partitions are sorted by g."""
+    own, other = F.pmod(F.xxhash64("id", key), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    both = members.withColumn("own", own).withColumn("other", other)
+    return both.withColumn("g", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).repartition("g").sortWithinPartitions("g")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: the smallest id reachable by links of Jaccard >= percent / 100."""
     threshold = percent / 100
