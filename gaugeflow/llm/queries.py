@@ -57,7 +57,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = learn_profiles(docs.where(~_held_out(5, 0)))
-    return identify(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(_held_out(5, 0), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = learn_toxicity(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
-    return score_toxicity(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(_held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import struct
 from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,48 @@ def test_toxicity_learns_pairs_and_odd_rows(spark):
     assert 0 < empty.score("x") < 0.5
 
 
+def _places(text):
+    return np.unique(np.array([t for c in set(text.lower().split()) for t in toxicity.chunk_terms(c)], np.uint32))
+
+
+def test_toxicity_pairs_that_neither_word_tells_alone():
+    """The label is 1 for both or neither of two words: no linear model does better than three in four."""
+    rng = random.Random(5)
+
+    def texts(n):
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = [f"w{rng.randint(0, 200)}" for _ in range(20)] + ["alpha"] * a + ["beta"] * b
+            rng.shuffle(words)
+            yield " ".join(words), int(a == b)
+
+    learn, test = list(texts(1500)), list(texts(400))
+    model = toxicity.fit([_places(t) for t, _ in learn], np.array([y for _, y in learn], float))
+    linear = toxicity.fit([_places(t) for t, _ in learn], np.array([y for _, y in learn], float))
+    linear.vectors = linear.vectors * 0
+    accuracy = lambda m: np.mean([(m.score(t) >= 0.5) == (y == 1) for t, y in test])
+    assert accuracy(model) >= 0.9 > 0.8 > accuracy(linear)
+    # the score by its definition, pair by pair
+    at = {int(p): i for i, p in enumerate(model.places)}
+    for t, _ in test[:50]:
+        k = [at[p] for p in _places(t).tolist() if p in at]
+        z = model.bias + sum(model.weights[i] for i in k) + sum(float(model.vectors[i] @ model.vectors[j]) for x, i in enumerate(k) for j in k[:x])
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_odd_tables(spark):
+    rows = [(i, f"bad{i % 2} word{i} here{i * 7}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows + [rows[1]] * 30 + [(None, "bad1", 1), (99, "x " * 100_000 + "bad1", 0)], "doc_id bigint, text string, toxic int")
+    model = toxicity.learn_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    once = toxicity.learn_toxicity(df.select("doc_id", "text").distinct(), df.select("doc_id", "toxic").distinct())
+    assert model.score("bad1") == once.score("bad1") and model.bias == once.bias  # repeated rows teach once
+    none = df.limit(0)
+    assert toxicity.score_toxicity(none, model).count() == 0
+    assert 0 < toxicity.learn_toxicity(none.select("doc_id", "text"), none.select("doc_id", "toxic")).score("bad1") < 0.5
+    out = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert all(0 <= x <= 1 for x in out.values()) and len(out) == 42
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href="/">Home</a></header><div class="cookie-notice">We use cookies to improve your visit here. <button>OK</button></div>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><div class="sidebar"><p>Popular this week: seven ways to do a long thing well and more.</p></div><div id="content"><h1>Big &amp; bold</h1><p>First   para&nbsp;with <a href=x>a link</a> in it.
 <p>Short.</p><div class="advert"><p>Buy this thing now for a very low price today only.</p></div><p>Second para.</p></div><section class="comments"><h2>3 Comments</h2><div><p>I really liked this article, thanks for the writing, friend.</p></div></section>
