@@ -1,13 +1,15 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page's visible text is cut into blocks. A linear classifier over a block's ancestors, link share and length gives its
-log-odds of being content, which become the capacities of its edges to source and sink; blocks that follow
-each other, and blocks close in the DOM, are tied by smoothness edges. The maximum flow (shortest augmenting paths)
-saturates a minimum cut; blocks still reachable from the source are content.
+A page's visible text is cut into blocks. The graph of a page holds its blocks and the elements above them. A linear classifier over a block's
+text (words, closing punctuation, link share) gives the capacity of the block's edge to source or sink; the names of an element and of its
+class, id and role give that of the element, once for each block below it up to the next named element. Smoothness edges tie blocks that follow each
+other, each block to its element and each element to its parent: firmly inside a named element, for each block below, weakly outside, and
+hardly at all across the border of a named element. The maximum flow (Dinic's blocking flows) saturates a minimum cut; blocks still reachable from the source
+are content. So a well written comment goes with its comments, a short line stays with its paragraphs, and a list of links leaves its article.
 
 Cases: null and empty pages, and pages without content blocks, give an empty text. Unclosed tags, stray ends and truncated
-pages are read as far as they go. White space inside a block becomes one space; blocks join by one \\n.
-Other columns are ignored, but for those named in keep.
+pages are read as far as they go; a tag that never ends drops what follows it; elements nested deeper than DEPTH hang on the one at DEPTH. White space inside a
+block becomes one space; blocks join by one \\n. Other columns are ignored, but for those named in keep.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,29 +37,37 @@ _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "d
 _CELLS = frozenset(("td", "th", "table", "caption"))
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
-#: Log-odds of content that an ancestor of this name adds.
-_TAGS = {"nav": -8.0, "menu": -8.0, "footer": -8.0, "aside": -7.0, "form": -8.0, "dialog": -7.0, "header": -4.0, "fieldset": -6.0, "article": 4.0, "main": 3.0}
-_OWN = {"p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "h4": 0.3, "blockquote": 0.7, "pre": 0.7, "td": -0.2, "li": -0.5, "figcaption": 0.3}
+#: Log-odds of content that an element's name adds for each block in it.
+_TAGS = {"nav": -3.0, "menu": -3.0, "footer": -3.0, "aside": -3.0, "form": -3.0, "dialog": -3.0, "header": -2.5, "fieldset": -3.0, "article": 1.5, "main": 1.0}
+_OWN = {"p": 0.4, "h1": 0.4, "h2": 0.3, "h3": 0.2, "blockquote": 0.3, "pre": 0.3, "td": -0.1, "li": -0.2}
 #: Words of class, id and role.
 _WORDS = {
-    -8.0: "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus dialog discussion footer gdpr login menu modal nav navbar navigation navigational newsletter notice notices overlay pagination popup promo promoted promotion register related reply replies reader respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo".split(),
-    -4.0: "header masthead meta byline crumbs tools links recommended recommendations trending popular more legal copyright disclaimer".split(),
-    3.0: "article content entry post story main body text articlebody".split(),
+    -3.0: "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus dialog discussion footer gdpr login menu modal nav navbar navigation navigational newsletter notice notices overlay pagination popup promo promoted promotion register related reply replies reader respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo".split(),
+    -2.5: "header masthead meta byline crumbs tools links recommended recommendations trending popular more legal copyright disclaimer".split(),
+    1.0: "article content entry post story main body text articlebody".split(),
 }
 _WORD_ODDS = {w: v for v, words in _WORDS.items() for w in words}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
 
-_NEXT, _SIBLING, _COUSIN = 0.4, 0.8, 0.2
+_NEXT = 0.3
+#: Edges upwards, for each block below: inside a named element, outside, and to the page's body; then a named element's own edge to its parent.
+_FIRM, _LOOSE, _BODY, _BORDER = 2.5, 0.5, 0.1, 0.05
+_PAGE = frozenset(("", "html", "body"))
+DEPTH = 512
 
 
 class _Node:
-    __slots__ = ("name", "odds", "parent")
+    __slots__ = ("below", "depth", "name", "named", "odds", "parent", "within")
 
-    def __init__(self, name: str, parent: _Node | None, odds: float):
-        self.name, self.parent, self.odds = name, parent, odds
+    def __init__(self, name: str, parent: _Node | None, odds: float = 0.0):
+        self.name, self.parent, self.odds, self.named = name, parent, odds, odds != 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.within = self if self.named or parent is None else parent.within  # the nearest named element
+        self.below = 0
 
 
 class Block:
@@ -68,30 +78,59 @@ class Block:
 
 
 def _odds(name: str, attributes: str, parent: _Node) -> float:
-    """Log-odds that an element and its ancestors add; the strongest word of its names counts."""
-    inside = parent.odds
+    """Log-odds that an element's own names add; the strongest word counts."""
     own = _TAGS.get(name, 0.0)
-    if name == "header" and inside > 0:
+    if name == "header" and parent.within.odds > 0:
         own = 0.0  # an article's own heading
     if attributes and name not in ("html", "body"):
         words = [p.lower() for m in _NAMES.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")]
-        if words:
-            found = [_WORD_ODDS[w] for w in words if w in _WORD_ODDS]
-            if found:
-                own += min(found) if min(found) < 0 else max(found)
+        found = [_WORD_ODDS[w] for w in words if w in _WORD_ODDS]
+        if found:
+            own = min(own, *found) if min(found) < 0 else max(own, *found) if own >= 0 else own
         if _HIDDEN.search(attributes):
-            own -= 8.0
-    return max(-12.0, min(6.0, inside + own))
+            own = -3.0
+    return own
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name with a slash for end tags, attributes) of each tag, comment (no name) and declaration, in one pass."""
+    at, size, open_quotes = 0, len(page), {'"', "'"}
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else size
+            yield start, at, "", ""
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            at = page.find(">", start) + 1 or size
+            yield start, at, "", ""
+        elif m := _NAME.match(page, start + 1):
+            end = m.end()
+            while stop := _STOP.search(page, end):
+                end, mark = stop.end(), stop[0]
+                if mark == ">":
+                    break
+                if mark in open_quotes and page[max(start, end - 8) : end - 1].rstrip().endswith("="):
+                    close = page.find(mark, end)
+                    if close < 0:  # none further on either: an unclosed quote is an ordinary character
+                        open_quotes.discard(mark)
+                    else:
+                        end = close + 1
+            else:
+                end = size + 1  # a tag that never ends
+            yield start, min(end, size), m[0].lower(), page[m.end() : end - 1]
+            at = min(end, size)
+        else:
+            at = start + 1
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks of visible text in order."""
     page = page or ""
-    root = _Node("", None, 0.0)
-    stack, out = [root], []
+    root = _Node("", None)
+    stack, out, opened = [root], [], Counter()
     parts: list[str] = []
-    linked = depth = 0
-    at, low = 0, ""
+    linked = depth = at = skip = 0
+    low, absent = "", set()
 
     def flush():
         nonlocal parts, linked
@@ -101,110 +140,178 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, stack[-1], min(linked, len(text))))
         parts, linked = [], 0
 
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if (end := m.start() if m else len(page)) > at:
+    def read(end: int):
+        nonlocal linked
+        if end > at:
             parts.append(page[at:end])
             if depth:
                 linked += end - at
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    for start, end, name, attributes in _tags(page):
+        if start < skip:
             continue
-        name = m[2].lower()
-        if not m[1] and name in _SILENT and not m[3].endswith("/"):
-            if not low:
-                low = page.lower() if page.isascii() else re.sub("[A-Z]", lambda c: c[0].lower(), page)
-            if (close := low.find(f"</{name}", at)) < 0:
+        read(start)
+        at = end
+        if not name:
+            continue
+        ends = name[0] == "/"
+        name = name.lstrip("/")
+        if not ends and name in _SILENT and not attributes.endswith("/"):
+            low = low or (page.lower() if page.isascii() else re.sub("[A-Z]", lambda c: c[0].lower(), page))
+            close = -1 if name in absent else low.find(f"</{name}", at)
+            if close < 0:
+                absent.add(name)
                 at = len(page) if name in ("script", "style", "title", "textarea") else at
             else:
                 at = page.find(">", close) + 1 or len(page)
+            skip = at
             parts.append(" ")
         elif name == "br":
             parts.append(" ")
         elif name == "a":
-            depth = 0 if m[1] else 1
+            depth = 0 if ends else 1
         elif name in _INLINE or name in _VOID:
             continue
-        elif m[1]:
-            if any(n.name == name for n in stack):
+        elif ends:
+            if opened[name]:
                 flush()
                 depth = 0
-                while stack.pop().name != name:
-                    pass
+                while True:
+                    gone = stack.pop().name
+                    opened[gone] -= 1
+                    if gone == name:
+                        break
         else:
             flush()
             depth = 0
-            if ends := _ENDS.get(name):
+            if (closes := _ENDS.get(name)) and any(opened[x] for x in closes):
                 stop = _SCOPE.get(name, _CELLS)
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in stop:
                         break
-                    if stack[k].name in ends:
+                    if stack[k].name in closes:
+                        for gone in stack[k:]:
+                            opened[gone.name] -= 1
                         del stack[k:]
-            if not m[3].endswith("/"):
-                stack.append(_Node(name, stack[-1], _odds(name, m[3], stack[-1])))
+            if not attributes.endswith("/"):
+                up = stack[-1] if stack[-1].depth < DEPTH else stack[-1].parent
+                stack.append(_Node(name, up, _odds(name, attributes, up)))
+                opened[name] += 1
+    read(len(page))
     flush()
     return out
 
 
 def content_odds(b: Block) -> float:
-    """The classifier: log-odds that a block is content."""
-    n, words = len(b.text), b.text.count(" ") + 1
-    share = b.linked / n
-    own = b.node.odds + _OWN.get(b.node.name, 0.0)
-    return own + min(2.0, math.log1p(words) / 2) - 0.6 - 4.0 * share
+    """The classifier of a block's text: log-odds that it is content."""
+    words = b.text.count(" ") + 1
+    closed = b.text.rstrip("\"')]}\u00bb\u201d\u2019")[-1:] in (".", "!", "?", ":", ";", "\u2026", "\u3002", "\uff01", "\uff1f")
+    return min(1.5, math.log1p(words) / 2.5) - 0.7 + 0.5 * closed + _OWN.get(b.node.name, 0.0) - 4.0 * b.linked / len(b.text)
+
+
+def page_graph(found: list[Block]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Terminal capacities (to the source above 0, to the sink below) of the blocks and then of the elements above them, and the smoothness edges."""
+    odds = [content_odds(b) for b in found]
+    nodes: dict[int, int] = {}
+    order: list[_Node] = []
+    edges: dict[tuple[int, int], float] = {}
+    for b in found:
+        node: _Node | None = b.node
+        while node is not None and id(node) not in nodes:
+            nodes[id(node)] = len(found) + len(order)
+            order.append(node)
+            odds.append(0.0)
+            node.below = 0
+            node = node.parent
+    for b in found:
+        b.node.below += 1
+        odds[nodes[id(b.node.within)]] += b.node.within.odds
+    for node in sorted(order, key=lambda n: -n.depth):
+        if up := node.parent:
+            up.below += node.below
+            if node.named:
+                weight = _BORDER
+            elif up.name in _PAGE:
+                weight = _BODY
+            else:
+                weight = node.below * (_FIRM if node.within.named else _LOOSE)
+            edges[nodes[id(node)], nodes[id(up)]] = weight
+    for i, b in enumerate(found):
+        edges[i, nodes[id(b.node)]] = _FIRM if b.node.within.named else _BODY if b.node.name in _PAGE else _LOOSE
+        if i and found[i - 1].node.within is b.node.within:
+            edges[i - 1, i] = _NEXT
+    return odds, edges
 
 
 def content_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Blocks on the source's side of a minimum cut."""
+    """Nodes on the source's side of a minimum cut, the one that holds fewest."""
     n = len(odds)
     spare = list(odds)  # above 0: capacity left from the source; below 0: to the sink
-    flow: list[dict[int, float]] = [{} for _ in range(n)]
+    to, room = [], []
+    near: list[list[int]] = [[] for _ in range(n)]
     for (i, j), w in edges.items():
-        flow[i][j] = flow[i].get(j, 0.0) + w
-        flow[j][i] = flow[j].get(i, 0.0) + w
+        near[i].append(len(to))
+        near[j].append(len(to) + 1)
+        to += (j, i)
+        room += (w, w)
+    eps = 1e-9
     while True:
-        seen = {i: -1 for i in range(n) if spare[i] > 1e-9}
-        queue, sink = deque(seen), -1
-        while queue and sink < 0:
-            i = queue.popleft()
-            for j, w in flow[i].items():
-                if w > 1e-9 and j not in seen:
-                    seen[j] = i
-                    if spare[j] < -1e-9:
-                        sink = j
+        level = [-1] * n
+        layer = [i for i in range(n) if spare[i] > eps]
+        sources, deep, reached = layer, 0, False
+        for i in layer:
+            level[i] = 0
+        while layer and not reached:
+            deep, after = deep + 1, []
+            for i in layer:
+                for e in near[i]:
+                    j = to[e]
+                    if level[j] < 0 and room[e] > eps:
+                        level[j] = deep
+                        after.append(j)
+                        reached = reached or spare[j] < -eps
+            layer = after
+        if not reached:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for s in sources:
+            path: list[int] = []
+            at = s
+            while spare[s] > eps:
+                if level[at] == deep and spare[at] < -eps:
+                    push = min([spare[s], -spare[at], *(room[e] for e in path)])
+                    spare[s] -= push
+                    spare[at] += push
+                    back = len(path)
+                    for k, e in enumerate(path):
+                        room[e] -= push
+                        room[e ^ 1] += push
+                        if room[e] <= eps and k < back:
+                            back = k
+                    if spare[at] < -eps and back == len(path):
+                        continue  # the source is empty
+                    del path[back:]
+                    at = to[path[-1]] if path else s
+                    continue
+                while tried[at] < len(near[at]):
+                    e = near[at][tried[at]]
+                    j = to[e]
+                    if room[e] > eps and level[j] == level[at] + 1 <= deep:
+                        path.append(e)
+                        at = j
                         break
-                    queue.append(j)
-        if sink < 0:
-            return [i in seen for i in range(n)]
-        path = [sink]
-        while seen[path[-1]] >= 0:
-            path.append(seen[path[-1]])
-        path.reverse()
-        push = min(spare[path[0]], -spare[sink], *(flow[a][b] for a, b in zip(path, path[1:])))
-        spare[path[0]] -= push
-        spare[sink] += push
-        for a, b in zip(path, path[1:]):
-            flow[a][b] -= push
-            flow[b][a] += push
+                    tried[at] += 1
+                else:
+                    if not path:
+                        break
+                    path.pop()
+                    at = to[path[-1]] if path else s
+                    tried[at] += 1
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page)
-    edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if i:
-            edges[i - 1, i] = _NEXT
-        up = b.node.parent
-        for node, weight in ((up, _SIBLING), (up.parent if up else None, _COUSIN)):
-            if node is not None:
-                if (k := last.get(id(node))) is not None:
-                    edges[k, i] = edges.get((k, i), 0.0) + weight
-                last[id(node)] = i
-    keep = content_cut([content_odds(b) for b in found], edges)
+    keep = content_cut(*page_graph(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -258,3 +258,38 @@ def test_cut_is_minimal():
         cost = lambda keep: sum(-o if k else 0 for o, k in zip(odds, keep)) + sum(w for (i, j), w in edges.items() if keep[i] != keep[j])
         best = min(cost([bool(b >> i & 1) for i in range(n)]) for b in range(1 << n))
         assert cost(html_main.content_cut(odds, edges)) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("comment", ["I really liked this article, thanks for the writing, friend.", "Long and well written remarks, with commas and all; they go on and on, and end well. Twice."])
+@pytest.mark.parametrize("n", [1, 6])
+def test_cut_decides_where_thresholds_are_wrong(comment, n):
+    """Blocks whose own text says the one and whose surroundings say the other."""
+    long = "This is a long paragraph of the article, with many words in it, and it ends with a full stop."
+    remarks = f'<div class="comments"><div><div class=x><p>{comment}</p></div></div></div>' * n
+    links = '<ul><li><a href="/a">More of this</a></li><li><a href="/b">More of that</a></li></ul>'
+    page = f"<body><article><h1>Title</h1><p>{long}</p><div>Short line</div><p>{long}</p>{links}</article>{remarks}</body>"
+    want = f"Title\n{long}\nShort line\n{long}"
+    assert html_main.main_text(page) == want
+    alone = "\n".join(b.text for b in html_main.blocks(page) if html_main.content_odds(b) > 0)
+    assert comment in alone and "Short line" not in alone  # the classifier alone is wrong both ways
+    plain = f"<body><div><p>{long}</p><div>Short line</div><p>{long}</p></div><div>{links}<p>Yes, more.</p>{links}</div></body>"  # no names at all
+    assert html_main.main_text(plain) == f"{long}\nShort line\n{long}"
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<p>some words here for it.</p>" * 35_000, "<a " * 350_000, "<div>x " * 140_000, '<a href="x ' * 100_000, "<button>x" * 110_000, "<ul><li><a href=x>home</a><li>short" * 28_000, "</div>x<div><span>" * 60_000, "<" * 1_000_000):
+        began = time.perf_counter()
+        html_main.main_text(page)
+        assert time.perf_counter() - began < 20  # a few seconds where nothing else runs
+    assert html_main.main_text("<p>some words here for it.</p>" * 3000).count("\n") == 2999
+    assert html_main.main_text('<article><p title="open>First words here.</p><p>Then more words.</p></article>') == "First words here.\nThen more words."
+
+
+def test_pages_odd_tables(spark):
+    schema = "page_id bigint, url string, html string, text string"
+    assert html_main.extract_main(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, None, "x"), (1, "u", "", "x"), (1, "u", PAGE, "x"), (1, "u", PAGE, "x")]
+    out = html_main.extract_main(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(len(r.text) for r in out) == [0, 0, 60, 60] and {tuple(r.asDict()) for r in out} == {("page_id", "url", "text")}
