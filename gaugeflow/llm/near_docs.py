@@ -53,37 +53,96 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(_LOWER).split() if raw else []
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(raw: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a whole text."""
-    words = words_of(raw)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    k = min(k, len(words))
-    s = np.full(len(h) - k + 1, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            s = _mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(s)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STEP = 0xD6E8FEB86659FD93
+#: Bytes of text that are hashed at once, beyond the last word.
+STRETCH = 1 << 18
+with np.errstate(over="ignore"):
+    _CODE = _mixed(np.frombuffer(_LOWER, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def _power(sign: int, n: int) -> np.ndarray:
+    """The first n powers of _STEP or of its inverse modulo 2 ** 64."""
+    if len(_powers[sign]) < n:
+        base = np.full(n, pow(_STEP, sign, 1 << 64), np.uint64)
+        base[0] = 1
+        _powers[sign] = np.cumprod(base)
+    return _powers[sign][:n]
+
+
+def _hashed(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First place and 64-bit hash of each word: differences of running sums of byte codes times powers."""
+    code = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[code], prepend=True, append=True))
+    first, last = edge[::2], edge[1::2]
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_CODE[code] * _power(1, len(code)), out=total[1:])
+    h = (total[last] - total[first]) * _power(-1, len(code))[first]
+    return first, _mixed(h + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _stretches(raw: bytes) -> Iterator[bytes]:
+    """raw cut at white space in stretches of about STRETCH bytes."""
+    at = 0
+    while len(raw) - at > STRETCH:
+        end = at + STRETCH
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def word_hashes(raws: list[bytes | None]) -> list[np.ndarray]:
+    """A hash of each word of each text."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush():
+        nonlocal held, size
+        if held:
+            first, h = _hashed(b" ".join(held))
+            ends = np.cumsum([len(x) + 1 for x in held])
+            out.extend(np.split(h, np.searchsorted(first, ends[:-1])))
+        held, size = [], 0
+
+    for raw in raws:
+        raw = raw or b""
+        if len(raw) > STRETCH:
+            flush()
+            out.append(np.concatenate([_hashed(x)[1] for x in _stretches(raw)]))
+            continue
+        held.append(raw)
+        size += len(raw) + 1
+        if size >= STRETCH:
+            flush()
+    flush()
+    return out
+
+
+def shingled(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each of the k-word shingles, from hashes of the words."""
+    n = len(h) - k + 1
+    s = np.full(max(n, 0), k, np.uint64)
+    for i in range(k if n > 0 else 0):
+        s = _mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i])
+    return s
+
+
+def shingle_hashes(raw: bytes | None, k: int, words: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of a whole text; words, if given, are the hashes of its words."""
+    h = word_hashes([raw])[0] if words is None else words
+    s = np.sort(shingled(h, min(k, len(h)))) if len(h) else h
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
 def shingle_set(raw: bytes, k: int) -> set:
@@ -163,8 +222,9 @@ def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 n, digest, words, regs, bands = [], [], [], [], []
-                for raw in part.column(1).to_pylist():
-                    h = shingle_hashes(raw, shingle)
+                raws = part.column(1).to_pylist()
+                for raw, own in zip(raws, word_hashes(raws)):
+                    h = shingle_hashes(raw, shingle, own)
                     r = registers(h)
                     n.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
@@ -231,7 +291,8 @@ def _hashed_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(raw, shingle) for raw in batch.column("text").to_pylist()]
+            raws = batch.column("text").to_pylist()
+            sets = [shingle_hashes(raw, shingle, own) for raw, own in zip(raws, word_hashes(raws))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("cluster"), batch.column("component"), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
                 names=["id", "cluster", "component", "n", "set"])

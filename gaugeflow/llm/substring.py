@@ -31,35 +31,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, dropped, map_batches, released, written
-from .near_docs import _HASHES, _mixed, words_of
+from .near_docs import _mixed, shingled, word_hashes
 
-HASHES = 4
+HASHES = 4  # a power of two
 SHINGLE = 5
-#: Tokens without a match that a passage may hold in a row; one changed word costs SHINGLE.
-GAP = 12
+#: Tokens of texts (8 bytes each) that a worker keeps between pairs.
+HELD = 4 << 20
+#: How far from its diagonal a match may lie.
+BAND = 64
 #: Turns of verification: in all but the last, each document meets the partner with which it shares most.
 TURNS = 3
 #: Leaders that a signature's holders are held against in turn, before the pairs left are verified all at once.
 LEADS = 3
-#: Ids of copies (8 bytes each) up to which they are broadcast.
-BROADCAST_IDS = 1_000_000
 
 
 def tokens_of(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    words = words_of(raw)
-    n = len(words) - shingle + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    s = np.full(n, shingle, np.uint64)
-    for i in range(shingle):
-        s = _mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i])
-    return s
-
-
-def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of the Cartesian tree's nodes over hashes that span at least `least` tokens; ties go left."""
+    return shingled(word_hashes([raw])[0], shingle)
+
+
+def _bounds(value: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value, the nearest place on the left that is no larger and on the right that is smaller, or the nearest stop. Pointers jump over
+    what is larger, so that a few passes over the array do what a stack does one by one."""
+    left, right = np.arange(-1, len(value) - 1), np.arange(1, len(value) + 1)
+    left[0], right[-1] = 0, len(value) - 1
+    for near, larger in ((left, np.greater), (right, np.greater_equal)):
+        some = np.flatnonzero(~stop)
+        while len(some := some[~stop[near[some]] & larger(value[near[some]], value[some])]):
+            near[some] = near[near[some]]
+    return left, right
+
+
+def compact_windows(hashes: np.ndarray, least: int, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the Cartesian tree's nodes over hashes that span at least `least` tokens; ties go left. Where hashes are those of
+    many texts, begins are their first places, and each text has its own tree."""
     n = len(hashes)
+    begins = np.zeros(1, np.int64) if begins is None else begins
     if n < least:
         return (np.empty(0, np.int64),) * 3
     low, best, width = hashes, np.arange(n), 1
@@ -69,58 +75,74 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
         best = np.where(right, best[step:], best[: len(best) - step])
         low = np.where(right, low[step:], low[: len(low) - step])
         width += step
+    ends = np.append(begins[1:], n)
+    last = np.repeat(ends, np.diff(np.append(begins, n)))  # of each place's text
+    best = best[last[: len(best)] - np.arange(len(best)) >= least]
+    if not len(best):
+        return (np.empty(0, np.int64),) * 3
     at = best[np.append(True, best[1:] != best[:-1])]
-    place, value = at.tolist(), hashes[at].tolist()
-    left, right_, stack = [0] * len(place), [n - 1] * len(place), []
-    for i, v in enumerate(value):
-        while stack and value[stack[-1]] > v:
-            right_[stack.pop()] = place[i] - 1
-        if stack:
-            left[i] = place[stack[-1]] + 1
-        stack.append(i)
-    return np.array(left), at, np.array(right_)
+    text = np.searchsorted(begins, at, "right") - 1
+    place = np.arange(1, len(at) + 1) + np.cumsum(np.append(0, text[1:] != text[:-1]))  # a stop before each text's nodes and at the end
+    value, where, stop = np.zeros(place[-1] + 2, hashes.dtype), np.zeros(place[-1] + 2, np.int64), np.ones(place[-1] + 2, bool)
+    value[place], where[place], stop[place] = hashes[at], at, False
+    left, right = (x[place] for x in _bounds(value, stop))
+    return np.where(stop[left], begins[text], where[left] + 1), at, np.where(stop[right], ends[text], where[right]) - 1
 
 
 def _seeds() -> np.ndarray:
     return _mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Tokens of texts whose windows are found together, beyond the last text.
+TOGETHER = 1 << 15
 #: A window's arms reach at most this far in a packed place; longer arms change no overlap that matters.
 _ARM = (1 << 16) - 1
 
 
+def _windows_of(held: list[tuple[int, np.ndarray]], least: int) -> pa.RecordBatch:
+    tokens = np.concatenate([t for _, t in held])
+    begins = np.cumsum([0, *(len(t) for _, t in held[:-1])])
+    texts, keys, places = [], [], []
+    for seed in _seeds():
+        h = _mixed(tokens ^ seed)
+        l, c, r = compact_windows(h, least, begins)
+        text = np.searchsorted(begins, c, "right") - 1
+        texts.append(text)
+        keys.append((_mixed(h[c] + seed) & ~np.uint64(HASHES - 1) | np.uint64(len(keys))).view(np.int64))  # the function in the last bits
+        places.append(c - begins[text] << 32 | np.minimum(c - l, _ARM) << 16 | np.minimum(r - c, _ARM))
+    text = np.concatenate(texts)
+    order = np.argsort(text, kind="stable")
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=len(held)))), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x)[order])) for x in (keys, places)]
+    return pa.RecordBatch.from_arrays([pa.array([doc for doc, _ in held], pa.int64()), *lists], names=["id", "keys", "places"])
+
+
 def signatures(df: DataFrame, least: int) -> DataFrame:
     """(id, keys, places): every compact window of every text(id, text), as its signature and packed (c, c - l, r - c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _seeds()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids, keys, places = [], [], []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = tokens_of(raw)
-                    if len(tokens) < least:
-                        continue
-                    own_keys, own_places = [], []
-                    for seed in seeds:
-                        h = _mixed(tokens ^ seed)
-                        l, c, r = compact_windows(h, least)
-                        own_keys.append(_mixed(h[c] + seed).view(np.int64))
-                        own_places.append(c << 32 | np.minimum(c - l, _ARM) << 16 | np.minimum(r - c, _ARM))
-                    ids.append(doc)
-                    keys.append(np.concatenate(own_keys))
-                    places.append(np.concatenate(own_places))
-                if ids:
-                    ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-                    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (keys, places)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["id", "keys", "places"])
+            held: list[tuple[int, np.ndarray]] = []
+            size = 0
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for doc, words in zip(part.column(0).to_pylist(), word_hashes(part.column(1).to_pylist())):
+                    tokens = shingled(words, SHINGLE)
+                    if len(tokens) >= least:
+                        held.append((doc, tokens))
+                        size += len(tokens)
+                    if size >= TOGETHER:
+                        yield _windows_of(held, least)
+                        held, size = [], 0
+            if held:
+                yield _windows_of(held, least)
 
     return map_batches(df, run, "id bigint, keys array<bigint>, places array<bigint>")
 
 
 def _joint(hits: DataFrame, least: int) -> DataFrame:
-    """(key, id, c) of the windows of one document that hold a common passage, two by two; c has all places of the key."""
+    """(key, id, c) of the windows of one document and two functions that hold a common passage with both their places less than `least`
+    apart (a longer passage has such parts); c has all places of the key."""
     per_doc = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,33 +154,37 @@ def _joint(hits: DataFrame, least: int) -> DataFrame:
                 values = flat.flatten()
                 place, key = (values.field(x).to_numpy(zero_copy_only=False) for x in ("place", "key"))
                 c = place >> 32
-                l, r = c - (place >> 16 & _ARM), c + (place & _ARM)
-                begin = np.cumsum([0, *flat.value_lengths().to_pylist()])
-                for d, doc in enumerate(part.column("id").to_pylist()):
-                    a, b = begin[d], begin[d + 1]
-                    own_keys, own_cs = [], []
-                    for step in range(1, b - a):
-                        i, j = slice(a, b - step), slice(a + step, b)
-                        lo, hi = np.maximum(l[i], l[j]), np.minimum(r[i], r[j])
-                        near = (lo <= c[i]) & (c[j] <= hi)
-                        ok = np.flatnonzero(near & (hi - lo + 1 >= least) & (key[i] != key[j]))
-                        if len(ok):
-                            x, y = np.minimum(key[i][ok], key[j][ok]), np.maximum(key[i][ok], key[j][ok])
-                            own_keys.append(_mixed(_mixed(x.astype(np.uint64)) + y.astype(np.uint64)).view(np.int64))
-                            own_cs.append(c[i][ok].astype(np.int32))
-                        if step >= 4 * HASHES and not near.any():
-                            break
-                    if own_keys:
-                        k, at_c = np.concatenate(own_keys), np.concatenate(own_cs)
-                        order = np.lexsort((at_c, k))
-                        k, at_c = k[order], at_c[order]
-                        new = np.append(True, (k[1:] != k[:-1]) | (at_c[1:] != at_c[:-1]))
-                        k, at_c = k[new], at_c[new]
-                        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                        keys.append(k[first])
-                        ids.append(np.full(len(first), doc))
-                        cs.append(at_c)
-                        sizes.append(np.diff(np.append(first, len(k))))
+                l, r, function = c - (place >> 16 & _ARM), c + (place & _ARM), key & HASHES - 1
+                lengths = flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                end = np.cumsum(lengths)[doc]
+                own_docs, own_keys, own_cs = [], [], []
+                i, step = np.arange(len(doc)), 0
+                while True:
+                    step += 1
+                    i = i[i + step < end[i]]
+                    i = i[c[i + step] - c[i] < least]  # places rise: what is too far apart now stays so
+                    if not len(i):
+                        break
+                    j = i + step
+                    lo, hi = np.maximum(l[i], l[j]), np.minimum(r[i], r[j])
+                    ok = (lo <= c[i]) & (c[j] <= hi) & (hi - lo + 1 >= least) & (function[i] != function[j])
+                    if ok.any():
+                        x, y = np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])
+                        own_docs.append(doc[i[ok]])
+                        own_keys.append(_mixed(_mixed(x.astype(np.uint64)) + y.astype(np.uint64)).view(np.int64))
+                        own_cs.append(c[i[ok]].astype(np.int32))
+                if own_docs:
+                    d, k, at_c = np.concatenate(own_docs), np.concatenate(own_keys), np.concatenate(own_cs)
+                    order = np.lexsort((at_c, k, d))
+                    d, k, at_c = d[order], k[order], at_c[order]
+                    new = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (at_c[1:] != at_c[:-1]))
+                    d, k, at_c = d[new], k[new], at_c[new]
+                    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
+                    keys.append(k[first])
+                    ids.append(part.column("id").to_numpy()[d[first]])
+                    cs.append(at_c)
+                    sizes.append(np.diff(np.append(first, len(k))))
                 if ids:
                     ends = pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32())
                     places = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cs)))
@@ -167,38 +193,14 @@ def _joint(hits: DataFrame, least: int) -> DataFrame:
     return map_batches(per_doc, run, "key bigint, id bigint, c array<int>")
 
 
-def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common beginning."""
-    n = min(len(a), len(b))
-    off = np.flatnonzero(a[:n] != b[:n])
-    return int(off[0]) if len(off) else n
-
-
-def _parts(where: np.ndarray) -> np.ndarray:
-    """Ends (exclusive) of the stretches of matched places with gaps of at most GAP."""
-    return np.append(np.flatnonzero(np.diff(where) > GAP + 1) + 1, len(where))
-
-
-def _around(where: np.ndarray, ends: np.ndarray, at: int) -> tuple[int, int]:
-    k = int(np.searchsorted(ends, np.searchsorted(where, at), "right"))
-    return int(where[ends[k - 1]] if k else where[0]), int(where[ends[k] - 1])
-
-
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     x, y = np.unique(a), np.unique(b)
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common)
 
 
-def _chain(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the longest chain of equal tokens that rises in both; a token that b repeats counts where it is nearest to its place in a plus shift."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
-    i = np.flatnonzero(lo < hi)
-    j = order[lo[i]]
-    for k in np.flatnonzero(hi[i] - lo[i] > 1).tolist():
-        places = order[lo[i[k]] : hi[i[k]]]
-        j[k] = places[np.argmin(np.abs(places - (i[k] + shift)))]
+def _chain(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the matches (i, j), where i rises, the longest chain in which j rises too."""
     if (np.diff(j) > 0).all():
         return i, j
     tails, ends, back = [], [], np.empty(len(j), np.int64)
@@ -218,11 +220,10 @@ def _chain(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.nda
     return i[keep], j[keep]
 
 
-def _similar_parts(a: np.ndarray, b: np.ndarray, shift: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """The maximal parts of at least `least` tokens that are similar enough, where a and b are not as a whole. A part of the chain from m to k is
+def _similar_parts(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """The maximal parts of at least `least` tokens of a and b that are similar enough, along a chain of matches (i, j). A part of the chain from m to k is
     similar if (1 + similarity) * matches >= similarity * (tokens of both), so that a sum of steps is not negative: the earliest m of each k is
     the first whose sum is low enough."""
-    i, j = _chain(a, b, shift)
     if (1 + similarity) * len(i) < 2 * similarity * least:
         return []
     total = np.cumsum(np.append(1 - similarity, 1 + similarity - similarity * (np.diff(i) + np.diff(j))))
@@ -241,53 +242,53 @@ def _similar_parts(a: np.ndarray, b: np.ndarray, shift: int, least: int, similar
     return out
 
 
-def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """Stretches [a0, a1] and [b0, b1] of tokens around shared ones that are similar enough. Matches of the whole texts are
-    found once; anchors in a pair of stretches are tried once, and no more where what was found covers both places. Where a stretch is not
-    similar as a whole, its maximal similar parts count, and an equal run of at least `least` tokens."""
-    in_a, in_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-    ends_a, ends_b = _parts(in_a), _parts(in_b)
-    out: list[tuple[int, int, int, int, float]] = []
-    tried: list[tuple[int, int, int, int]] = []
-    in_found = bytearray(len(a)), bytearray(len(b))
-    runs: dict[int, int] = {}  # by diagonal, the end of the last equal run that was too short; sorted anchors come in order
+def _met(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Pairs of a signature's places in two documents, as many as places: each meets the other's first, and the one of its own rank."""
+    if len(x) == len(y) == 1:
+        return [(x[0], y[0])]
+    return [(p, y[0]) for p in x] + [(x[0], q) for q in y] + [(x[k % len(x)], y[k % len(y)]) for k in range(max(len(x), len(y)))]
 
-    def add(found: list[tuple[int, int, int, int, float]]) -> None:
-        for p, q, r, t, _ in found:
-            in_found[0][p : q + 1] = b"\1" * (q - p + 1)
-            in_found[1][r : t + 1] = b"\1" * (t - r + 1)
-        out.extend(found)
 
-    for ca, cb in sorted(set(anchors)):
-        if ca >= len(a) or cb >= len(b) or in_found[0][ca] and in_found[1][cb] or a[ca] != b[cb]:
-            continue
-        if not any(p <= ca <= q and r <= cb <= t for p, q, r, t in tried):
-            (a0, a1), (b0, b1) = _around(in_a, ends_a, ca), _around(in_b, ends_b, cb)
-            before = len(out)
-            if min(a1 - a0, b1 - b0) + 1 >= least:
-                for _ in range(3):  # both sides shrink to what matches in the other
-                    w = np.flatnonzero(np.isin(a[a0 : a1 + 1], b[b0 : b1 + 1])) + a0
-                    na = _around(w, _parts(w), ca)
-                    w = np.flatnonzero(np.isin(b[b0 : b1 + 1], a[na[0] : na[1] + 1])) + b0
-                    nb = _around(w, _parts(w), cb)
-                    if (*na, *nb) == (a0, a1, b0, b1):
-                        break
-                    a0, a1, b0, b1 = *na, *nb
-                if min(a1 - a0, b1 - b0) + 1 >= least:
-                    score = _similarity(a[a0 : a1 + 1], b[b0 : b1 + 1])
-                    parts = [(0, a1 - a0, 0, b1 - b0, score)] if score >= similarity else _similar_parts(a[a0 : a1 + 1], b[b0 : b1 + 1], cb - b0 - ca + a0, least, similarity)
-                    add([(p + a0, q + a0, r + b0, t + b0, x) for p, q, r, t, x in parts])
-            tried.append((a0, a1, b0, b1))
-            if any(p <= ca <= q and r <= cb <= t for p, q, r, t, _ in out[before:]):
-                continue
-        if ca < runs.get(ca - cb, 0):
-            continue
-        j = _equal_run(a[ca:], b[cb:])
-        i = _equal_run(a[ca::-1], b[cb::-1])
-        if i + j - 1 >= least:
-            add([(ca - i + 1, ca + j - 1, cb - i + 1, cb + j - 1, 1.0)])
-        else:
-            runs[ca - cb] = ca + j
+def _ranked(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(b, kind="stable")
+    return order, b[order]
+
+
+def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Stretches [a0, a1] and [b0, b1] of tokens that are similar enough, near the diagonals (place in b less place in a) of the anchors. Matches of
+    the whole texts are found once; along a diagonal a token meets its equal nearest to it, up to BAND away, and
+    the chain of these matches is cut in its maximal similar parts. Anchors that what was found covers in both texts, or near a diagonal already tried, are not tried again."""
+    order, ranked = _ranked(b) if ranks is None else ranks
+    low = np.searchsorted(ranked, a)
+    equal = ranked[np.minimum(low, len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
+    ca, cb = np.array(sorted(set(anchors)), np.int64).reshape(-1, 2).T
+    ok = (ca < len(a)) & (cb < len(b))
+    ca, cb = ca[ok], cb[ok]
+    # a part of `least` tokens around an anchor has so many that occur in b at all
+    total = np.cumsum(np.append(0, equal))
+    enough = total[np.minimum(ca + least, len(a))] - total[np.maximum(ca - least + 1, 0)] >= similarity * least - 1e-9
+    ok = enough & (a[ca] == b[cb])
+    ca, cb = ca[ok], cb[ok]
+    if not len(ca):
+        return []
+    at = np.flatnonzero(equal)
+    low, high = low[at], np.searchsorted(ranked, a[at], "right")
+    ranks = np.searchsorted(ranked, ranked) << 32 | order  # ascending: equal tokens of b by place
+    covered = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    out: list[tuple[int, int, int, int, float]] = []
+    while len(ca):
+        shift = int(cb[0] - ca[0])
+        p = np.searchsorted(ranks, (low << 32) + np.maximum(at + shift, 0))
+        before, after = order[np.maximum(p - 1, low)], order[np.minimum(p, high - 1)]
+        j = np.where(np.abs(before - at - shift) <= np.abs(after - at - shift), before, after)
+        near = np.abs(j - at - shift) <= BAND
+        found = _similar_parts(a, b, *_chain(at[near], j[near]), least, similarity)
+        for p, q, r, t, _ in found:
+            covered[0][p : q + 1] = True
+            covered[1][r : t + 1] = True
+        out += found
+        rest = ~(covered[0][ca] & covered[1][cb]) & (np.abs(cb - ca - shift) > BAND // 2)
+        ca, cb = ca[rest], cb[rest]
     return out
 
 
@@ -295,23 +296,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float)
     """(a, b, a0, a1, b0, b1, score): verified stretches of pairs(a, b, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            rows = []
-            for x, y, anchors, ta, tb in zip(*(batch.column(c) for c in ("a", "b", "anchors", "t_a", "t_b"))):
-                x, y, tb = x.as_py(), y.as_py(), tb.as_py()
-                if tb not in memo:
-                    if len(memo) >= 16:
-                        memo.clear()
-                    memo[tb] = tokens_of(tb)
-                a, b = tokens_of(ta.as_py()), memo[tb]
-                rows += [(x, y, *found) for found in similar_stretches(a, b, [(ca, cb) for s in anchors.as_py() for ca in s["ca"] for cb in s["cb"]], least, similarity)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()])], names=["a", "b", "a0", "a1", "b0", "b1", "score"])
+        tokens: dict[int, np.ndarray] = {}
+        held, last, ranks = 0, None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows, left, right = [], batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                if held > HELD:
+                    tokens, held = {}, 0
+                where = {x: (k, "t_a") for k, x in enumerate(left) if x not in tokens} | {x: (k, "t_b") for k, x in enumerate(right) if x not in tokens}
+                for x, words in zip(where, word_hashes([batch.column(c)[k].as_py() for k, c in where.values()])):
+                    tokens[x] = shingled(words, SHINGLE)
+                    held += len(words)
+                for x, y, anchors in zip(left, right, batch.column("anchors").to_pylist()):
+                    places = [p for s in anchors for p in _met(s["ca"], s["cb"])]
+                    if y != last:  # rows come by b
+                        last, ranks = y, _ranked(tokens[y])
+                    rows += [(x, y, *found) for found in similar_stretches(tokens[x], tokens[y], places, least, similarity, ranks)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()])], names=["a", "b", "a0", "a1", "b0", "b1", "score"])
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    # size-checked: up to the bound only the texts that take part are shuffled
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    texts = texts.join(ids, "id", "left_semi")  # only texts that take part are shuffled, where Spark finds ids small enough to broadcast
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "anchors", "t_a", "t_b")
     return map_batches(both, run, "a bigint, b bigint, a0 int, a1 int, b0 int, b1 int, score double")
@@ -373,8 +379,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digests = written(raw.select("id", F.unhex(F.md5("text")).alias("digest")).distinct(), "digests")
     heads = written(digests.groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("copies")), "heads")
     copies = written(digests.join(heads.where("copies > 1"), "digest").where("id <> head").select("id"), "copies")
-    # size-checked: beyond the bound, Spark shuffles the texts
-    reps = raw.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "id", "left_anti")
+    reps = raw.join(copies, "id", "left_anti")
     windows = written(signatures(reps, least), "windows")
     keys = windows.select(F.explode("keys").alias("key"))
     multi = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "signatures")

@@ -251,7 +251,23 @@ def test_repeated_passages_match_brute_force(spark):
                 want[i].update(range(p, p + 50))
     got = covered(queries.op2_substring_dedup(spark, SF1).collect())
     assert all(want[i] <= got[i] for i in want)
-    assert len(set(got) - set(want)) <= 0.05 * len(want)  # near copies without a verbatim stretch
+    # what has no verbatim stretch has a near one: some other document's words, slid along, reach the similarity
+    grams = {i: [tuple(w[p : p + 5]) for p in range(len(w) - 4)] for i, w in docs.items()}
+    holders = defaultdict(set)
+    for i, g in grams.items():
+        for x in g:
+            holders[x].add(i)
+    for i in set(got) - set(want):
+        span = sorted(got[i])
+        own = set(grams[i][span[0] : span[0] + 46])
+        others = Counter(y for x in own for y in holders[x] if y != i)
+        best = 0.0
+        for y, _ in others.most_common(5):
+            for size in range(40, 53):
+                for p in range(max(1, len(grams[y]) - size + 1)):
+                    b = set(grams[y][p : p + size])
+                    best = max(best, len(own & b) / len(own | b))
+        assert best >= 0.7, i  # its first 46 tokens, whereas the similarity holds for the whole passage
 
 
 def test_planted_passages_and_odd_rows(spark):
