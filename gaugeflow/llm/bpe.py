@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from .common import map_batches
 
@@ -147,20 +148,19 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Encode and decode each row's whole text: (id, n_tokens long, ids binary, decoded string).
+def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode and decode each row's whole text: (id, the columns of keep, n_tokens long, ids binary, decoded string).
     A narrow map without shuffle; each worker loads the tokenizer file from its own installation."""
     path = tokenizer or default_path()
-    kind = df.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [c.encode(t) for t in part.column(1).to_pylist()]
+                ids = [c.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())],
-                    names=[id_col, "n_tokens", "ids", "decoded"])
+                    [*part.columns[:-1], pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())],
+                    names=[id_col, *keep, "n_tokens", "ids", "decoded"])
 
-    return map_batches(df.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded string")
+    schema = StructType([df.schema[c] for c in (id_col, *keep)]).add("n_tokens", LongType()).add("ids", BinaryType()).add("decoded", StringType())
+    return map_batches(df.select(id_col, *keep, F.col(text_col).cast("string").alias("_text")), run, schema)

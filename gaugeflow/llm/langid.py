@@ -154,12 +154,17 @@ def identify(df: DataFrame, model: LanguageProfiles, id_col: str = "doc_id", tex
     return map_batches(df.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, model: LanguageProfiles, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, in the columns they had; `und` rows go."""
-    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+def keep_identified(df: DataFrame, model: LanguageProfiles, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text has a language, in the columns they had; `und` rows go. A null language becomes the predicted one."""
+    shared, at, label = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col), df.columns.index(lang_col) if lang_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.predict(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+            found = [shared.value.predict(t)[0] for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            if label is not None:
+                known = columns[label].to_pylist()
+                columns[label] = pa.array([f if k is None else k for k, f in zip(known, found)], columns[label].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
 
     return map_batches(df, run, df.schema)

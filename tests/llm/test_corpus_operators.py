@@ -394,3 +394,17 @@ def test_pipeline_keeps_columns_and_odd_rows(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.count() == 0 or {r.doc_id for r in docs.collect()} <= {2}
+
+
+def test_pipeline_fills_languages_and_takes_an_empty_table(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    blank = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"), "source", "n_chars")
+    out = {r.doc_id: r.lang for r in cp.language_id(spark, blank, SF).collect()}
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(out[i] == known[i] for i in out if i % 3 > 0) and np.mean([out[i] == known[i] for i in out]) > 0.95 and None not in out.values()
+    none = docs.limit(0)
+    for _, stage in cp.STAGES:
+        none = stage(spark, none, SF)
+    assert none.count() == 0 and none.columns == ["doc_id", "lang", "n_tokens", "ids", "decoded_sha256"]
