@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import bpe, decontam, langid, near_docs, secrets
-from gaugeflow.llm.common import written
+from gaugeflow.llm.common import dropped, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn profiles from the labelled rows; documents without an identifiable language go."""
+    """Learn profiles from the labelled rows; documents without an identifiable language go, and the others without a label get the predicted one."""
     return langid.keep_identified(docs, langid.learn_profiles(docs))
 
 
@@ -34,8 +34,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (packed little-endian unsigned 32-bit), and whether they decode."""
-    return bpe.bpe_round_trip(docs).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids of each document (packed little-endian unsigned 32-bit) with its language, and what they decode to."""
+    found = bpe.bpe_round_trip(docs, keep=("lang",))
+    return found.select("doc_id", "lang", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -53,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written as Parquet in the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)  # nothing reads the stage before last any more
     return docs
