@@ -384,7 +384,7 @@ def arima_forecast(y: np.ndarray, spec: tuple[int, int, int, int], steps: int =
             m = np.eye(k + 1) - np.outer(s, u) / su
             inverse = m @ inverse @ m.T + np.outer(s, s) / su
         if fx - fn < 1e-10:
-            x, fx, converged = x + s, fn, True
+            x, fx, converged = x + s, fn, np.abs(gn).max() < 1e-3  # stalled: only a small gradient is convergence
             break
         x, fx, g = x + s, fn, gn
     ar, ma = _polynomials(spec, x[1:])

@@ -1,4 +1,4 @@
-"""Rolling-origin forecasts: baselines, conditional ARX and ARIMA attempts, past-residual intervals, metrics, selection.
+"""Parts of rolling-origin forecasts: baselines, conditional ARX and ARIMA fits, past-residual intervals, metrics. plans/rolling.py puts them in one run.
 
 Every scheduled attempt is a row with a status; nothing after an origin is used at it. grid has window, sensor, day, value, segment,
 rain (all days, missing kept). Training statistics come from one range join of origins with earlier days.
@@ -108,11 +108,12 @@ def arima_attempts(grid: DataFrame, origins: DataFrame, specs: dict[str, tuple[i
         pdf = pdf.sort_values("day")
         window, origin, model = pdf["window"].iloc[0], pdf["origin"].iloc[0], pdf["model"].iloc[0]
         f = arima_forecast(pdf["value"].to_numpy(float), specs[model], max(HORIZONS)) if pdf["value"].notna().sum() >= MIN_TARGETS else None
-        rows = [(window, origin, model, h, f["mean"][h - 1] if f else None, f["sd"][h - 1] if f else None, bool(f and f["converged"]), f["min_ar_root"] if f else None) for h in HORIZONS]
-        return pd.DataFrame(rows, columns=["window", "origin", "model", "horizon", "prediction", "sd", "converged", "min_ar_root"])
+        extra = ("min_ar_root", "min_ma_root", "level", "variance")
+        rows = [(window, origin, model, h, f["mean"][h - 1] if f else None, f["sd"][h - 1] if f else None, bool(f and f["converged"]), *(f[c] if f else None for c in extra)) for h in HORIZONS]
+        return pd.DataFrame(rows, columns=["window", "origin", "model", "horizon", "prediction", "sd", "converged", *extra])
 
     past = origins.join(grid.select("window", "day", "value"), "window").where(F.col("day") <= F.col("origin")).withColumn("model", F.explode(F.array(*map(F.lit, names))))
-    return past.groupBy("window", "origin", "model").applyInPandas(run, "window string, origin date, model string, horizon int, prediction double, sd double, converged boolean, min_ar_root double")
+    return past.groupBy("window", "origin", "model").applyInPandas(run, "window string, origin date, model string, horizon int, prediction double, sd double, converged boolean, min_ar_root double, min_ma_root double, level double, variance double")
 
 
 def past_residual_intervals(attempts: DataFrame, keys: list[str], levels: tuple[float, ...] = (0.80, 0.95)) -> DataFrame:
@@ -173,17 +174,3 @@ def paired_comparison(attempts: DataFrame, keys: list[str], reference: str = "ze
     ref = ok.where(F.col("model") == reference).select(*keys, "origin", F.col("absolute_error").alias("_ref"))
     return ok.where(F.col("model") != reference).join(ref, [*keys, "origin"]).groupBy(*keys, "model").agg(
         F.count("*").alias("n_pairs"), F.avg(F.col("absolute_error") - F.col("_ref")).alias("mean_difference"))
-
-
-def select_models(attempts: DataFrame, keys: list[str], min_coverage: float = 0.80, min_common: int = 30, within: float = 1.05) -> DataFrame:
-    """Among models with coverage, over the origins that all of them forecast: the simplest whose MAE is within 5 % of the best; zero change where there are too few."""
-    rank = F.element_at(F.create_map(*[x for i, m in enumerate(COMPLEXITY) for x in (F.lit(m), F.lit(i))]), F.col("model"))
-    cov = attempts.groupBy(*keys, "model").agg(F.try_divide(F.count_if(F.col("status") == "ok").cast("double"), F.count_if("core_eligible").cast("double")).alias("c")).where(F.col("c") >= min_coverage)
-    size = cov.groupBy(*keys).agg(F.count("*").alias("n_models"))
-    ok = attempts.where("absolute_error is not null").join(cov.select(*keys, "model"), [*keys, "model"]).join(size, keys)
-    common = ok.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "origin"))).where("_n = n_models")
-    mae = common.groupBy(*keys, "model").agg(F.avg("absolute_error").alias("mae"), F.count("*").alias("n_common")).withColumn("best", F.min("mae").over(Window.partitionBy(*keys)))
-    pick = mae.where(F.col("mae") <= F.col("best") * within).groupBy(*keys).agg(F.min_by("model", rank).alias("simplest"), F.max("n_common").alias("n_common"), F.max("best").alias("best_mae"))
-    every = attempts.select(*keys).distinct().join(pick, keys, "left")
-    enough = F.coalesce(F.col("n_common") >= min_common, F.lit(False))
-    return every.select(*keys, F.when(enough, F.col("simplest")).otherwise("zero_change").alias("retained"), F.coalesce("n_common", F.lit(0)).alias("n_common"), "best_mae")

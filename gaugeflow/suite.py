@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import align, coverage, lags, quality, regimes, series
-from .plans import changepoints, contracts, exploratory, forecast, synthesis
+from .plans import changepoints, contracts, exploratory, forecast, rolling, synthesis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -324,17 +324,151 @@ def fc_residual_shape(spark, sf_dir):
     return forecast.residual_shape(_attempts(spark, sf_dir), ["model"]).select("model", "n", F.round("bias", 4).alias("bias"), F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"))
 
 
-@query()
-def fc_selection(spark, sf_dir):
-    return forecast.select_models(_attempts(spark, sf_dir), ["window"])
-
-
 @query()
 def fc_arx(spark, sf_dir):
     grid = _grid(spark, sf_dir).join(predictor(spark, sf_dir).withColumnRenamed("value", "rain"), "day", "left")
     return forecast.arx_forecasts(forecast.arx_coefficients(grid, series.scheduled_origins(_windows(spark))), grid)
 
 
+# -- one rolling run ----------------------------------------------------------------------------
+
+_STAGED = """(VALUES
+  ('w1', '1-URGENT', DATE '1994-01-01', DATE '1998-06-01', DATE '1995-10-01', DATE '1997-09-30', CAST(NULL AS DATE)),
+  ('w2', '5-LOW', DATE '1994-01-01', DATE '1998-08-01', DATE '1995-03-06', DATE '1997-01-31', CAST(NULL AS DATE)),
+  ('x1', '1-URGENT', DATE '1994-01-01', DATE '1998-08-01', DATE '1998-05-10', CAST(NULL AS DATE), DATE '1998-04-20')) AS t({0}, sensor, start, stop, anchor, selection_end, blank_from)"""
+_ROLL = f"""WITH {_DAILY}, {_PAIR}, w AS (SELECT * FROM {_STAGED.format('win')}),
+grid AS (
+  SELECT w.win, w.sensor, CAST(x.day AS DATE) AS day,
+    CASE WHEN NOT coalesce(x.day >= w.blank_from AND x.day < w.anchor, false) AND d.eligible THEN d.value END AS value,
+    CASE WHEN NOT coalesce(x.day >= w.blank_from AND x.day < w.anchor, false) AND d.eligible THEN d.segment END AS segment,
+    CASE WHEN NOT coalesce(x.day >= w.blank_from AND x.day < w.anchor, false) THEN r.value END AS rain
+  FROM w, LATERAL (SELECT unnest(generate_series(w.start, w.stop - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day) x
+  LEFT JOIN daily d ON d.sensor = w.sensor AND d.day = CAST(x.day AS DATE) LEFT JOIN r ON r.day = CAST(x.day AS DATE)),
+origins AS (SELECT w.win, CAST(x.o AS DATE) AS origin FROM w, LATERAL (SELECT unnest(generate_series(w.anchor, w.stop - INTERVAL 1 DAY, INTERVAL 14 DAY)) AS o) x),
+hz AS (SELECT unnest([1, 2, 7]) AS horizon),
+core AS (
+  SELECT o.win, o.origin, h.horizon, count(g.value) = h.horizon + 1 AND count(g.segment) = h.horizon + 1 AND min(g.segment) = max(g.segment)
+    AND min({_WY.format('g.day')}) = max({_WY.format('g.day')}) AS c
+  FROM origins o, hz h JOIN grid g ON g.win = o.win AND g.day BETWEEN o.origin AND o.origin + h.horizon GROUP BY o.win, o.origin, h.horizon),
+{_STATS},
+frame AS (
+  SELECT s.*, w.sensor, h.horizon, s.origin + h.horizon AS target_date, coalesce(core.c, false) AS core_eligible, t.value AS observed, a.value AS at_origin, b.value AS prior_value,
+    training_days >= 365 AND training_targets >= 300 AS enough,
+    CASE WHEN w.selection_end IS NULL THEN 'external_time_check' WHEN s.origin <= w.selection_end THEN 'selection' ELSE 'evaluation' END AS stage,
+    CASE WHEN w.selection_end IS NULL OR s.origin <= w.selection_end THEN 'not_applicable'
+      WHEN 2 * (s.origin - (w.selection_end + 1)) <= (w.stop - 1) - (w.selection_end + 1) THEN 'early' ELSE 'late' END AS half
+  FROM stats s JOIN w USING (win) CROSS JOIN hz h LEFT JOIN core ON core.win = s.win AND core.origin = s.origin AND core.horizon = h.horizon
+  LEFT JOIN grid t ON t.win = s.win AND t.day = s.origin + h.horizon LEFT JOIN grid a ON a.win = s.win AND a.day = s.origin
+  LEFT JOIN grid b ON b.win = s.win AND b.day = CAST((s.origin + h.horizon) - INTERVAL 12 MONTH AS DATE) AND b.day <= s.origin
+    AND NOT (month(s.origin + h.horizon) = 2 AND day(s.origin + h.horizon) = 29)),
+equations AS (
+  SELECT * FROM (SELECT win, day, value AS y, lag(value) OVER q AS a, lag(rain, 2) OVER q AS b FROM grid WINDOW q AS (PARTITION BY win ORDER BY day))
+  WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+sums AS (
+  SELECT o.win, o.origin, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, var_pop(y) AS yy
+  FROM origins o JOIN equations e ON e.win = o.win AND e.day <= o.origin GROUP BY ALL),
+coef AS (
+  SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS phi, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS beta FROM sums WHERE n >= 240 AND aa * bb - ab * ab > 1e-12 * aa * bb),
+arx AS (
+  SELECT c.win, c.origin, my - phi * ma - beta * mb AS c0, phi, beta, n * (yy - phi * ay - beta * byy) / (n - 3) AS sigma2, g0.value AS y0, g0.rain AS r0, g1.rain AS r1
+  FROM coef c JOIN grid g0 ON g0.win = c.win AND g0.day = c.origin LEFT JOIN grid g1 ON g1.win = c.win AND g1.day = c.origin - 1),
+made AS (
+  SELECT win, origin, 1 AS horizon, c0 + phi * y0 + beta * r1 AS p, sigma2 AS v FROM arx
+  UNION ALL SELECT win, origin, 2, c0 + phi * (c0 + phi * y0 + beta * r1) + beta * r0, sigma2 * (1 + phi * phi) FROM arx),
+models AS (
+  SELECT *, 'zero_change' AS model, 0.0 AS guess, NULL AS v FROM frame UNION ALL SELECT *, 'persistence', at_origin, NULL FROM frame
+  UNION ALL SELECT *, 'expanding_median', training_median, NULL FROM frame UNION ALL SELECT *, 'prior_year', prior_value, NULL FROM frame
+  UNION ALL SELECT f.*, 'arx', m.p, m.v FROM frame f LEFT JOIN made m USING (win, origin, horizon)),
+said AS (
+  SELECT *, CASE WHEN model = 'arx' AND horizon = 7 THEN 'feature_unavailable' WHEN NOT core_eligible THEN 'ineligible_core_origin' WHEN NOT enough THEN 'insufficient_training'
+    WHEN guess IS NOT NULL THEN 'ok' WHEN model = 'arx' THEN 'insufficient_training' ELSE 'feature_unavailable' END AS status FROM models),
+att AS (SELECT *, CASE WHEN status = 'ok' THEN guess END AS prediction, observed - CASE WHEN status = 'ok' THEN guess END AS error FROM said),
+cal AS (
+  SELECT h.win, h.model, h.horizon, h.origin, count(*) AS n_cal, quantile_cont(p.error, 0.1) AS lo, quantile_cont(p.error, 0.9) AS hi
+  FROM att h JOIN att p ON p.win = h.win AND p.model = h.model AND p.horizon = h.horizon AND p.origin < h.origin AND p.target_date <= h.origin AND p.error IS NOT NULL
+  WHERE h.prediction IS NOT NULL AND h.model <> 'arx' GROUP BY ALL),
+att2 AS (
+  SELECT att.*, CASE WHEN status <> 'ok' THEN 'no_forecast' WHEN model = 'arx' THEN 'ok_model_based' WHEN coalesce(n_cal, 0) >= 30 THEN 'calibrated' ELSE 'insufficient_past_calibration' END AS interval_status,
+    CASE WHEN status = 'ok' AND model = 'arx' THEN prediction - 1.2815515655446004 * sqrt(v) WHEN n_cal >= 30 THEN prediction + lo END AS lower_80,
+    CASE WHEN status = 'ok' AND model = 'arx' THEN prediction + 1.2815515655446004 * sqrt(v) WHEN n_cal >= 30 THEN prediction + hi END AS upper_80
+  FROM att LEFT JOIN cal USING (win, model, horizon, origin))"""
+
+
+def _staged(spark, sf_dir):
+    windows = spark.sql("SELECT * FROM " + _STAGED.format("`window`"))
+    return rolling.target_grid(daily_levels(spark, sf_dir), response(spark, sf_dir).withColumnRenamed("value", "rain"), windows), windows
+
+
+def _rolling(spark, sf_dir, arima=None):
+    return rolling.rolling_forecasts(*_staged(spark, sf_dir), arima={} if arima is None else arima)
+
+
+def _shown(c: str) -> str:
+    """Sums of squares leave ARX figures fewer sure digits."""
+    return f"CASE WHEN model = 'arx' THEN round({c}, 1) ELSE round({c}, 4) END AS {c}"
+
+
+@query(f"""{_ROLL} SELECT win AS "window", sensor, origin, stage, half, horizon, model, core_eligible, training_days, training_targets, status, interval_status, {_shown('prediction')}, {_shown('error')}, {_shown('lower_80')}, {_shown('upper_80')}, abs(observed) > high_movement AS high, CASE WHEN month(target_date) IN (10,11,12,1,2,3,4) THEN 'wet' ELSE 'dry' END AS season FROM att2""")
+def fc_attempts(spark, sf_dir):
+    a, _ = _rolling(spark, sf_dir)
+    return a.select("window", "sensor", "origin", "stage", "half", "horizon", "model", "core_eligible", "training_days", "training_targets", "status", "interval_status",
+                    *[F.when(F.col("model") == "arx", F.round(c, 1)).otherwise(F.round(c, 4)).alias(c) for c in ("prediction", "error", "lower_80", "upper_80")], "high", "season")
+
+
+_DECIDED = f"""{_ROLL}, sel AS (SELECT * FROM att WHERE stage = 'selection'),
+able AS (SELECT win, horizon, model FROM sel GROUP BY ALL HAVING coalesce(count(*) FILTER (status = 'ok') / nullif(count(*) FILTER (core_eligible), 0), 0) >= 0.8),
+able_of AS (SELECT win, horizon, count(*) AS n_models, string_agg(model, ';' ORDER BY model) AS candidates FROM able GROUP BY ALL),
+common AS (SELECT win, horizon, origin FROM sel JOIN able USING (win, horizon, model) JOIN able_of USING (win, horizon) WHERE status = 'ok' GROUP BY win, horizon, origin, n_models HAVING count(*) = n_models),
+mae AS (SELECT win, horizon, model, avg(abs(error)) AS mae, count(*) AS n_common FROM sel JOIN able USING (win, horizon, model) JOIN common USING (win, horizon, origin) GROUP BY ALL),
+ranks(model, k) AS (VALUES ('zero_change', 0), ('persistence', 1), ('expanding_median', 2), ('prior_year', 3), ('arx', 9)),
+near AS (SELECT *, min(mae) OVER (PARTITION BY win, horizon) AS best FROM mae),
+pick AS (SELECT win, horizon, arg_min(model, k) AS model, arg_min(mae, k) AS mae, max(n_common) AS n_common FROM near JOIN ranks USING (model) WHERE mae <= best * 1.05 GROUP BY ALL),
+zero AS (SELECT win, horizon, avg(abs(error)) AS mae FROM sel JOIN able USING (win, horizon, model) WHERE model = 'zero_change' AND status = 'ok' GROUP BY ALL),
+base AS (SELECT win, sensor, horizon, coalesce(p.n_common, 0) AS n_common, coalesce(candidates, '') AS candidates, CASE WHEN p.n_common >= 30 AND p.mae IS NOT NULL THEN p.model ELSE 'zero_change' END AS retained,
+  CASE WHEN p.n_common >= 30 AND p.mae IS NOT NULL THEN p.mae ELSE z.mae END AS selection_mae, coalesce(p.n_common >= 30 AND p.mae IS NOT NULL, false) AS enough
+  FROM (SELECT DISTINCT win, sensor, horizon FROM sel) LEFT JOIN able_of USING (win, horizon) LEFT JOIN pick p USING (win, horizon) LEFT JOIN zero z USING (win, horizon)),
+later AS (SELECT win, horizon, model, avg(abs(error)) AS m FROM att WHERE stage = 'evaluation' AND status = 'ok' GROUP BY ALL),
+best AS (SELECT win, horizon, first(model ORDER BY m, model) AS model, min(m) AS m FROM later GROUP BY ALL),
+outside AS (SELECT sensor, horizon, model, count(*) AS n, avg(abs(error)) AS m FROM att WHERE stage = 'external_time_check' AND status = 'ok' GROUP BY ALL)"""
+
+
+@query(f"""{_DECIDED}
+SELECT b.win AS "window", b.sensor, b.horizon, retained, CASE WHEN enough THEN 'lowest_common_origin_mae_with_five_percent_complexity_tie_rule' ELSE 'insufficient_common_selection_origins_retain_zero' END AS reason,
+ candidates, n_common, round(selection_mae, 2) AS selection_mae, round(l.m, 2) AS evaluation_mae, coalesce(e.model, 'none') AS evaluation_best, round(e.m, 2) AS evaluation_best_mae, coalesce(o.n, 0) AS n_external, round(o.m, 2) AS external_mae, true AS evaluation_does_not_revise_selection
+FROM base b LEFT JOIN later l ON l.win = b.win AND l.horizon = b.horizon AND l.model = b.retained LEFT JOIN best e ON e.win = b.win AND e.horizon = b.horizon LEFT JOIN outside o ON o.sensor = b.sensor AND o.horizon = b.horizon AND o.model = b.retained""")
+def fc_selection(spark, sf_dir):
+    d = rolling.selection_decisions(_rolling(spark, sf_dir)[0])
+    return d.select("window", "sensor", "horizon", "retained", "reason", "candidates", "n_common", "evaluation_best", "n_external", "evaluation_does_not_revise_selection",
+                    *[F.round(c, 2).alias(c) for c in ("selection_mae", "evaluation_mae", "evaluation_best_mae", "external_mae")])
+
+
+@query(f"""{_ROLL}, par AS (SELECT 'constant' AS parameter, c0 AS value FROM arx0 UNION ALL SELECT 'ar.L1', phi FROM arx0 UNION ALL SELECT 'rain_lag2', beta FROM arx0)
+ SELECT 'arx' AS model, parameter, count(value) AS n, round(quantile_cont(value, 0.25), 5) AS q25, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.75), 5) AS q75, 1.0 AS converged_share FROM par GROUP BY ALL""".replace(", par AS (", ", arx0 AS (SELECT my - phi * ma - beta * mb AS c0, phi, beta FROM coef), par AS (", 1))
+def fc_parameter_stability(spark, sf_dir):
+    p = forecast.parameter_stability(_rolling(spark, sf_dir)[1], ["model", "parameter"])
+    return p.select("model", "parameter", "n", *[F.round(c, 5).alias(c) for c in ("q25", "median", "q75")], "converged_share")
+
+
+@query(f"""{_ROLL}, there AS (SELECT *, lower_80 IS NOT NULL AND upper_80 IS NOT NULL AND observed IS NOT NULL AS t FROM att2)
+ SELECT model, horizon, count(*) FILTER (t) AS n_intervals, round(avg(CASE WHEN t THEN CAST(observed BETWEEN lower_80 AND upper_80 AS INT) END), 8) AS coverage, round(avg(CASE WHEN t THEN upper_80 - lower_80 END), 1) AS width,
+  round(avg(CASE WHEN t THEN upper_80 - lower_80 + 10 * greatest(lower_80 - observed, 0) + 10 * greatest(observed - upper_80, 0) END), 1) AS score FROM there GROUP BY ALL""")
+def fc_interval_diagnostics(spark, sf_dir):
+    d = forecast.interval_diagnostics(_rolling(spark, sf_dir)[0], ["model", "horizon"], 0.80)
+    return d.select("model", "horizon", "n_intervals", F.round("coverage", 8).alias("coverage"), F.round("width", 1).alias("width"), F.round("score", 1).alias("score"))
+
+
+@query(f"""{_ROLL} SELECT w.win AS "window", w.sensor, start, stop, anchor, selection_end, CAST(stop - start AS INT) AS calendar_days, count(value) AS n_eligible, min(day) FILTER (value IS NOT NULL) AS first_eligible, max(day) FILTER (value IS NOT NULL) AS last_eligible
+ FROM w JOIN grid USING (win) GROUP BY ALL""")
+def fc_target_windows(spark, sf_dir):
+    return rolling.target_windows(*_staged(spark, sf_dir))
+
+
+@query("""SELECT * FROM (VALUES ('zero_change', 'baseline', 0), ('persistence', 'baseline', 1), ('expanding_median', 'baseline', 2), ('prior_year', 'baseline', 3), ('mean', 'ARIMA', 4), ('ar1', 'ARIMA', 5), ('ar2', 'ARIMA', 6),
+ ('arma11', 'ARIMA', 7), ('sar1', 'ARIMA', 8), ('arx', 'conditional_ARX', 9)) AS t(model, family, complexity)""")
+def fc_model_specifications(spark, sf_dir):
+    return spark.createDataFrame([r[:3] for r in rolling.model_specifications()], "model string, family string, complexity int")
+
+
 # -- lags, top-k, alignment ---------------------------------------------------------------------
 
 _CURVE = f"""WITH {_PAIR}, curve AS (SELECT l.lag, count(*) AS n_pairs, corr(p.value, r.value) AS correlation FROM generate_series(0, 30) l(lag) JOIN p ON true JOIN r ON r.day = p.day + CAST(l.lag AS INT) GROUP BY 1 HAVING count(*) >= 3)"""
@@ -478,15 +612,19 @@ def fc_comparison_uncertainty(spark, sf_dir):
 
 @query()
 def fc_arima_attempts(spark, sf_dir):
-    """One order at a few origins: a fit is a task of about a second."""
-    origins = series.scheduled_origins(_windows(spark), 180)
-    return forecast.arima_attempts(_grid(spark, sf_dir), origins, {"ar1": forecast.ARIMA["ar1"]}).select("window", "origin", "model", "horizon", F.round("prediction", 0).alias("prediction"), "converged")
+    """All orders at every scheduled origin, in the one rolling run; a fit is a task of about a second."""
+    a, _ = _rolling(spark, sf_dir, forecast.ARIMA)
+    return a.where("family = 'ARIMA'").select("window", "origin", "stage", "horizon", "model", "status", "converged", F.round("prediction", 0).alias("prediction"), F.round("lower_80", 0).alias("lower_80"), F.round("upper_80", 0).alias("upper_80"))
 
 
-@query()
+@query(f"""{_DECIDED}, m AS (SELECT win, horizon, model, avg(abs(error)) AS mae, count(*) FILTER (status = 'ok') AS n FROM att WHERE stage = 'evaluation' GROUP BY ALL)
+ SELECT b.win AS "window", b.horizon, b.retained, round(own.mae, 2) AS retained_mae, own.n AS retained_n, round(ref.mae, 2) AS reference_mae, round(own.mae / nullif(ref.mae, 0), 8) AS ratio
+ FROM base b LEFT JOIN m own ON own.win = b.win AND own.horizon = b.horizon AND own.model = b.retained LEFT JOIN m ref ON ref.win = b.win AND ref.horizon = b.horizon AND ref.model = 'zero_change'""")
 def sy_key_results(spark, sf_dir):
-    a = _attempts(spark, sf_dir)
-    return synthesis.key_results(forecast.select_models(a, ["window"]), forecast.validation_metrics(a, ["window", "model"]), ["window"])
+    a, _ = _rolling(spark, sf_dir)
+    later = a.where("stage = 'evaluation'")
+    out = synthesis.key_results(rolling.selection_decisions(a).select("window", "horizon", "retained"), forecast.validation_metrics(later, ["window", "horizon", "model"]), ["window", "horizon"])
+    return out.select("window", "horizon", "retained", F.round("retained_mae", 2).alias("retained_mae"), "retained_n", F.round("reference_mae", 2).alias("reference_mae"), F.round("ratio", 8).alias("ratio"))
 
 
 @query("""SELECT 'C01' AS claim, 'daily' AS evidence, printf('%d sensors on %d days', count(DISTINCT o_orderpriority), count(DISTINCT CAST(o_orderdate AS DATE))) AS statement FROM orders""")
