@@ -36,6 +36,32 @@ def interval_daily(obs: DataFrame, min_count: int = 90, per_day: int = 96) -> Da
         F.when(F.size(segments) == 1, F.get(segments, 0)).otherwise("mixed_or_none").alias("segment"), ((n >= min_count) & (F.size(segments) == 1)).alias("eligible"))
 
 
+def daily_analysis(levels: DataFrame, intervals: DataFrame, cumulative: tuple[str, ...] = (), same_water_year: tuple[str, ...] = (), match: Column | None = None) -> DataFrame:
+    """levels(sensor, day, value, segment, eligible) and intervals, an interval_daily table, as one long table: levels, changes from the day before (cumulative sensors' only
+    within a water year and where both days meet match), and interval sums. Nothing is interpolated or spliced."""
+    columns = ["sensor", "day", "segment", "transformation", "value", "eligible", "coverage_count", "coverage_fraction"]
+    is_cumulative = F.col("sensor").isin(*cumulative) if cumulative else F.lit(False)
+    bare = levels.select("sensor", "day", "segment", "value", "eligible", F.lit(None).cast("bigint").alias("coverage_count"), F.lit(None).cast("double").alias("coverage_fraction"), *([match.alias("_match")] if match is not None else []))
+    within = F.col("sensor").isin(*same_water_year) if same_water_year else F.lit(False)
+    parts = [bare.withColumn("transformation", F.when(is_cumulative, "daily_cumulative_level").otherwise("daily_level"))]
+    for some, name, water, extra in ((~is_cumulative & ~within, "daily_first_difference", False, None), (~is_cumulative & within, "daily_first_difference", True, None),
+                                     (is_cumulative, "daily_cumulative_difference", True, None if match is None else F.col("_match"))):
+        parts.append(daily_changes(bare.where(some), water, extra).withColumn("transformation", F.lit(name)))
+    parts.append(intervals.withColumn("transformation", F.lit("interval_daily_total")))
+    out = parts[0].select(*columns)
+    for x in parts[1:]:
+        out = out.unionByName(x.select(*columns))
+    return out.withColumn("water_year", water_year(F.col("day")))
+
+
+def month_pivot(df: DataFrame, sensors: list[str]) -> DataFrame:
+    """Mean value of each sensor by month; every month from the first to the last has a row."""
+    by = df.groupBy(F.to_date(F.date_trunc("month", "day")).alias("month")).pivot("sensor", sensors).agg(F.avg("value"))
+    ends = df.agg(F.to_date(F.date_trunc("month", F.min("day"))).alias("a"), F.to_date(F.date_trunc("month", F.max("day"))).alias("b")).where("a is not null")
+    every = ends.select(F.explode(F.sequence("a", "b", F.make_ym_interval(months=F.lit(1)))).alias("month"))
+    return every.join(by, "month", "left")
+
+
 def first_per_day(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each day, by an explicit order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "day").orderBy(*order))).where("_r = 1").drop("_r")

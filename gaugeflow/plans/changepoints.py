@@ -37,6 +37,20 @@ def detect(runs: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
     return runs.select(*keys, "day", "value").groupBy(*keys).applyInPandas(run, f"{schema}, method string, setting string, candidate_day date, candidate_index int")
 
 
+def run_settings(runs: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
+    """Of each run: first and last day, length, and how many settings are tried on it."""
+    n = F.count("*")
+    splits = sum(((n >= (k + 1) * least).cast("int") for k in SPLITS[1:]), (n >= (SPLITS[0] + 1) * least).cast("int"))
+    tried = F.when(n >= 2 * least, F.lit(len(SETTINGS)) + splits).otherwise(0)
+    return runs.groupBy(*keys).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), n.alias("n_days"), tried.alias("n_settings"))
+
+
+def run_summary(runs: DataFrame, detections: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
+    """run_settings with the number of raw detections, 0 where there are none."""
+    found = detections.groupBy(*keys).agg(F.count("*").alias("n_detections"))
+    return run_settings(runs, keys, least).join(found, keys, "left").withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
+
+
 def first_split(runs: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
     """The first split of binary segmentation as window sums alone: the index of largest gain in squared error."""
     from pyspark.sql import Window

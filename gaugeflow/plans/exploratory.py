@@ -104,7 +104,8 @@ def event_alignment(left: DataFrame, right: DataFrame, events: DataFrame, tolera
     from ..functions.scalar import safe_corr
     from ..operators.align import nearest_candidates, one_to_one
 
-    span = lambda df: df.join(F.broadcast(events), (F.col("stamp") >= F.date_sub("day", 1)) & (F.col("stamp") < F.date_add("day", 3))).select("event", "stamp", "value")
+    # events are a small dimension; Spark broadcasts them if it finds them so
+    span = lambda df: df.join(events, (F.col("stamp") >= F.date_sub("day", 1)) & (F.col("stamp") < F.date_add("day", 3))).select("event", "stamp", "value")
     lagged = span(left).withColumn("lag_min", F.explode(F.sequence(F.lit(0), F.lit(60 * max_lag_hours), F.lit(step_min)))).withColumn("stamp", F.col("stamp") + F.make_dt_interval(mins=F.col("lag_min")))
     reach = span(right).withColumn("lag_min", F.explode(F.sequence(F.lit(0), F.lit(60 * max_lag_hours), F.lit(step_min))))
     out = None

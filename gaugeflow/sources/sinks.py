@@ -19,9 +19,15 @@ def write_checked(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     n = seen.get["n"]
     if (found := spark.read.schema(df.schema).parquet(f"{path}.partial").count()) != n:
         raise OSError(f"{found} of {n} rows")
-    fs.delete(target, True)
+    old = sc._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):  # aside, so that a failed rename loses neither
+        raise OSError(f"cannot rename {path}")
     if not fs.rename(part, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"cannot rename {path}.partial")
+    fs.delete(old, True)
     return n
 
 

@@ -548,6 +548,90 @@ def cp_summary(spark, sf_dir):
     return changepoints.summarize(changepoints.detect(_cp_runs(spark, sf_dir), ["run"]), ["run"])
 
 
+# -- further operators --------------------------------------------------------------------------
+
+def _interval(spark, sf_dir):
+    return series.interval_daily(quality.level_eligibility(quality.flagged(observations(spark, sf_dir))).withColumn("segment", F.lit("s")), min_count=20)
+
+
+@query(f"""{_FLAGS}, {_DAILY}, c AS (SELECT *, lag(day) OVER q AS d1, lag(value) OVER q AS v1, lag(segment) OVER q AS s1, lag(eligible) OVER q AS e1 FROM daily WINDOW q AS (PARTITION BY sensor ORDER BY day)),
+u AS (
+  SELECT sensor, day, segment, CASE WHEN sensor = '5-LOW' THEN 'daily_cumulative_level' ELSE 'daily_level' END AS transformation, value, eligible, NULL AS coverage_count FROM daily
+  UNION ALL SELECT sensor, day, segment, CASE WHEN sensor = '5-LOW' THEN 'daily_cumulative_difference' ELSE 'daily_first_difference' END, value - v1,
+    coalesce(eligible AND e1 AND day - d1 = 1 AND segment = s1 AND (sensor NOT IN ('5-LOW', '2-HIGH') OR {_WY.format('day')} = {_WY.format('d1')}), false), NULL FROM c
+  UNION ALL SELECT sensor, CAST(stamp AS DATE), CASE WHEN count(*) FILTER (ok) > 0 THEN 's' ELSE 'mixed_or_none' END, 'interval_daily_total', sum(CASE WHEN ok THEN value END), count(*) FILTER (ok) >= 20, count(*) FILTER (ok)
+  FROM (SELECT *, value IS NOT NULL AND NOT dup AND NOT blank AND NOT bad AND NOT malformed AND NOT sentinel AND NOT coalesce(d < 0, false) AS ok FROM flagged) GROUP BY sensor, CAST(stamp AS DATE))
+SELECT sensor, day, segment, transformation, round(value, 2) AS value, eligible, coverage_count, {_WY.format('day')} AS water_year FROM u""")
+def wn_daily_analysis(spark, sf_dir):
+    a = series.daily_analysis(daily_levels(spark, sf_dir), _interval(spark, sf_dir), cumulative=("5-LOW",), same_water_year=("2-HIGH",))
+    return a.select("sensor", "day", "segment", "transformation", F.round("value", 2).alias("value"), "eligible", "coverage_count", "water_year")
+
+
+@query(f"""{_FLAGS}, one AS (SELECT sensor, stamp, any_value(value) AS value FROM flagged WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) = 1) SELECT sensor, count(*) AS n, round(sum(value), 2) AS total FROM one GROUP BY 1""")
+def ag_drop_all_copies(spark, sf_dir):
+    f = quality.flagged(observations(spark, sf_dir)).where("value is not null")
+    return series.drop_all_copies(f, ["sensor", "stamp"]).groupBy("sensor").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"""WITH {_OBS} SELECT sensor, CAST(stamp AS DATE) AS day, arg_min(row_no, (stamp, row_no)) AS row_no FROM obs GROUP BY ALL""")
+def pj_first_per_day(spark, sf_dir):
+    return series.first_per_day(observations(spark, sf_dir).withColumn("day", F.to_date("stamp")), ["sensor"], ["stamp", "row_no"]).select("sensor", "day", "row_no")
+
+
+@query(f"""WITH {_DAILY}, m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, sensor, avg(value) AS v FROM daily GROUP BY ALL), e AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM m)
+ SELECT e.month, round(max(v) FILTER (sensor = '1-URGENT'), 6) AS urgent, round(max(v) FILTER (sensor = '5-LOW'), 6) AS low FROM e LEFT JOIN m USING (month) GROUP BY ALL""")
+def pj_month_pivot(spark, sf_dir):
+    return series.month_pivot(daily_levels(spark, sf_dir), ["1-URGENT", "5-LOW"]).select("month", F.round("1-URGENT", 6).alias("urgent"), F.round("5-LOW", 6).alias("low"))
+
+
+@query(f"""{_FLAGS} SELECT sensor, CAST(stamp AS DATE) AS day, flag, CASE WHEN flag THEN reason ELSE 'none' END AS event_text, count(*) AS n
+ FROM (SELECT f.*, b.reason IS NOT NULL AS flag, b.reason FROM flagged f LEFT JOIN (VALUES ('click', DATE '2024-01-01', 'first'), ('view', DATE '2024-01-03', 'moved')) AS b(sensor, day, reason) ON b.sensor = f.sensor AND b.day = CAST(f.stamp AS DATE)) GROUP BY ALL""")
+def qc_change_boundaries(spark, sf_dir):
+    starts = spark.sql("SELECT * FROM VALUES ('click', TIMESTAMP_NTZ '2024-01-01 06:00:00', 'first'), ('view', TIMESTAMP_NTZ '2024-01-03 00:00:00', 'moved') AS t(sensor, start, segment)")
+    out = regimes.change_boundaries(quality.flagged(observations(spark, sf_dir)), starts)
+    return out.groupBy("sensor", F.to_date("stamp").alias("day"), F.col("flag_documented_change_boundary").alias("flag"), "event_text").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_FLAGS}, p AS (SELECT sensor, stamp, value, lag(stamp) OVER q AS s1, lag(value) OVER q AS v1, count(*) OVER (PARTITION BY sensor, stamp) AS n FROM (SELECT sensor, stamp, avg(value) AS value FROM flagged WHERE value IS NOT NULL GROUP BY ALL) WINDOW q AS (PARTITION BY sensor ORDER BY stamp))
+ SELECT sensor, count(*) AS n, round(sum(value - v1), 4) AS total FROM p WHERE stamp > s1 AND stamp <= s1 + INTERVAL 20 MINUTE GROUP BY 1""")
+def wn_event_changes(spark, sf_dir):
+    f = quality.flagged(observations(spark, sf_dir)).where("value is not null").groupBy("sensor", "stamp").agg(F.avg("value").alias("value")).withColumn("segment", F.lit("s"))
+    return align.event_changes(f).groupBy("sensor").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""{_FLAGS}, again AS (SELECT sensor, CAST(stamp AS DATE) AS day, quantile_cont(value, 0.5) AS m, max(value) AS top FROM flagged WHERE value IS NOT NULL GROUP BY ALL)
+ SELECT sensor, count(*) AS n_days, count(*) FILTER (m = top) AS n_match, count(*) FILTER (m <> top) AS n_differ, round(max(abs(top - m)), 6) AS max_diff FROM again GROUP BY 1""")
+def ag_recomputed_daily(spark, sf_dir):
+    f = quality.flagged(observations(spark, sf_dir))
+    top = f.where("value is not null").groupBy("sensor", F.to_date("stamp").alias("day")).agg(F.max("value").alias("value"))
+    return coverage.recomputed_daily(f, top, cumulative=False).withColumn("max_diff", F.round("max_diff", 6))
+
+
+@query(f"""WITH {_PAIR}, c AS (SELECT * FROM (VALUES ('a', DATE '1995-03-10', 0), ('b', DATE '1995-03-16', 1), ('c', DATE '1997-08-01', 2)) AS t(context, day, position))
+ SELECT p.day AS point, arg_min(context, (abs(p.day - c.day), position)) AS context, CAST(arg_min(p.day - c.day, (abs(p.day - c.day), position)) AS INT) AS offset_days FROM p LEFT JOIN c ON abs(p.day - c.day) <= 7 GROUP BY 1""")
+def jn_nearest_context(spark, sf_dir):
+    c = spark.sql("SELECT * FROM VALUES ('a', DATE '1995-03-10', 0), ('b', DATE '1995-03-16', 1), ('c', DATE '1997-08-01', 2) AS t(context, day, position)")
+    return regimes.nearest_context(predictor(spark, sf_dir).select(F.col("day").alias("point")), c)
+
+
+@query(f"""WITH {_PAIR}, r2 AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM r), k AS (SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS n_days FROM (SELECT day, day - CAST(i AS INT) AS g FROM r2) GROUP BY g HAVING count(*) >= 60)
+ SELECT first_day, last_day, n_days, CAST(3 + CAST(n_days >= 60 AS INT) + CAST(n_days >= 90 AS INT) + CAST(n_days >= 120 AS INT) AS INT) AS n_settings FROM k""")
+def cp_run_settings(spark, sf_dir):
+    return changepoints.run_settings(_cp_runs(spark, sf_dir), ["run"]).drop("run")
+
+
+@query(f"""WITH {_OBS} SELECT stamp FROM obs WHERE sensor = 'click' EXCEPT SELECT stamp FROM obs WHERE sensor = 'view'""")
+def so_difference(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    return o.where("sensor = 'click'").select("stamp").subtract(o.where("sensor = 'view'").select("stamp"))
+
+
+@query(f"""WITH {_OBS} SELECT stamp FROM obs WHERE sensor = 'click' UNION SELECT stamp FROM obs WHERE sensor = 'view'""")
+def so_union_distinct(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    return o.where("sensor in ('click', 'view')").select("stamp").distinct()
+
+
 @query("""SELECT 'duplicate_key' AS rule, 'page_id' AS "column", CAST(coalesce(sum(k) FILTER (k > 1), 0) AS BIGINT) AS n FROM (SELECT page_id, count(*) k FROM pages GROUP BY 1)
  UNION ALL SELECT 'blank', 'url', count(*) FILTER (coalesce(lower(trim(url)) IN ('','na','n/a','nan','null','none','tbd'), true)) FROM pages UNION ALL SELECT 'https', 'url', count(*) FILTER (NOT coalesce(regexp_matches(url, '^https://[^/\\s]+'), false)) FROM pages
  UNION ALL SELECT 'min_rows', '*', CAST(greatest(0, 1 - count(*)) AS BIGINT) FROM pages""")
