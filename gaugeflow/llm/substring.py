@@ -11,7 +11,7 @@ joint signature ties its documents to one of them, and tokens verify each tie: a
 shared tokens, matches are followed over short gaps, and the two stretches must reach the similarity. A document
 is held against its likeliest partner first; ties that lie in verified stretches of both documents, in one component, need
 no other. Then the other holders of a
-signature get a new leader, unless verified stretches cover them all in one component; after LEADS leaders, all pairs left are verified.
+signature are split in classes by what surrounds it in each, and get a new leader, unless verified stretches cover them all in one component; after LEADS leaders, all pairs left are verified.
 
 A passage that repeats exactly agrees in all functions; one at similarity 0.8 agrees in two of four with probability 0.97.
 
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, map_batches, released, written
-from .near_docs import _mixed, shingled, word_hashes
+from .common import components, dropped, map_batches, released, sorted_groups, written
+from .near_docs import _chunked, _dealt, _intersections, _mixed, shingled, word_hashes
 
 HASHES = 4  # a power of two
 SHINGLE = 5
@@ -371,6 +371,61 @@ def _still_open(holders: DataFrame, state: DataFrame) -> DataFrame:
     return written(placed.join(keys.where("lo < hi and not (done and first = last)").select("key"), "key", "left_semi"), "open")
 
 
+def _neighbours(holders: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """holders(key, id, c) as (key, id, near): the distinct tokens (32 bits each) less than `least` from the signature's places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                keys, ids, near = [], [], []
+                for doc, own, words in zip(batch.column("id").to_pylist(), batch.column("own").to_pylist(), word_hashes(batch.column("text").to_pylist())):
+                    tokens = (shingled(words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+                    for s in own:
+                        keys.append(s["key"])
+                        ids.append(doc)
+                        near.append(np.unique(np.concatenate([tokens[max(c - least + 1, 0) : c + least] for c in s["c"]])).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(near, pa.binary())], names=["key", "id", "near"])
+
+    own = holders.groupBy("id").agg(F.collect_list(F.struct("key", "c")).alias("own"))
+    return map_batches(texts.join(own, "id").select("id", "own", "text"), run, "key bigint, id bigint, near binary")
+
+
+def _refined(holders: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """The holders of each signature split in classes, keyed anew: two holders come together if what surrounds the signature in both has as many tokens in common as
+    a similar passage of `least` tokens around it must. So a line that many documents share ties none of them whose surroundings differ. Holders that are alone go."""
+    near = written(_neighbours(holders, texts, least), "near")
+    sized = near.withColumn("component", F.col("id")).withColumn("n", F.octet_length("near").cast("bigint") / 4)
+    chunks = written(_chunked(sized.groupBy("key"), "key"), "chunks")
+    rows = _dealt(sized.join(chunks, "key").select("key", "id", "near", "chunks"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "g"):
+            common = _intersections([np.frombuffer(x, np.uint32) for x in group.column("near").to_pylist()])
+            i, j = np.nonzero(np.triu(common >= similarity * least - 1e-9, 1))
+            root = np.arange(len(common))
+            while len(i):
+                low = np.minimum(root[i], root[j])
+                new = root.copy()
+                np.minimum.at(new, i, low)
+                np.minimum.at(new, j, low)
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            some = np.flatnonzero(root != np.arange(len(root)))
+            ids = group.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([group.column("key").take(pa.array(some)), pa.array(ids[some]), pa.array(ids[root[some]])], names=["key", "a", "b"])
+
+    ties = written(map_batches(rows.select("g", "key", "id", "near"), run, "key bigint, a bigint, b bigint").where("a <> b").distinct(), "ties")
+    node = lambda x: F.xxhash64("key", x)
+    classes = written(components(ties.select(node("a").alias("a"), node("b").alias("b"))), "classes")
+    out = written(holders.withColumn("node", node("id")).join(classes, "node").select(F.col("component").alias("key"), "id", "c"), "holders")
+    for old in (near, chunks, ties, classes):
+        dropped(old)
+    return out
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8) -> DataFrame:
     """(id, start_word, end_word, n_words, score, class_id): the merged stretches of each document that another
     document nearly repeats; class_id is the smallest id reachable over such ties."""
@@ -394,6 +449,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = written(open_.groupBy("key").agg(F.min(F.struct("id", "c")).alias("m"), F.max("id").alias("hi")).where("m.id < hi").select("key", F.col("m.id").alias("b"), F.col("m.c").alias("cb")), "lead")
     tied = written(open_.join(lead, "key").where("id <> b").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "b", "cb"), "tied")
     dropped(lead)
+    dropped(open_)
     holders = written(tied.select("key", F.col("a").alias("id"), F.col("ca").alias("c")), "holders")
     for turn in range(TURNS):
         by_pair = tied.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors"))
@@ -410,9 +466,16 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = (tied.join(by_pair.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
                     .where(~settled).select("key", "a", "ca", "b", "cb"))
             rest = written(rest, "tied")
-            dropped(by_pair)
+            for old in (by_pair, tied, state):
+                dropped(old)
             tied = rest
+    dropped(by_pair)
+    dropped(tied)
     # pairs of holders in different components, or not both covered, that have not met over this signature
+    rest = _still_open(holders, _state(_all(found)))
+    dropped(holders)
+    holders = _refined(rest.select("key", "id", "c"), reps, least, similarity)
+    dropped(rest)
     for lead_no in range(1, LEADS + 1):
         rest = _still_open(holders, _state(_all(found)))
         dropped(holders)

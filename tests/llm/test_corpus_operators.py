@@ -408,3 +408,33 @@ def test_pipeline_fills_languages_and_takes_an_empty_table(spark):
     for _, stage in cp.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0 and none.columns == ["doc_id", "lang", "n_tokens", "ids", "decoded_sha256"]
+
+
+def test_a_divergent_smallest_id_loses_no_family(spark):
+    """Two documents share 55 words; a lower id holds them with two words changed, which is too far from both."""
+    rng = random.Random(9)
+    rows, fresh = [], lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    for f in range(150):
+        passage = fresh(55)
+        far = list(passage)
+        far[15], far[40] = fresh(2)
+        for k, part in enumerate((far, passage, passage)):
+            rows.append((3 * f + k, " ".join(fresh(20) + part + fresh(20))))
+    got = covered(substring.repeated_passages(frame(spark, rows)).collect())
+    assert all(set(range(20, 75)) <= got[3 * f + k] for f in range(150) for k in (1, 2))
+
+
+def test_near_passages_are_recalled(spark):
+    """Passages of 70 words with one word changed in the copy: similarity 0.8 or more, no verbatim run of 50 words."""
+    rng = random.Random(12)
+    rows, fresh = [], lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    for f in range(120):
+        passage = fresh(70)
+        near = list(passage)
+        near[35] = fresh(1)[0]
+        rows += [(2 * f, " ".join(fresh(30) + passage + fresh(30))), (2 * f + 1, " ".join(fresh(10) + near + fresh(50)))]
+    line = fresh(30)  # a line that all of these share and nothing else
+    rows += [(1000 + i, " ".join(fresh(40) + line + fresh(40))) for i in range(300)]
+    got = covered(substring.repeated_passages(frame(spark, rows)).collect())
+    assert np.mean([len(got[2 * f] & set(range(30, 100))) >= 60 for f in range(120)]) >= 0.9
+    assert not any(i >= 1000 for i in got)
