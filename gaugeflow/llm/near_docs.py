@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, map_batches, sorted_groups, written
+from .common import components, dropped, map_batches, small_batches, sorted_groups, written
 
 REGISTER_BITS = 8
 MANTISSA_BITS = 10
@@ -38,8 +38,8 @@ BAND = 6
 EMPTY = 0xFFFF
 #: Star rounds before the rest goes by posting lists; members and shingles in a chunk of a list or block.
 STARS = 2
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 19
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
 #: Counters of the sketch that orders shingles by rarity. Any order is exact; a better one gives shorter lists.
 COUNTERS = 1 << 20
 #: Standard deviations that an estimate may lie below the threshold before the pair is dropped unverified.
@@ -290,7 +290,7 @@ def _hashed_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """rows(id, cluster, component, text) as (id, cluster, component, n, set): sorted hashes, 8 bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             raws = batch.column("text").to_pylist()
             sets = [shingle_hashes(raw, shingle, own) for raw, own in zip(raws, word_hashes(raws))]
             yield pa.RecordBatch.from_arrays(
@@ -311,7 +311,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [_terms(*x) % np.uint64(COUNTERS) for x in zip(batch.column("cluster").to_pylist(), batch.column("set").to_pylist())]
             if found:
                 count += np.bincount(np.concatenate(found).astype(np.int64), minlength=COUNTERS)
@@ -329,7 +329,7 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = []
             n = batch.column("n").to_numpy()
             for cluster, raw, size in zip(batch.column("cluster").to_pylist(), batch.column("set").to_pylist(), n.tolist()):
@@ -352,21 +352,23 @@ def _possible(comp: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -
     return np.triu(reach & (comp[:, None] != comp), 1)
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    at = place[where]
-    out = np.zeros((len(sets), len(sets)), np.float64)
-    for low in range(0, len(shared), 8192):
-        own = (at >= low) & (at < low + 8192)
-        m = np.zeros((len(sets), min(8192, len(shared) - low)), np.float32)
-        m[row[own], at[own] - low] = 1
+def _intersections(sets: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets; step values at a time."""
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    new = np.append(True, every[1:] != every[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(every)))
+    keep = np.repeat(count > 1, count)
+    row, place = row[keep], (np.cumsum(new[keep]) - 1)
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact up to 2 ** 24
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        a, b = np.searchsorted(place, (low, low + step))
+        m = np.zeros((len(sets), step), np.float32)
+        m[row[a:b], place[a:b] - low] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _forest(i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
