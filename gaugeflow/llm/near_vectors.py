@@ -5,18 +5,17 @@ vectors meet in a list exactly if they have at least that many near pivots in co
 list of its smallest common pivots only, and is verified by the cosine in double precision. A long list is cut
 into chunks, and a task compares two chunks at a time; it gives each vector's count of links and a spanning forest, not the pairs.
 
-Pivots come from a bounded sample (SAMPLE vectors, at most MAX_PIVOTS of them, mutually far apart); every vector is indexed.
+Pivots of each vector length come from a bounded sample (SAMPLE vectors, at most MAX_PIVOTS of them, mutually far apart); a length that is
+rare in the sample has MIN_PIVOTS random directions, which follow from the length. Every vector is indexed among those of its length.
 Equal vectors fold into one that carries their number. Recall against brute force is tested.
 
-Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of another
-length than the pivots' (the sample's most frequent); rows with a null id stay, unlinked, with a null component and kept; rows that repeat
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths do not link; rows with a null id stay, unlinked, with a null component and kept; rows that repeat
 an id are one node, whose links add up. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import components, map_batches, sorted_groups, written
 
 #: Vectors sampled for pivots; pivots grow with the square root of the number of vectors between the two bounds.
-SAMPLE = 8192
-MIN_PIVOTS, MAX_PIVOTS = 128, 2048
+SAMPLE = 16_384
+MIN_PIVOTS, MAX_PIVOTS = 128, 8192
 #: Cosine that two pivots may have at most.
 APART = 0.5
 CHUNK = 512
@@ -61,14 +60,8 @@ def _packed(df: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame
     return map_batches(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col)), run, "id bigint, vec binary, digest binary")
 
 
-def choose_pivots(reps: DataFrame, kind: str, count: int) -> np.ndarray:
-    """Pivots that are apart from each other, greedily from a sample drawn by a hash of the id."""
-    rows = reps.select("vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("vec").to_pylist()
-    if not rows:
-        return np.empty((0, 0))
-    length = Counter(map(len, rows)).most_common(1)[0][0]
-    units = _unit([r for r in rows if len(r) == length], kind)
-    want = max(MIN_PIVOTS, min(MAX_PIVOTS, round(count**0.5)))
+def _apart(units: np.ndarray, want: int) -> np.ndarray:
+    """Greedily, up to want of units that are apart from each other, and others where too few are."""
     chosen = np.empty((min(want, len(units)), units.shape[1]))
     n, spare = 0, []
     for i, u in enumerate(units):
@@ -79,53 +72,79 @@ def choose_pivots(reps: DataFrame, kind: str, count: int) -> np.ndarray:
             n += 1
         else:
             spare.append(i)
-    for i in spare[: len(chosen) - n]:  # too few that are apart
-        chosen[n] = units[i]
-        n += 1
-    return chosen[:n]
+    chosen[n:] = units[spare[: len(chosen) - n]]
+    return chosen
+
+
+def choose_pivots(reps: DataFrame, kind: str, count: int) -> dict[int, np.ndarray]:
+    """Pivots for each length in a sample drawn by a hash of the id, as many as its share of the sample asks for."""
+    rows = reps.select("vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("vec").to_pylist()
+    size = np.dtype(kind).itemsize
+    by_length: dict[int, list[bytes]] = {}
+    for r in rows:
+        by_length.setdefault(len(r) // size, []).append(r)
+    want = lambda n: max(MIN_PIVOTS, min(MAX_PIVOTS, round((count * n / len(rows)) ** 0.5)))
+    return {length: _apart(_unit(own, kind), want(len(own))) for length, own in by_length.items() if len(own) >= MIN_PIVOTS}
+
+
+def _pivots_of(length: int, chosen: dict[int, np.ndarray]) -> np.ndarray:
+    """Chosen pivots, or for a length that is rare in the sample random directions that depend on it alone."""
+    if length not in chosen:
+        v = np.random.default_rng(length).normal(size=(MIN_PIVOTS, length))
+        chosen[length] = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return chosen[length]
+
+
+def _list_key(length: int) -> int:
+    """Lists of different lengths differ above the pivots' bits."""
+    return length % (1 << 20) << 42
 
 
-def _indexed(reps: DataFrame, pivots: np.ndarray, kind: str, near: int, shared: int) -> DataFrame:
-    """(id, keys, pivots near, ascending) of every vector of the pivots' length."""
-    size = pivots.shape[1] * np.dtype(kind).itemsize if len(pivots) else -1
-    near, places = min(near, len(pivots)), len(pivots)
-    sent = reps.sparkSession.sparkContext.broadcast(pivots)
-    shared = min(shared, near)
+def _indexed(reps: DataFrame, pivots: dict[int, np.ndarray], kind: str, near: int, shared: int) -> DataFrame:
+    """(id, keys, pivots near, ascending) of every vector, by the pivots of its length."""
+    size, sent = np.dtype(kind).itemsize, reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
             raw = batch.column("vec").to_pylist()
-            mine = [i for i, r in enumerate(raw) if len(r) == size]
+            lengths = np.array([len(r) // size for r in raw], np.int64)
             keys: list[list[int]] = [[] for _ in raw]
             tops: list[bytes] = [b"" for _ in raw]
-            for at in range(0, len(mine), 2000):
-                part = mine[at : at + 2000]
-                score = _unit([raw[i] for i in part], kind) @ sent.value.T
-                top = np.sort(np.argpartition(-score, near - 1, 1)[:, :near], 1) if near < places else np.tile(np.arange(places), (len(part), 1))
-                for i, t in zip(part, top):
-                    tops[i] = t.astype(np.uint16).tobytes()
-                    for c in combinations(t.tolist(), shared):
-                        key = 0
-                        for p in c:
-                            key = key * places + p
-                        keys[i].append(key)
+            for length in np.unique(lengths).tolist():
+                if len(own) > 16:
+                    own = {}
+                if length not in own:
+                    own[length] = sent.value[length] if length in sent.value else _pivots_of(length, {})
+                mine = np.flatnonzero(lengths == length)
+                for at in range(0, len(mine), 2000):
+                    part = mine[at : at + 2000]
+                    score = _unit([raw[i] for i in part], kind) @ own[length].T
+                    top = np.sort(np.argpartition(-score, near - 1, 1)[:, :near], 1) if near < len(own[length]) else np.tile(np.arange(len(own[length])), (len(part), 1))
+                    for i, t in zip(part.tolist(), top):
+                        tops[i] = t.astype(np.uint16).tobytes()
+                        for c in combinations(t.tolist(), shared):
+                            key = 0
+                            for p in c:
+                                key = key * MAX_PIVOTS + p
+                            keys[i].append(_list_key(length) + key)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("vec"), pa.array(tops, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "vec", "near", "keys"])
 
     return map_batches(reps.select("id", "n", "vec"), run, "id bigint, n bigint, vec binary, near binary, keys array<bigint>")
 
 
-def _first_common(a: np.ndarray, b: np.ndarray, shared: int, places: int) -> np.ndarray:
+def _first_common(a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
     """The key of the smallest common pivots of each pair of rows (ascending pivots)."""
     common = (a[:, :, None] == b[:, None, :]).any(2)
     rank = np.cumsum(common, 1)
     key = np.zeros(len(a), np.int64)
     for s in range(1, shared + 1):
         at = np.argmax((rank == s) & common, 1)
-        key = key * places + a[np.arange(len(a)), at]
+        key = key * MAX_PIVOTS + a[np.arange(len(a)), at]
     return key
 
 
-def _links(lists: DataFrame, kind: str, cosine: float, shared: int, places: int) -> DataFrame:
+def _links(lists: DataFrame, kind: str, cosine: float, shared: int) -> DataFrame:
     """(id, links, root): vectors linked directly within a pair of chunks, and a node of the same component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +159,7 @@ def _links(lists: DataFrame, kind: str, cosine: float, shared: int, places: int)
                 i, j = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
                 if part.column("cross")[0].as_py():
                     i, j = i[(o := own[i] != own[j])], j[o]
-                ok = _first_common(near[i], near[j], shared, places) == key
+                ok = _list_key(unit.shape[1]) + _first_common(near[i], near[j], shared) == key
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
@@ -172,16 +191,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     reps = written(
         some.join(heads, "digest").where("id = head").groupBy("id", "digest").agg(F.any_value("vec").alias("vec"), F.any_value("n").alias("n"))
         .select("id", "n", "vec"), "reps")
-    pivots = choose_pivots(reps, kind, reps.count())
-    places, shared = len(pivots), min(shared, near, max(1, len(pivots)))
-    index = written(_indexed(reps, pivots, kind, near, shared), "index")
+    shared = min(shared, near, 3)  # a list's key holds the places of three pivots
+    index = written(_indexed(reps, choose_pivots(reps, kind, reps.count()), kind, near, shared), "index")
     posts = index.select("id", F.explode("keys").alias("key"))
     sizes = written(posts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("bigint")), "sizes")
     dealt = (posts.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("chunks")))
              .select("id", "key", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
              .select("id", "key", "own", (F.col("own") != F.col("other")).alias("mixed"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g")))
     lists = dealt.join(index.select("id", "n", "vec", "near"), "id").select("g", "key", "own", F.col("mixed").alias("cross"), "id", "n", "vec", "near")
-    found = written(_links(lists, kind, cosine, shared, places), "links")
+    found = written(_links(lists, kind, cosine, shared), "links")
     component = written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "head"), "component")
     links = written(found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "head"), "counts")
     own = heads.select("digest", "head", "n").join(links, "head", "left").join(component, "head", "left").select(

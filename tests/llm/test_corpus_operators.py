@@ -206,6 +206,25 @@ def test_vectors_recall_and_counts(spark, monkeypatch):
     assert got[len(unit) - 1].n_links >= 2 and got[len(unit) - 1].component_id == 2
 
 
+def test_vectors_of_other_lengths_and_an_empty_table(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, length in ((400, 16), (300, 8), (6, 5), (4, 1)):
+        base = rng.normal(size=(n // 2, length))
+        rows += [v.tolist() for v in np.concatenate([base, base + rng.normal(0, 0.02, base.shape)])]
+    rows.append(rng.normal(size=20_000).tolist())
+    table = [(i, v) for i, v in enumerate(rows)] + [(None, rows[0])]
+    got = {r.vec_id: r for r in near_vectors.near_vectors(spark.createDataFrame(table, "vec_id bigint, embedding array<double>")).collect() if r.vec_id is not None}
+    want, found = 0, 0
+    for i, a in enumerate(rows):
+        n = sum(len(a) == len(b) and j != i and float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) >= 0.95 for j, b in enumerate(rows))
+        want, found = want + n, found + got[i].n_links
+        assert got[i].n_links <= n
+    assert found >= 0.9 * want and len(got) == len(rows)
+    assert all(got[700 + i].n_links >= 1 and got[700 + i].component_id < 703 for i in range(6))  # the rare length
+    assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
 def test_vectors_on_the_table(spark):
     t = pq.read_table(f"{SF1}/embeddings.parquet").to_pylist()
     e = np.array([r["embedding"] for r in t], float)
