@@ -696,8 +696,10 @@ def fc_comparison_uncertainty(spark, sf_dir):
 
 @query()
 def fc_arima_attempts(spark, sf_dir):
-    """All orders at every scheduled origin, in the one rolling run; a fit is a task of about a second."""
-    a, _ = _rolling(spark, sf_dir, forecast.ARIMA)
+    """All orders at every scheduled origin of the external window, in the one rolling run. A fit is a task of some seconds."""
+    grid, windows = _staged(spark, sf_dir)
+    one = windows.where("`window` = 'x1'")
+    a, _ = rolling.rolling_forecasts(grid.join(one.select("window"), "window", "left_semi"), one, forecast.ARIMA)
     return a.where("family = 'ARIMA'").select("window", "origin", "stage", "horizon", "model", "status", "converged", F.round("prediction", 0).alias("prediction"), F.round("lower_80", 0).alias("lower_80"), F.round("upper_80", 0).alias("upper_80"))
 
 
