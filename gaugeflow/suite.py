@@ -324,10 +324,25 @@ def fc_residual_shape(spark, sf_dir):
     return forecast.residual_shape(_attempts(spark, sf_dir), ["model"]).select("model", "n", F.round("bias", 4).alias("bias"), F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"))
 
 
-@query()
+@query(f"""WITH {_DAILY}, {_PAIR}, {_GRID}, {_ORIGINS}, g AS (SELECT grid.*, p.value AS rain FROM grid LEFT JOIN p USING (day)),
+equations AS (
+  SELECT * FROM (SELECT win, day, value AS y, lag(value) OVER q AS a, lag(rain, 2) OVER q AS b FROM g WINDOW q AS (PARTITION BY win ORDER BY day)) WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+sums AS (
+  SELECT o.win, o.origin, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, var_pop(y) AS yy
+  FROM origins o JOIN equations e ON e.win = o.win AND e.day <= o.origin GROUP BY ALL),
+fit AS (SELECT *, n >= 240 AND aa * bb - ab * ab > 1e-12 * aa * bb AS fits FROM sums),
+coef AS (SELECT *, CASE WHEN fits THEN (ay * bb - byy * ab) / (aa * bb - ab * ab) END AS phi, CASE WHEN fits THEN (byy * aa - ay * ab) / (aa * bb - ab * ab) END AS beta FROM fit),
+f AS (
+  SELECT c.*, my - phi * ma - beta * mb + phi * g0.value + beta * g1.rain AS one, g0.rain AS r0, n * (yy - phi * ay - beta * byy) / (n - 3) AS v
+  FROM coef c JOIN g g0 ON g0.win = c.win AND g0.day = c.origin LEFT JOIN g g1 ON g1.win = c.win AND g1.day = c.origin - 1),
+u AS (
+  SELECT *, 1 AS horizon, one AS p, v AS variance FROM f UNION ALL SELECT *, 2, my - phi * ma - beta * mb + phi * one + beta * r0, v * (1 + phi * phi) FROM f UNION ALL SELECT *, 7, NULL, NULL FROM f)
+SELECT win AS "window", origin, horizon, CASE WHEN horizon = 7 THEN 'feature_unavailable' WHEN n < 240 THEN 'insufficient_training' WHEN NOT fits THEN 'fit_failure' WHEN p IS NULL THEN 'feature_unavailable' ELSE 'ok' END AS status,
+ round(p, 1) AS prediction, round(sqrt(variance), 1) AS sd, round(p - 1.2815515655446004 * sqrt(variance), 1) AS lower_80, round(p + 1.959963984540054 * sqrt(variance), 1) AS upper_95 FROM u""")
 def fc_arx(spark, sf_dir):
     grid = _grid(spark, sf_dir).join(predictor(spark, sf_dir).withColumnRenamed("value", "rain"), "day", "left")
-    return forecast.arx_forecasts(forecast.arx_coefficients(grid, series.scheduled_origins(_windows(spark))), grid)
+    f = forecast.arx_forecasts(forecast.arx_coefficients(grid, series.scheduled_origins(_windows(spark))), grid)
+    return f.select("window", "origin", "horizon", "status", F.round("prediction", 1).alias("prediction"), F.round(F.sqrt("variance"), 1).alias("sd"), *[F.round(c, 1).alias(c) for c in ("lower_80", "upper_95")])
 
 
 # -- one rolling run ----------------------------------------------------------------------------
