@@ -88,7 +88,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_sharding, op4_minhash, op5_pivot_index, op6_html_main, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, proof_digest, verified_against
+
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    more = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)")).cast("string")
+    found = manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": more})
+    return verified_against(found).select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived, described
+
+    return described(archived(table(spark, sf_dir, "pages"), min_bytes=0))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op2_substring_dedup, op3_sharding, op4_minhash, op5_pivot_index, op6_html_main, op7_language_id, op8_toxicity, op9_secret_scan, op10_decontamination,
+    op11_merkle, op12_whitening, op13_warc)}
 
 _SPLIT = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -104,4 +127,8 @@ ORACLE_SQL: dict[str, str] = {
  h AS (SELECT doc_id, item_id, n, p FROM g JOIN q USING (n, k)), x AS (SELECT doc_id, count(DISTINCT z) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS z FROM h) GROUP BY 1),
  y AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY 1)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)""",
+    "op13_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages),
+ b AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || h[5 * i + 1 : 5 * i + 5] AS BIGINT)) AS q FROM p)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, list_reduce(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((q[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)]), lambda x, y: x || y) AS payload_digest,
+ CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to FROM b""",
 }
