@@ -81,6 +81,20 @@ def joined_set(x: Column, sep: str = ";") -> Column:
     return F.array_join(F.sort_array(F.collect_set(x)), sep)
 
 
+def measurement_role(product: Column, sensor: Column, ordinal: Column, rain: list[str]) -> Column:
+    """What a field measures: rain stands twice in 15-minute files, first by interval and then cumulative, and as the day's maximum in daily ones."""
+    is_rain = sensor.isin(*rain) if rain else F.lit(False)
+    daily = F.when(is_rain, "daily_rainfall_maximum").otherwise("daily_median")
+    fine = F.when(is_rain & (ordinal == 2), "cumulative_precipitation").when(is_rain, "interval_precipitation").otherwise("15_minute_observation")
+    return F.when(product == "daily", daily).otherwise(fine)
+
+
+def is_cumulative(role: Column, sensor: Column, extensometers: list[str]) -> Column:
+    """Series whose values only grow but for resets."""
+    grows = role.isin("cumulative_precipitation", "daily_rainfall_maximum")
+    return grows | sensor.isin(*extensometers) if extensometers else grows
+
+
 def product_of_archive(name: Column) -> Column:
     low = F.lower(name)
     return F.when(low.contains("15_minute"), "15_minute").when(low.contains("daily"), "daily").otherwise("unknown")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .parts import by_days, lag_in_parts
+
 
 def nearest_candidates(left: DataFrame, right: DataFrame, tolerance_s: int, keys: list[str] = ()) -> DataFrame:
     """left/right(keys, stamp, value): pairs at most tolerance apart. Time is cut in bins of the tolerance; a left row meets the
@@ -62,11 +64,10 @@ def separated_top(df: DataFrame, k: int = 3, min_days: int = 7, keys: list[str]
 
 def event_changes(obs: DataFrame, max_minutes: int = 20) -> DataFrame:
     """Change from the previous stamp of a sensor where it is 0 to max_minutes later in one segment; copies of a stamp all go."""
-    order = Window.partitionBy("sensor").orderBy("stamp")
-    p = F.lag(F.struct("stamp", "value", "segment")).over(order)
     d = F.timestamp_diff("MICROSECOND", F.col("_p.stamp"), F.col("stamp"))
     n = F.count("*").over(Window.partitionBy("sensor", "stamp"))
-    return (obs.withColumn("_p", p).withColumn("_n", n).where((d > 0) & (d <= max_minutes * 60_000_000) & (F.col("segment") == F.col("_p.segment")) & (F.col("_n") == 1))
+    seen = lag_in_parts(obs, ["sensor"], by_days(F.col("stamp")), "stamp", F.struct("stamp", "value", "segment"), "_p")
+    return (seen.withColumn("_n", n).where((d > 0) & (d <= max_minutes * 60_000_000) & (F.col("segment") == F.col("_p.segment")) & (F.col("_n") == 1))
             .withColumn("value", F.col("value") - F.col("_p.value")).drop("_p", "_n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SENTINELS, is_nonfinite, minutes_between, parse_number, water_year
-from .parts import lag_in_parts
+from .parts import by_days, lag_in_parts
 
 #: Source rows of a member that one task orders.
 PART_ROWS = 1_000_000
@@ -72,10 +72,11 @@ def range_flags(df: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def cumulative_flags(df: DataFrame) -> DataFrame:
     """Changes of cumulative series from the previous row of (product, sensor, role) in time, then source, order."""
-    order = Window.partitionBy("product", "sensor", "role").orderBy(F.asc_nulls_last("stamp"), "row_no", "member")
+    order = F.struct(F.col("stamp").isNull().alias("none"), "stamp", "row_no", "member", *(["position"] if "position" in df.columns else []))
+    part = F.coalesce(by_days(F.col("stamp")), F.lit(2**31))  # unparsed stamps come last
     gone = F.col("is_cumulative")
     df = df.withColumns({f: F.lit(False) for f in ("flag_documented_change_boundary", "flag_documented_maintenance_or_outage") if f not in df.columns})
-    df = df.withColumns({"_v": F.lag("value").over(order), "_wy": F.lag("water_year").over(order)})
+    df = lag_in_parts(df, ["product", "sensor", "role"], part, order, F.struct("value", "water_year"), "_p").withColumns({"_v": F.col("_p.value"), "_wy": F.col("_p.water_year")})
     change = F.when(gone, F.col("value") - F.col("_v"))
     boundary = gone & F.col("_wy").isNotNull() & F.col("water_year").isNotNull() & (F.col("_wy") != F.col("water_year"))
     negative = F.coalesce(F.col("value_change") < 0, F.lit(False))
@@ -84,7 +85,7 @@ def cumulative_flags(df: DataFrame) -> DataFrame:
         "flag_water_year_reset": F.coalesce(boundary, F.lit(False)) & negative,
         "flag_negative_increment": negative,
         "flag_unexplained_negative_increment": negative & ~(F.coalesce(boundary, F.lit(False)) | _on("flag_documented_change_boundary") | _on("flag_documented_maintenance_or_outage") | _on("flag_gap_before")),
-    }).drop("_v", "_wy")
+    }).drop("_v", "_wy", "_p")
 
 
 def level_eligibility(df: DataFrame) -> DataFrame:
@@ -97,12 +98,18 @@ def level_eligibility(df: DataFrame) -> DataFrame:
     return df.withColumn("eligible", clean).withColumn("retains_range_concern", F.col("eligible") & concern)
 
 
-def archive_profile(df: DataFrame) -> DataFrame:
-    """Per member: other rules than time_flags. The previous stamp is the last parsed one, and duplicates are repeats only."""
-    order = Window.partitionBy("member").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    d = minutes_between(F.last("stamp", ignorenulls=True).over(order), F.col("stamp"))
+def archive_profile(df: DataFrame, more: bool = False) -> DataFrame:
+    """Per member: other rules than time_flags. The previous stamp is the last parsed one, and duplicates are repeats only. more: also parse failures,
+    irregular steps, missing intervals, and the first and last stamp_text."""
+    parsed = lag_in_parts(df.where("stamp is not null"), ["member"], F.floor(F.col("row_no") / PART_ROWS), "row_no", F.col("stamp"), "_p")
+    df = parsed.withColumn("_d", minutes_between(F.col("_p"), F.col("stamp"))).unionByName(df.where("stamp is null"), allowMissingColumns=True)
     e = F.col("expected_min")
-    return df.withColumn("_d", d).groupBy("member").agg(
+    others = [] if not more else [
+        (F.count("*") - F.count("stamp")).alias("n_parse_failures"), F.count_if(F.col("_d") != e).alias("n_irregular"),
+        F.coalesce(F.sum(F.when(F.col("_d") > e, F.greatest(F.floor(F.col("_d") / e) - 1, F.lit(0)))), F.lit(0)).cast("bigint").alias("n_missing_intervals"),
+        F.min_by("stamp_text", "row_no").alias("first_text"), F.max_by("stamp_text", "row_no").alias("last_text")]
+    return df.groupBy("member").agg(
+        *others,
         F.count("*").alias("n_rows"), F.count("stamp").alias("n_parsed"),
         (F.count("stamp") - F.count_distinct("stamp")).alias("n_repeated"),
         F.count_if(F.col("_d") < 0).alias("n_out_of_order"), F.count_if(F.col("_d") > e).alias("n_gaps"),

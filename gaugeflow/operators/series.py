@@ -9,17 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import water_year
-from .parts import lag_in_parts
-
-#: Years of a daily series that one task orders.
-PART_YEARS = 10
+from .parts import by_years, islands, joined, lag_in_parts
 
 
 def daily_changes(levels: DataFrame, same_water_year: bool = False, extra: Column | None = None) -> DataFrame:
     """Change from the previous row of the sensor. Eligible only if both days are, they are one day apart, in one segment (and
     water year, and both meet extra); other rows stay with their value."""
     df = levels.withColumn("_ok", F.col("eligible") & (F.lit(True) if extra is None else F.coalesce(extra, F.lit(False))))
-    df = lag_in_parts(df, ["sensor"], F.floor(F.year("day") / PART_YEARS), "day", F.struct("day", "value", "segment", "_ok"), "_p")
+    df = lag_in_parts(df, ["sensor"], by_years(F.col("day")), "day", F.struct("day", "value", "segment", "_ok"), "_p")
     ok = F.col("_ok") & F.col("_p._ok") & (F.datediff("day", "_p.day") == 1) & (F.col("segment") == F.col("_p.segment"))
     if same_water_year:
         ok &= water_year(F.col("day")) == water_year(F.col("_p.day"))
@@ -74,11 +71,10 @@ def drop_all_copies(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def contiguous_runs(df: DataFrame, keys: list[str], min_days: int = 1) -> DataFrame:
     """Maximal runs of consecutive days within keys, numbered before the length filter. Days repeated within the keys are dropped first."""
-    order = Window.partitionBy(*keys).orderBy("day")
     one = drop_all_copies(df, [*keys, "day"])
-    gap = F.coalesce((F.datediff("day", F.lag("day").over(order)) != 1).cast("int"), F.lit(1))
-    runs = one.withColumn("_gap", gap).withColumn("run_no", F.sum("_gap").over(order)).drop("_gap")
-    return runs.withColumn("run_days", F.count("*").over(Window.partitionBy(*keys, "run_no"))).where(F.col("run_days") >= min_days)
+    runs = islands(one, keys, by_years(F.col("day")), "day", F.col("day"), lambda before, own: F.datediff(own["v"], before["v"]) != 1, "run_no")
+    long = runs.groupBy(*keys, "run_no").agg(F.count("*").alias("run_days")).where(F.col("run_days") >= min_days)
+    return joined(runs, long, [*keys, "run_no"], "inner")
 
 
 def run_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,9 +111,9 @@ def core_origins(grid: DataFrame, horizon: int) -> DataFrame:
 
 def date_clusters(df: DataFrame, keys: list[str], day: str = "day", within_days: int = 7) -> DataFrame:
     """Chained clusters: a new one begins where the gap to the previous member exceeds within_days."""
-    order = Window.partitionBy(*keys).orderBy(day)
-    new = F.coalesce((F.datediff(day, F.lag(day).over(order)) > within_days).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+    days = df.select(*keys, day).distinct()
+    numbered = islands(days, keys, by_years(F.col(day)), day, F.col(day), lambda before, own: F.datediff(own["v"], before["v"]) > within_days, "cluster")
+    return joined(df, numbered, [*keys, day], "inner")
 
 
 def climatology(df: DataFrame, min_years: int = 3) -> DataFrame:

@@ -732,3 +732,6 @@ def sy_key_results(spark, sf_dir):
 def sy_claims(spark, sf_dir):
     rules = [("C01", "daily", "%d sensors on %d days", [F.count_distinct("sensor"), F.count_distinct("day")], F.col("a0") > 0)]
     return synthesis.claims({"daily": daily_levels(spark, sf_dir)}, rules)
+
+
+from . import suite_archives  # noqa: E402, F401  (registers its queries)
