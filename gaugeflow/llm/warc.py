@@ -92,10 +92,10 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
         F.col("page_id"), F.col("url"), F.col("n_bytes"), F.col("sha1"), _urn(F.col("page_id"), F.col("digest"), F.col("row")), revisit,
         _urn(F.col("first_id"), F.col("digest"), F.col("first_row")), F.col("first_id"), date).alias("header"))
     records.write.parquet(f"{root}/records")
-    wanted = firsts.select("digest", F.col("first_id").alias("page_id"), "copies", "shelves")
-    same = (rows["digest"] == wanted["digest"]) & rows["page_id"].eqNullSafe(wanted["page_id"])
-    once = (rows.select("digest", "page_id", "payload").join(wanted, same).select(rows["digest"], rows["page_id"], "copies", "shelves", rows["payload"])
-            .dropDuplicates(["digest", "page_id"]))
+    # one plain key, so that the rows of the join stay where they are for the aggregation that follows
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
+    wanted = firsts.select("digest", key("first_id"), "copies", "shelves")
+    once = rows.select("digest", key("page_id"), "payload").join(wanted, ["digest", "key"]).groupBy("digest", "key").agg(*[F.first(c).alias(c) for c in ("copies", "shelves", "payload")])
     once.select("digest", "shelves", "copies", "payload").write.parquet(f"{root}/payloads")
 
 
