@@ -1,7 +1,8 @@
 """Parts of rolling-origin forecasts: baselines, conditional ARX and ARIMA fits, past-residual intervals, metrics. plans/rolling.py puts them in one run.
 
 Every scheduled attempt is a row with a status; nothing after an origin is used at it. grid has window, sensor, day, value, segment,
-rain (all days, missing kept). Training statistics come from one range join of origins with earlier days.
+rain (all days, missing kept). What is known at an origin comes from running sums along a window's days and from expanding quantiles; no origin meets its earlier
+days row by row.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Z, adjusted_kurtosis, adjusted_skew, interval_score, water_year, wet_season
+from ..operators.quantiles import expanding_quantiles
 
 HORIZONS = (1, 2, 7)
 MIN_DAYS, MIN_TARGETS, MIN_PAIRS, MIN_EQUATIONS, MIN_RESIDUALS = 365, 300, 30, 240, 30
@@ -19,18 +21,33 @@ ARIMA = {"mean": (0, 0, 0, 7), "ar1": (1, 0, 0, 7), "ar2": (2, 0, 0, 7), "arma11
 COMPLEXITY = ("zero_change", "persistence", "expanding_median", "prior_year", "mean", "ar1", "ar2", "arma11", "sar1", "arx")
 
 
-def training_stats(grid: DataFrame, origins: DataFrame) -> DataFrame:
-    """origins(window, origin): days, targets, median, 95 % of |value| and the mean absolute one-day change (MASE scale: at least
-    MIN_PAIRS pairs of one segment and water year, above zero), from days up to the origin."""
-    order = Window.partitionBy("window", "sensor").orderBy("day")
-    wy = water_year(F.col("day"))
+def grid_order() -> Window:
+    return Window.partitionBy("window", "sensor").orderBy("day")
+
+
+def training_sums(grid: DataFrame) -> DataFrame:
+    """grid with what can be added up to each day: days, values, and the mean absolute one-day change (MASE scale: at least MIN_PAIRS pairs of one segment and
+    water year, above zero). One sort of each window's days."""
+    order, wy = grid_order(), water_year(F.col("day"))
     pair = (F.lag("segment").over(order) == F.col("segment")) & (F.lag(wy).over(order) == wy)
-    g = grid.withColumn("step", F.when(pair, F.abs(F.col("value") - F.lag("value").over(order))))
-    past = origins.join(g, "window").where(F.col("day") <= F.col("origin"))
-    s = past.groupBy("window", "sensor", "origin").agg(
-        F.count("*").alias("training_days"), F.count("value").alias("training_targets"), F.percentile("value", F.lit(0.5)).alias("training_median"),
-        F.percentile(F.abs("value"), F.lit(0.95)).alias("high_movement"), F.avg("step").alias("_m"), F.count("step").alias("_n"))
-    return s.withColumn("mase_scale", F.when((F.col("_n") >= MIN_PAIRS) & (F.col("_m") > 0), F.col("_m"))).drop("_m", "_n")
+    g = grid.withColumn("_step", F.when(pair, F.abs(F.col("value") - F.lag("value").over(order))))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumns({"training_days": F.count("*").over(so_far), "training_targets": F.count("value").over(so_far), "_n": F.count("_step").over(so_far), "_s": F.sum("_step").over(so_far)})
+    return g.withColumn("mase_scale", F.when((F.col("_n") >= MIN_PAIRS) & (F.col("_s") > 0), F.col("_s") / F.col("_n"))).drop("_step", "_n", "_s")
+
+
+def training_quantiles(grid: DataFrame, origins: DataFrame) -> DataFrame:
+    """(window, sensor, origin): median and 95 % of |value| of the days up to each origin."""
+    there = grid.select("window", "sensor", "day", "value", F.abs("value").alias("size"))
+    at = origins.join(grid.select("window", "sensor").distinct(), "window")
+    found = expanding_quantiles(there, at, ["window", "sensor"], "day", "origin", {"value": (0.5,), "size": (0.95,)})
+    return found.select("window", "sensor", "origin", F.get("value_q", 0).alias("training_median"), F.get("size_q", 0).alias("high_movement"))
+
+
+def training_stats(grid: DataFrame, origins: DataFrame) -> DataFrame:
+    """origins(window, origin): training_sums and training_quantiles of the days up to each origin, which lies in the grid."""
+    sums = training_sums(grid).select("window", "sensor", F.col("day").alias("origin"), "training_days", "training_targets", "mase_scale")
+    return origins.join(sums, ["window", "origin"]).join(training_quantiles(grid, origins), ["window", "sensor", "origin"])
 
 
 def baseline_attempts(grid: DataFrame, origins: DataFrame, core: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -58,31 +75,41 @@ def scored(df: DataFrame) -> DataFrame:
                            "high": F.abs("observed") > F.col("high_movement"), "season": F.when(wet_season(F.col("target_date")), "wet").otherwise("dry")})
 
 
+def arx_sums(grid: DataFrame) -> DataFrame:
+    """grid with (n, c0, phi, beta, sigma2, fit_status) of y on 1, the day before's y and the rain two days before, over the complete equations up to each day: normal equations of
+    running sums about the window's means. Fewer than MIN_EQUATIONS or a singular system have no coefficients."""
+    order, whole = grid_order(), Window.partitionBy("window", "sensor")
+    g = grid.withColumns({"_y": F.col("value"), "_a": F.lag("value").over(order), "_b": F.lag("rain", 2).over(order)})
+    there = F.col("_y").isNotNull() & F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    g = g.withColumns({c: F.when(there, F.col(c)) for c in ("_y", "_a", "_b")})
+    g = g.withColumns({f"_c{c}": F.avg(f"_{c}").over(whole) for c in "yab"})
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    d = {c: F.col(f"_{c}") - F.col(f"_c{c}") for c in "yab"}
+    g = g.withColumns({"_n": F.count("_y").over(so_far), **{f"_s{c}": F.sum(d[c]).over(so_far) for c in "yab"}, **{f"_s{c}": F.sum(d[c[0]] * d[c[1]]).over(so_far) for c in ("aa", "bb", "ab", "ay", "by", "yy")}})
+    n = F.col("_n")
+    mean = {c: F.try_divide(F.col(f"_s{c}"), n) for c in "yab"}
+    co = {c: F.try_divide(F.col(f"_s{c}"), n) - mean[c[0]] * mean[c[1]] for c in ("aa", "bb", "ab", "ay", "by", "yy")}
+    det = co["aa"] * co["bb"] - co["ab"] * co["ab"]
+    ok = F.coalesce((n >= MIN_EQUATIONS) & (det > 1e-12 * co["aa"] * co["bb"]), F.lit(False))
+    g = g.withColumns({"phi": F.when(ok, F.try_divide(co["ay"] * co["bb"] - co["by"] * co["ab"], det)), "beta": F.when(ok, F.try_divide(co["by"] * co["aa"] - co["ay"] * co["ab"], det))})
+    return g.withColumns({
+        "n": n, "c0": F.col("_cy") + mean["y"] - F.col("phi") * (F.col("_ca") + mean["a"]) - F.col("beta") * (F.col("_cb") + mean["b"]),
+        "sigma2": n * (co["yy"] - F.col("phi") * co["ay"] - F.col("beta") * co["by"]) / (n - 3),
+        "fit_status": F.when(n < MIN_EQUATIONS, "insufficient_training").when(~ok, "fit_failure").otherwise("ok"),
+    }).drop("_n", *[f"_{x}{c}" for x in ("", "c", "s") for c in "yab"], *[f"_s{c}" for c in ("aa", "bb", "ab", "ay", "by", "yy")])
+
+
 def arx_coefficients(grid: DataFrame, origins: DataFrame) -> DataFrame:
-    """y on 1, the day before's y and the rain two days before, by normal equations summed up to each origin; complete equations only.
-    (window, origin, n, c0, phi, beta, sigma2, status): fewer than MIN_EQUATIONS or a singular system have no coefficients."""
-    order = Window.partitionBy("window", "sensor").orderBy("day")
-    g = grid.select("window", "day", F.col("value").alias("y"), F.lag("value").over(order).alias("a"), F.lag("rain", 2).over(order).alias("b")).where("y is not null and a is not null and b is not null")
-    s = origins.join(g, "window").where(F.col("day") <= F.col("origin")).groupBy("window", "origin").agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "yab"], F.covar_pop("a", "a").alias("aa"), F.covar_pop("b", "b").alias("bb"), F.covar_pop("a", "b").alias("ab"),
-        F.covar_pop("a", "y").alias("ay"), F.covar_pop("b", "y").alias("by"), F.covar_pop("y", "y").alias("yy"))
-    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    ok = (F.col("n") >= MIN_EQUATIONS) & (det > 1e-12 * F.col("aa") * F.col("bb"))
-    phi = F.when(ok, F.try_divide(F.col("ay") * F.col("bb") - F.col("by") * F.col("ab"), det))
-    beta = F.when(ok, F.try_divide(F.col("by") * F.col("aa") - F.col("ay") * F.col("ab"), det))
-    return (s.withColumns({"phi": phi, "beta": beta}).withColumns({
-        "c0": F.col("my") - F.col("phi") * F.col("ma") - F.col("beta") * F.col("mb"),
-        "sigma2": F.col("n") * (F.col("yy") - F.col("phi") * F.col("ay") - F.col("beta") * F.col("by")) / (F.col("n") - 3),
-        "status": F.when(F.col("n") < MIN_EQUATIONS, "insufficient_training").when(~ok, "fit_failure").otherwise("ok")})
-        .select("window", "origin", "n", "c0", "phi", "beta", "sigma2", "status"))
+    """arx_sums at the origins that have equations: (window, sensor, origin, n, c0, phi, beta, sigma2, status)."""
+    at = arx_sums(grid).where("n > 0").select("window", "sensor", F.col("day").alias("origin"), "n", "c0", "phi", "beta", "sigma2", F.col("fit_status").alias("status"))
+    return origins.join(at, ["window", "origin"])
 
 
 def arx_forecasts(coefficients: DataFrame, grid: DataFrame) -> DataFrame:
     """h = 1 from the origin's y and the day before's rain; h = 2 from the first forecast and the origin's rain; no h = 7. Variances
     are sigma2 and sigma2 (1 + phi^2); normal intervals."""
-    rain = lambda days, name: grid.select("window", F.date_add("day", days).alias("origin"), F.col("rain").alias(name))
-    at = grid.select("window", F.col("day").alias("origin"), F.col("value").alias("y0"))
-    f = coefficients.join(at, ["window", "origin"]).join(rain(1, "r1"), ["window", "origin"], "left").join(rain(0, "r0"), ["window", "origin"], "left")
+    at = grid.select("window", "sensor", F.col("day").alias("origin"), F.col("value").alias("y0"), F.col("rain").alias("r0"), F.lag("rain").over(grid_order()).alias("r1"))
+    f = coefficients.join(at, ["window", "sensor", "origin"])
     one = F.col("c0") + F.col("phi") * F.col("y0") + F.col("beta") * F.col("r1")
     two = F.col("c0") + F.col("phi") * one + F.col("beta") * F.col("r0")
     none = F.lit(None).cast("double")
@@ -118,12 +145,11 @@ def arima_attempts(grid: DataFrame, origins: DataFrame, specs: dict[str, tuple[i
 
 def past_residual_intervals(attempts: DataFrame, keys: list[str], levels: tuple[float, ...] = (0.80, 0.95)) -> DataFrame:
     """Quantiles of the errors of earlier origins whose targets were known at this origin; at least MIN_RESIDUALS of them."""
-    past = attempts.where("error is not null").select(*keys, F.col("origin").alias("_o"), F.col("target_date").alias("_t"), F.col("error").alias("_e"))
+    known = attempts.where("error is not null").select(*keys, F.greatest(F.col("target_date"), F.date_add("origin", 1)).alias("known"), "error")
     here = attempts.where("prediction is not null").select(*keys, "origin", "target_date", "prediction")
-    q = [x for level in levels for x in ((1 - level) / 2, (1 + level) / 2)]
-    cal = (here.join(past, keys).where((F.col("_o") < F.col("origin")) & (F.col("_t") <= F.col("origin"))).groupBy(*keys, "origin")
-           .agg(F.count("*").alias("n_calibration"), F.percentile("_e", F.array(*map(F.lit, q))).alias("q")))
-    out = here.join(cal, [*keys, "origin"], "left")
+    q = tuple(x for level in levels for x in ((1 - level) / 2, (1 + level) / 2))
+    found = expanding_quantiles(known, here, keys, "known", "origin", {"error": q})
+    out = here.join(found.select(*keys, "origin", F.col("error_n").alias("n_calibration"), F.col("error_q").alias("q")), [*keys, "origin"], "left")
     ok = F.coalesce(F.col("n_calibration") >= MIN_RESIDUALS, F.lit(False))
     names = [f"{side}_{round(level * 100)}" for level in levels for side in ("lower", "upper")]
     return out.select(*keys, "origin", "target_date", "prediction", F.coalesce("n_calibration", F.lit(0)).alias("n_calibration"),
