@@ -1,13 +1,13 @@
 """A content-addressed WARC archive: payloads once by digest, exact record headers apart, records restored by joins.
 
-An archive is a folder with two Parquet tables. `payloads` (digest, shelf, shelves, copies, payload) holds each payload once, addressed by its SHA-256;
+An archive is a folder with two Parquet tables. `payloads` (digest, shelves, copies, payload) holds each payload once, compressed by itself (zstd), addressed by the SHA-256 of its bytes;
 `records` (digest, shelf, header) holds the exact header bytes of every record: the WARC header and the HTTP header,
 each closed by an empty line. The first record of a payload is a response, the others revisit it; a record's bytes are its header, for
 responses the payload, and two line ends. Restoring joins records to payloads, and raises where a payload's SHA-256 is not its
 address, or its SHA-1 or length is not what the header says.
 
 Scale: texts of pages are hashed where they are read, and only digests and ids are grouped; the payloads themselves move once, only those
-of responses, dealt by (digest, id), so that copies do not meet. Records of a payload with many copies stand on several shelves
+of responses, compressed, dealt by (digest, id), so that copies do not meet. Records of a payload with many copies stand on several shelves
 of at most SHELF records each; a restoring join meets one shelf a task, and the payload is repeated for each shelf, not for each record.
 Nothing is collected or broadcast by this module.
 
@@ -18,12 +18,16 @@ revisits. Empty tables give empty archives. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import map_batches, shared_dir, small_batches, written
 
 #: Records of one payload that stand together.
 SHELF = 4096
@@ -72,6 +76,40 @@ def header_field(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(warc, rf"\r\n{name}: ([^\r]*)", 1), F.lit(""))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows(digest, key, payload) with each payload compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in small_batches(batches):
+            payload = pa.array([pack.compress(x) for x in batch.column("payload").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("key"), payload], names=["digest", "key", "payload"])
+
+    return map_batches(rows, run, "digest string, key string, payload binary")
+
+
+def unpacked(both: DataFrame) -> DataFrame:
+    """both(digest, header, payload) with each payload's bytes, held against their address."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in small_batches(batches):
+            out = []
+            for digest, raw in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist()):
+                if raw is None:
+                    raise ValueError(f"record without its payload {digest}")
+                try:
+                    payload = unpack.decompress(raw, allow_extra_data=False)
+                except zstandard.ZstdError:
+                    payload = None
+                if payload is None or hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload differs from its address {digest}")
+                out.append(payload)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("header"), pa.array(out, pa.binary())], names=["digest", "header", "payload"])
+
+    return map_batches(both, run, "digest string, header binary, payload binary")
+
+
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0,
                   date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the records of pages as an archive in root. Of equal payloads of at least min_bytes bytes, the record with the smallest id is the response
@@ -95,7 +133,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     # one plain key, so that the rows of the join stay where they are for the aggregation that follows
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
     wanted = firsts.select("digest", key("first_id"), "copies", "shelves")
-    once = rows.select("digest", key("page_id"), "payload").join(wanted, ["digest", "key"]).groupBy("digest", "key").agg(*[F.first(c).alias(c) for c in ("copies", "shelves", "payload")])
+    once = packed(rows.select("digest", key("page_id"), "payload")).join(wanted, ["digest", "key"]).groupBy("digest", "key").agg(*[F.first(c).alias(c) for c in ("copies", "shelves", "payload")])
     once.select("digest", "shelves", "copies", "payload").write.parquet(f"{root}/payloads")
 
 
@@ -108,11 +146,8 @@ def read_archive(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def restore(spark: SparkSession, root: str) -> DataFrame:
     """(header, payload) of every record, revisits with the payload of their response, verified; record_bytes() gives the record."""
     records, payloads = read_archive(spark, root)
-    address = F.sha2("payload", 256)
-    sound = payloads.withColumn("payload", F.when(address == F.col("digest"), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("digest"))).cast("binary")))
-    sound = sound.withColumn("shelf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shelves") - 1))).select("digest", "shelf", "payload")
-    both = records.join(sound, ["digest", "shelf"], "left")
+    shelved = payloads.withColumn("shelf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shelves") - 1))).select("digest", "shelf", "payload")
+    both = unpacked(records.join(shelved, ["digest", "shelf"], "left").select("digest", "header", "payload"))
     agrees = header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), sha1_base32(F.col("payload")))
     return both.select("header", F.when(agrees, F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("record without its payload "), F.col("digest"))).cast("binary")).alias("payload"))
