@@ -100,13 +100,20 @@ def scheduled_origins(windows: DataFrame, every_days: int = 14) -> DataFrame:
     return windows.select("window", F.explode(F.sequence("anchor", F.date_sub("stop", 1), F.make_dt_interval(days=F.lit(every_days)))).alias("origin"))
 
 
+def core_flags(grid: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """grid with core_<h>: whether the day and the next h days all have values, in one segment and water year."""
+    wy, new = water_year(F.col("day")), {}
+    for h in horizons:
+        order = Window.partitionBy("window", "sensor").orderBy("day").rowsBetween(0, h)
+        ok = ((F.count("value").over(order) == h + 1) & (F.count("segment").over(order) == h + 1)
+              & (F.min("segment").over(order) == F.max("segment").over(order)) & (F.min(wy).over(order) == F.max(wy).over(order)))
+        new[f"core_{h}"] = F.coalesce(ok, F.lit(False))
+    return grid.withColumns(new)
+
+
 def core_origins(grid: DataFrame, horizon: int) -> DataFrame:
     """For each day of a grid: whether it and the next `horizon` days all have values, in one segment and water year."""
-    order = Window.partitionBy("window", "sensor").orderBy("day").rowsBetween(0, horizon)
-    wy = water_year(F.col("day"))
-    ok = ((F.count("value").over(order) == horizon + 1) & (F.count("segment").over(order) == horizon + 1)
-          & (F.min("segment").over(order) == F.max("segment").over(order)) & (F.min(wy).over(order) == F.max(wy).over(order)))
-    return grid.withColumn("core_eligible", F.coalesce(ok, F.lit(False)))
+    return core_flags(grid, (horizon,)).withColumnRenamed(f"core_{horizon}", "core_eligible")
 
 
 def date_clusters(df: DataFrame, keys: list[str], day: str = "day", within_days: int = 7) -> DataFrame:

@@ -122,25 +122,41 @@ def arx_forecasts(coefficients: DataFrame, grid: DataFrame) -> DataFrame:
     return out.withColumn("status", status).withColumns(bounds).drop("fit_status")
 
 
+#: Origins that one task fits, one after the other.
+ORIGINS_A_TASK = 4
+
+
 def arima_attempts(grid: DataFrame, origins: DataFrame, specs: dict[str, tuple[int, int, int, int]] = ARIMA) -> DataFrame:
-    """Fit each order at each origin on all earlier days, missing kept missing, and forecast the horizons. One task per window, origin and order;
-    its rows are the days of one window."""
+    """Fit each order at each origin on all earlier days, missing kept missing, and forecast the horizons. A window's values are one array in day order, sent once for
+    each order and few origins. Without a fit (too few values, no convergence or no variance) there is no prediction; made tells that a forecast came of the fit."""
     from ..functions.kernels import arima_forecast
 
-    names = list(specs)
+    names, extra = list(specs), ("min_ar_root", "min_ma_root", "level", "variance")
+    days = grid.groupBy("window", "sensor").agg(F.sort_array(F.collect_list(F.struct("day", "value"))).alias("days")).select(
+        "window", "sensor", F.get("days", 0)["day"].alias("first"), F.transform("days", lambda d: d["value"]).alias("values"))
+    block = F.floor((F.row_number().over(Window.partitionBy("window").orderBy("origin")) - 1) / ORIGINS_A_TASK)
+    tasks = (origins.select("window", "origin").withColumn("block", block).groupBy("window", "block").agg(F.sort_array(F.collect_list("origin")).alias("origins"))
+             .withColumn("model", F.explode(F.array(*map(F.lit, names)))).join(days, "window"))
 
-    def run(pdf):
+    def run(batches):
+        import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("day")
-        window, origin, model = pdf["window"].iloc[0], pdf["origin"].iloc[0], pdf["model"].iloc[0]
-        f = arima_forecast(pdf["value"].to_numpy(float), specs[model], max(HORIZONS)) if pdf["value"].notna().sum() >= MIN_TARGETS else None
-        extra = ("min_ar_root", "min_ma_root", "level", "variance")
-        rows = [(window, origin, model, h, f["mean"][h - 1] if f else None, f["sd"][h - 1] if f else None, bool(f and f["converged"]), *(f[c] if f else None for c in extra)) for h in HORIZONS]
-        return pd.DataFrame(rows, columns=["window", "origin", "model", "horizon", "prediction", "sd", "converged", *extra])
-
-    past = origins.join(grid.select("window", "day", "value"), "window").where(F.col("day") <= F.col("origin")).withColumn("model", F.explode(F.array(*map(F.lit, names))))
-    return past.groupBy("window", "origin", "model").applyInPandas(run, "window string, origin date, model string, horizon int, prediction double, sd double, converged boolean, min_ar_root double, min_ma_root double, level double, variance double")
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                values, rows = np.array(t.values, float), []
+                for origin in t.origins:
+                    past = values[: (origin - t.first).days + 1]
+                    f = arima_forecast(past, specs[t.model], max(HORIZONS)) if np.isfinite(past).sum() >= MIN_TARGETS else None
+                    for h in HORIZONS:
+                        point = f["mean"][h - 1] if f else None
+                        made = point is not None and bool(np.isfinite(point) and np.isfinite(f["sd"][h - 1]))
+                        rows.append((t.window, t.sensor, origin, t.model, h, float(point) if made else None, float(f["sd"][h - 1]) if made else None, bool(f and f["converged"]), made, *(float(f[c]) if f else None for c in extra)))
+                yield pd.DataFrame(rows, columns=["window", "sensor", "origin", "model", "horizon", "prediction", "sd", "converged", "made", *extra]).astype({"horizon": "int32"})
+
+    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(n, "window", "block", "model").mapInPandas(
+        run, "window string, sensor string, origin date, model string, horizon int, prediction double, sd double, converged boolean, made boolean, min_ar_root double, min_ma_root double, level double, variance double")
 
 
 def past_residual_intervals(attempts: DataFrame, keys: list[str], levels: tuple[float, ...] = (0.80, 0.95)) -> DataFrame:

@@ -396,7 +396,8 @@ models AS (
   UNION ALL SELECT f.*, 'arx', m.p, m.v FROM frame f LEFT JOIN made m USING (win, origin, horizon)),
 said AS (
   SELECT *, CASE WHEN model = 'arx' AND horizon = 7 THEN 'feature_unavailable' WHEN NOT core_eligible THEN 'ineligible_core_origin' WHEN NOT enough THEN 'insufficient_training'
-    WHEN guess IS NOT NULL THEN 'ok' WHEN model = 'arx' THEN 'insufficient_training' ELSE 'feature_unavailable' END AS status FROM models),
+    WHEN model = 'arx' AND NOT EXISTS (SELECT 1 FROM coef c WHERE c.win = models.win AND c.origin = models.origin) THEN 'insufficient_training'
+    WHEN guess IS NULL THEN 'feature_unavailable' ELSE 'ok' END AS status FROM models),
 att AS (SELECT *, CASE WHEN status = 'ok' THEN guess END AS prediction, observed - CASE WHEN status = 'ok' THEN guess END AS error FROM said),
 cal AS (
   SELECT h.win, h.model, h.horizon, h.origin, count(*) AS n_cal, quantile_cont(p.error, 0.1) AS lo, quantile_cont(p.error, 0.9) AS hi
