@@ -5,47 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .parts import by_days, lag_in_parts
 
 
-def nearest_candidates(left: DataFrame, right: DataFrame, tolerance_s: int, keys: list[str] = ()) -> DataFrame:
-    """left/right(keys, stamp, value): pairs at most tolerance apart. Time is cut in bins of the tolerance; a left row meets the
+def nearest_candidates(left: DataFrame, right: DataFrame, tolerance_s: int, keys: list[str] = (), carried: list[str] = ()) -> DataFrame:
+    """left(keys, carried, stamp, value) and right(keys, stamp, value): pairs at most tolerance apart. Time is cut in bins of the tolerance; a left row meets the
     bins around its own, so the interval join is an equi-join."""
     sec = F.unix_micros(F.col("stamp").cast("timestamp")) if dict(left.dtypes)["stamp"] != "timestamp_ntz" else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("stamp"))
     width = tolerance_s * 1_000_000
-    a = left.select(*keys, F.col("stamp").alias("left_stamp"), F.col("value").alias("left_value"), sec.alias("_a")).withColumn("_bin", F.explode(F.array(*[F.floor(F.col("_a") / width) + d for d in (-1, 0, 1)])))
+    around = F.explode(F.array(*[F.floor(F.col("_a") / width) + d for d in (-1, 0, 1)]))
+    a = left.select(*keys, *carried, F.col("stamp").alias("left_stamp"), F.col("value").alias("left_value"), sec.alias("_a")).withColumn("_bin", around)
     b = right.select(*keys, F.col("stamp").alias("right_stamp"), F.col("value").alias("right_value"), sec.alias("_b")).withColumn("_bin", F.floor(F.col("_b") / width))
     off = F.col("_a") - F.col("_b")
-    return a.join(b, [*keys, "_bin"]).where(F.abs(off) <= width).select(*keys, "left_stamp", "left_value", "right_stamp", "right_value", off.alias("offset_us"))
+    return a.join(b, [*keys, "_bin"]).where(F.abs(off) <= width).select(*keys, *carried, "left_stamp", "left_value", "right_stamp", "right_value", off.alias("offset_us"))
 
 
-def one_to_one(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy choice by (absolute offset, left time, right time), no side used twice. Stamps that are alone within a group's chain
-    of candidates are settled by Spark; only chains reach the sequential kernel, which sees one group at a time."""
+def _round(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """Open pairs that are the best of both their stamps win, and the other pairs of those stamps lose. Pairs meet by stamp, never by key alone."""
+    sides = [Window.partitionBy(*keys, side) for side in ("left_stamp", "right_stamp")]
+    mine, still = F.struct(F.abs("offset_us"), "left_stamp", "right_stamp"), F.col("_won").isNull()
+    best = open_
+    for k, side in enumerate(sides):
+        best = best.withColumn(f"_best{k}", F.min(F.when(still, mine)).over(side))
+    won = best.withColumn("_won", F.when(still & (mine == F.col("_best0")) & (mine == F.col("_best1")), True).otherwise(F.col("_won"))).drop("_best0", "_best1")
+    for side in reversed(sides):
+        won = won.withColumn("_won", F.when(F.col("_won").isNull() & F.coalesce(F.bool_or("_won").over(side), F.lit(False)), False).otherwise(F.col("_won")))
+    return won
 
-    def run(pdf):
-        p = pdf.assign(_o=pdf["offset_us"].abs()).sort_values(["_o", "left_stamp", "right_stamp"], kind="stable")
-        used_l, used_r, keep = set(), set(), []
-        for l, r in zip(p["left_stamp"], p["right_stamp"]):
-            ok = l not in used_l and r not in used_r
-            keep.append(ok)
-            if ok:
-                used_l.add(l)
-                used_r.add(r)
-        return p[keep].drop(columns="_o")
 
-    n_l = F.count("*").over(Window.partitionBy(*keys, "left_stamp"))
-    n_r = F.count("*").over(Window.partitionBy(*keys, "right_stamp"))
-    marked = candidates.withColumns({"_l": n_l, "_r": n_r})
-    alone = marked.where("_l = 1 and _r = 1").drop("_l", "_r")
-    # chains never cross a stretch without candidates, so they are islands in left time
-    order = Window.partitionBy(*keys).orderBy("left_stamp", "right_stamp")
-    rest = marked.where("_l > 1 or _r > 1").drop("_l", "_r")
-    end = F.max(F.greatest("left_stamp", "right_stamp")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chain = F.sum(F.coalesce((F.least("left_stamp", "right_stamp") > F.col("_end")).cast("int"), F.lit(1))).over(order)
-    chained = rest.withColumn("_end", end).withColumn("_chain", chain).drop("_end")
-    settled = chained.groupBy(*keys, "_chain").applyInPandas(run, chained.schema).drop("_chain")
-    return alone.unionByName(settled)
+def one_to_one(candidates: DataFrame, keys: list[str], rounds: int = 3) -> DataFrame:
+    """Greedy choice by (absolute offset, left time, right time), no stamp used twice within keys; stamps are unique within keys on each side. In rounds: a pair that is the best of both
+    its stamps is what the greedy order would take, whatever else it takes; then those stamps are spent. The best pair left always
+    wins, so rounds end; each `rounds` of them the open pairs are written and the settled ones leave."""
+    cur, settled = candidates.withColumn("_won", F.lit(None).cast("boolean")), None
+    while True:
+        for _ in range(rounds):
+            cur = _round(cur, list(keys))
+        cur = kept(cur.where("_won is null or _won"), "matches")
+        won = cur.where("_won").drop("_won")
+        settled = won if settled is None else settled.unionByName(won)
+        cur = cur.where("_won is null")
+        if cur.isEmpty():
+            return settled
 
 
 def separated_top(df: DataFrame, k: int = 3, min_days: int = 7, keys: list[str] = ()) -> DataFrame:

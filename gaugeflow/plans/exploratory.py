@@ -99,23 +99,38 @@ def comparison_uncertainty(attempts: DataFrame, keys: list[str], reference: str
     return pairs.groupBy(*every).applyInPandas(run, _schema(pairs, every, "n int, mean double, ci_low double, ci_high double"))
 
 
-def event_alignment(left: DataFrame, right: DataFrame, events: DataFrame, tolerances_s: tuple[int, ...] = (480, 900), max_lag_hours: int = 48, step_min: int = 15, min_matches: int = 20) -> DataFrame:
-    """events(event, day): within [day - 1, day + 3), the peak over lags of the correlation of one-to-one matched values, by tolerance."""
+def event_alignment(left: DataFrame, right: DataFrame, events: DataFrame, keys: list[str] = (), tolerances_s: tuple[int, ...] = (480, 900), max_lag_hours: int = 48, step_min: int = 15,
+                    min_matches: int = 20) -> tuple[DataFrame, DataFrame]:
+    """events(event, day), left(stamp, value) and right(keys, stamp, value), both within [day - 1, day + 3): left shifted later by each lag is matched one to one with right, by
+    event, keys, tolerance and lag. (peaks, matches): peaks has the lag of largest absolute correlation of at least min_matches matched values (the smallest lag among equals),
+    the matches at lag 0, and whether the tolerances agree; groups without a correlation have no row. matches are those at lag 0. Only left is unfolded over
+    lags: right is met by the bin of the shifted stamp."""
     from ..functions.scalar import safe_corr
-    from ..operators.align import nearest_candidates, one_to_one
+    from ..operators.align import nearest_candidates, one_to_one, tolerance_stability
 
     # events are a small dimension; Spark broadcasts them if it finds them so
-    span = lambda df: df.join(events, (F.col("stamp") >= F.date_sub("day", 1)) & (F.col("stamp") < F.date_add("day", 3))).select("event", "stamp", "value")
-    lagged = span(left).withColumn("lag_min", F.explode(F.sequence(F.lit(0), F.lit(60 * max_lag_hours), F.lit(step_min)))).withColumn("stamp", F.col("stamp") + F.make_dt_interval(mins=F.col("lag_min")))
-    reach = span(right).withColumn("lag_min", F.explode(F.sequence(F.lit(0), F.lit(60 * max_lag_hours), F.lit(step_min))))
-    out = None
+    span = lambda df, own: df.join(events.select("event", "day"), (F.col("stamp") >= F.date_sub("day", 1)) & (F.col("stamp") < F.date_add("day", 3))).select("event", *own, "stamp", "value")
+    lag = F.explode(F.sequence(F.lit(0), F.lit(60 * max_lag_hours), F.lit(step_min)))
+    shifted = span(left, ()).withColumn("lag_min", lag).withColumn("stamp", F.col("stamp") + F.make_dt_interval(mins=F.col("lag_min")))
+    target, own = span(right, keys), ["event", *keys, "tolerance"]
+    every = None
     for tolerance in tolerances_s:
-        m = one_to_one(nearest_candidates(lagged, reach, tolerance, ["event", "lag_min"]), ["event", "lag_min"])
-        curve = m.groupBy("event", "lag_min").agg(F.count("*").alias("n"), safe_corr("left_value", "right_value").alias("correlation")).where(F.col("n") >= min_matches)
-        peak = curve.where("correlation is not null").groupBy("event").agg(F.max_by(F.struct("lag_min", "correlation", "n"), F.struct(F.abs("correlation"), -F.col("lag_min"))).alias("p")).select(
-            "event", F.lit(tolerance // 60).alias("tolerance"), (F.col("p.lag_min") / 60).alias("lag_hours"), F.col("p.correlation").alias("correlation"), F.col("p.n").alias("n"))
-        out = peak if out is None else out.unionByName(peak)
-    return out
+        c = nearest_candidates(shifted, target, tolerance, ["event"], ["lag_min"]) if not keys else nearest_candidates(
+            shifted.join(target.select("event", *keys).distinct(), "event"), target, tolerance, ["event", *keys], ["lag_min"])
+        c = c.withColumn("tolerance", F.lit(tolerance // 60))
+        every = c if every is None else every.unionByName(c)
+    matched = one_to_one(every, [*own, "lag_min"])
+    curve = matched.groupBy(*own, "lag_min").agg(F.count("*").alias("n"), F.when(F.count("*") >= min_matches, safe_corr("left_value", "right_value")).alias("correlation"))
+    found = F.max_by(F.struct("lag_min", "correlation", "n"), F.when(F.col("correlation").isNotNull(), F.struct(F.abs("correlation"), -F.col("lag_min"))))
+    peaks = curve.groupBy(*own).agg(found.alias("p"), F.coalesce(F.max(F.when(F.col("lag_min") == 0, F.col("n"))), F.lit(0)).alias("n_simultaneous")).where("p.correlation is not null").select(
+        *own, (F.col("p.lag_min") / 60).alias("lag_hours"), F.col("p.correlation").alias("correlation"), F.col("p.n").alias("n"), "n_simultaneous")
+    stable = tolerance_stability(peaks, ["event", *keys], tuple(t // 60 for t in tolerances_s)).select("event", *keys, "stable")
+    return events.join(peaks, "event").join(stable, ["event", *keys]), matched.where("lag_min = 0").drop("lag_min")
+
+
+def tolerance_pivot(peaks: DataFrame, keys: list[str], tolerances: tuple[int, ...] = (8, 15)) -> DataFrame:
+    """Peak lag and correlation of each event side by side by tolerance, null where a tolerance has none."""
+    return peaks.groupBy(*keys).pivot("tolerance", list(tolerances)).agg(F.first("lag_hours").alias("lag_hours"), F.first("correlation").alias("correlation"))
 
 
 def linear_processes(spark, seed: int = 170, n: int = 1000, lags: int = 20) -> DataFrame:

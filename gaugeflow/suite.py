@@ -519,10 +519,67 @@ def jn_nearest_candidates(spark, sf_dir):
     return align.nearest_candidates(side("click"), side("view"), 480).select(F.lit(True).alias("found"), "left_stamp", "right_stamp", "offset_us")
 
 
-@query()
+#: Rounds of mutual best pairs over c(k, l, r, o): the same pairs as the greedy order.
+_GREEDY = """s AS (
+  SELECT *, 0 AS turn, CAST(NULL AS BOOLEAN) AS won FROM c
+  UNION ALL SELECT * EXCLUDE (turn, won, m, lw, rw), turn + 1, CASE WHEN m THEN true WHEN lw OR rw THEN false END FROM (
+    SELECT *, bool_or(m) OVER (PARTITION BY k, l) AS lw, bool_or(m) OVER (PARTITION BY k, r) AS rw FROM (
+      SELECT *, row_number() OVER (PARTITION BY k, l ORDER BY abs(o), l, r) = 1 AND row_number() OVER (PARTITION BY k, r ORDER BY abs(o), l, r) = 1 AS m FROM s WHERE won IS NULL)))"""
+
+
+@query(f"""WITH RECURSIVE {_OBS}, side AS (SELECT sensor, stamp, min(row_no) AS v FROM obs GROUP BY ALL),
+c AS (SELECT 1 AS k, a.stamp AS l, b.stamp AS r, CAST(date_diff('microsecond', b.stamp, a.stamp) AS BIGINT) AS o, a.v AS lv, b.v AS rv FROM side a JOIN side b ON a.sensor = 'click' AND b.sensor = 'view' AND abs(date_diff('microsecond', b.stamp, a.stamp)) <= 480000000),
+{_GREEDY} SELECT l AS left_stamp, r AS right_stamp, o AS offset_us, CAST(lv AS DOUBLE) AS left_value, CAST(rv AS DOUBLE) AS right_value FROM s WHERE won""")
 def jn_one_to_one(spark, sf_dir):
     side = lambda s: observations(spark, sf_dir).where(F.col("sensor") == s).groupBy("stamp").agg(F.min("row_no").cast("double").alias("value"))
-    return align.one_to_one(align.nearest_candidates(side("click"), side("view"), 480).withColumn("k", F.lit(1)), ["k"])
+    return align.one_to_one(align.nearest_candidates(side("click"), side("view"), 480), []).select("left_stamp", "right_stamp", "offset_us", "left_value", "right_value")
+
+
+def _event_inputs(spark, sf_dir):
+    """Values of purchases, changes of clicks and views, and the three days of largest purchases at least seven days apart."""
+    o = quality.level_eligibility(quality.flagged(observations(spark, sf_dir))).where("eligible").withColumn("segment", F.lit("s"))
+    rain = o.where("sensor = 'purchase'")
+    days = align.separated_top(rain.groupBy(F.to_date("stamp").alias("day")).agg(F.sum("value").alias("value")), 3, 7)
+    events = days.select(F.concat(F.lit("e"), F.col("rank").cast("string")).alias("event"), "day", F.col("value").alias("amount"))
+    return rain.select("stamp", "value"), align.event_changes(o.where("sensor in ('click', 'view')")).select("sensor", "stamp", "value"), events
+
+
+_EVENTS = f"""{_FLAGS.replace('WITH', 'WITH RECURSIVE', 1)},
+ok AS (SELECT sensor, stamp, value FROM flagged WHERE value IS NOT NULL AND NOT dup AND NOT blank AND NOT bad AND NOT malformed AND NOT sentinel AND NOT coalesce(d < 0, false)),
+chg AS (SELECT sensor, stamp, value - lag(value) OVER w AS value, date_diff('microsecond', lag(stamp) OVER w, stamp) AS gap FROM ok WHERE sensor IN ('click', 'view') WINDOW w AS (PARTITION BY sensor ORDER BY stamp)),
+daysum AS (SELECT CAST(stamp AS DATE) AS day, sum(value) AS value FROM ok WHERE sensor = 'purchase' GROUP BY 1),
+pick AS (SELECT 1 AS rank, day, value, [day] AS days FROM (SELECT * FROM daysum ORDER BY value DESC, day LIMIT 1) UNION ALL
+  SELECT * FROM (SELECT k.rank + 1, p.day, p.value, list_append(k.days, p.day) FROM pick k JOIN daysum p ON true WHERE k.rank < 3 AND len(list_filter(k.days, lambda z: abs(z - p.day) < 7)) = 0 ORDER BY p.value DESC, p.day LIMIT 1)),
+ev AS (SELECT 'e' || rank AS event, day, value AS amount FROM pick),
+lagged AS (SELECT event, g.m AS lag_min, stamp + to_minutes(g.m) AS stamp, value FROM ok JOIN ev ON ok.sensor = 'purchase' AND stamp >= day - 1 AND stamp < day + 3, (SELECT unnest(range(0, 2881, 15)) AS m) g),
+aim AS (SELECT event, sensor, stamp, value FROM chg JOIN ev ON gap > 0 AND gap <= 1200000000 AND stamp >= day - 1 AND stamp < day + 3),
+c AS (SELECT a.event || '/' || b.sensor || '/' || t.tol || '/' || a.lag_min AS k, a.event, b.sensor, t.tol, a.lag_min, a.stamp AS l, b.stamp AS r, CAST(date_diff('microsecond', b.stamp, a.stamp) AS BIGINT) AS o, a.value AS lv, b.value AS rv
+  FROM lagged a JOIN aim b ON a.event = b.event AND b.stamp BETWEEN a.stamp - INTERVAL 15 MINUTE AND a.stamp + INTERVAL 15 MINUTE JOIN (VALUES (8), (15)) t(tol) ON abs(date_diff('microsecond', b.stamp, a.stamp)) <= t.tol * 60000000),
+{_GREEDY},
+curve AS (SELECT event, sensor, tol, lag_min, count(*) AS n, CASE WHEN count(*) >= 20 AND var_pop(lv) > 0 AND var_pop(rv) > 0 THEN covar_pop(lv, rv) / (stddev_pop(lv) * stddev_pop(rv)) END AS corr FROM s WHERE won GROUP BY ALL),
+peak AS (SELECT event, sensor, tol, arg_max(lag_min, CASE WHEN corr IS NOT NULL THEN [abs(corr), -lag_min] END) AS lag_min, coalesce(max(CASE WHEN lag_min = 0 THEN n END), 0) AS n0 FROM curve GROUP BY ALL),
+peaks AS (SELECT p.event, p.sensor, p.tol, p.lag_min / 60 AS lag_hours, c.corr, c.n, p.n0 FROM peak p JOIN curve c USING (event, sensor, tol, lag_min) WHERE corr IS NOT NULL),
+firm AS (SELECT event, sensor, count(*) = 2 AND min(sign(corr)) = max(sign(corr)) AND max(corr) - min(corr) <= 0.1 AND max(lag_hours) - min(lag_hours) <= 2 AS stable FROM peaks GROUP BY ALL)"""
+
+
+@query(f"""{_EVENTS} SELECT event, day, round(amount, 4) AS amount, sensor, tol AS tolerance, lag_hours, round(corr, 8) AS correlation, n, n0 AS n_simultaneous, stable FROM peaks JOIN firm USING (event, sensor) JOIN ev USING (event)""")
+def ev_alignment(spark, sf_dir):
+    """All 193 lags, both tolerances, by event and responding sensor."""
+    peaks, _ = exploratory.event_alignment(*_event_inputs(spark, sf_dir), ["sensor"])
+    return peaks.select("event", "day", F.round("amount", 4).alias("amount"), "sensor", "tolerance", "lag_hours", F.round("correlation", 8).alias("correlation"), "n", "n_simultaneous", "stable")
+
+
+@query(f"""{_EVENTS} SELECT event, sensor, max(CASE WHEN tol = 8 THEN lag_hours END) AS "8_lag_hours", round(max(CASE WHEN tol = 8 THEN corr END), 8) AS "8_correlation", max(CASE WHEN tol = 15 THEN lag_hours END) AS "15_lag_hours",
+  round(max(CASE WHEN tol = 15 THEN corr END), 8) AS "15_correlation" FROM peaks GROUP BY ALL""")
+def ev_tolerance_pivot(spark, sf_dir):
+    peaks, _ = exploratory.event_alignment(*_event_inputs(spark, sf_dir), ["sensor"])
+    return exploratory.tolerance_pivot(peaks, ["event", "sensor"]).withColumns({f"{t}_correlation": F.round(f"{t}_correlation", 8) for t in (8, 15)})
+
+
+@query(f"""{_EVENTS} SELECT event, sensor, tol AS tolerance, l AS left_stamp, r AS right_stamp, o AS offset_us, lv AS left_value, round(rv, 6) AS right_value FROM s WHERE won AND lag_min = 0""")
+def ev_matches(spark, sf_dir):
+    _, m = exploratory.event_alignment(*_event_inputs(spark, sf_dir), ["sensor"])
+    return m.select("event", "sensor", "tolerance", "left_stamp", "right_stamp", "offset_us", "left_value", F.round("right_value", 6).alias("right_value"))
 
 
 @query(f"""WITH {_OBS} SELECT stamp FROM obs WHERE sensor = 'click' INTERSECT SELECT stamp FROM obs WHERE sensor = 'view'""")
