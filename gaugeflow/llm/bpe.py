@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 from .common import map_batches
 
 #: Words kept with their ids in each Python worker; the memo starts anew beyond it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def _byte_letters() -> list[str]:
