@@ -73,3 +73,40 @@ def recomputed_daily(obs: DataFrame, daily: DataFrame, cumulative: bool, toleran
     diff = F.abs(F.col("value") - F.col("again"))
     return both.groupBy("sensor").agg(
         F.count("*").alias("n_days"), F.count_if(diff <= tolerance).alias("n_match"), F.count_if(diff > tolerance).alias("n_differ"), F.round(F.max(diff), 12).alias("max_diff"))
+
+
+def preferred_rows(df: DataFrame, product: str, sensors: list[str], rain: list[str], rain_role: str = "interval_precipitation") -> DataFrame:
+    """Rows of the product and sensors in the role that stands for the sensor: daily rain its maximum and other daily sensors their median; 15-minute rain in rain_role, which
+    analyses take by interval and coverage tables cumulatively, and other sensors their observations."""
+    is_rain = F.col("sensor").isin(*rain) if rain else F.lit(False)
+    of_rain, other = ("daily_rainfall_maximum", "daily_median") if product == "daily" else (rain_role, "15_minute_observation")
+    return df.where((F.col("product") == product) & F.col("sensor").isin(*sensors) & (F.col("role") == F.when(is_rain, of_rain).otherwise(other)))
+
+
+def daily_relationship(fine: DataFrame, daily: DataFrame, rain: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """fine(sensor, role, stamp, value) aggregated by day as documented, rain by its maximum in both roles and other sensors by their median, against daily(sensor, day, value, order), of which
+    the first row of a day that has a value counts. One row for each sensor in both, and role."""
+    is_rain = F.col("sensor").isin(*rain) if rain else F.lit(False)
+    tested = F.when(is_rain, F.col("role").isin("interval_precipitation", "cumulative_precipitation")).otherwise(F.col("role") == "15_minute_observation")
+    again = fine.where(tested & F.col("value").isNotNull() & F.col("stamp").isNotNull()).groupBy("sensor", "role", F.to_date("stamp").alias("day")).agg(
+        F.max("value").alias("_top"), F.percentile("value", F.lit(0.5)).alias("_middle")).withColumn("again", F.when(is_rain, F.col("_top")).otherwise(F.col("_middle")))
+    own = daily.groupBy("sensor", "day").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("order"))).alias("value"), F.count("*").alias("_rows"))
+    per = own.groupBy("sensor").agg(F.count("*").alias("n_daily_days"), F.coalesce(F.sum(F.when(F.col("_rows") > 1, F.col("_rows"))), F.lit(0)).alias("n_duplicate_rows"))
+    counts = again.groupBy("sensor", "role").agg(F.count("*").alias("n_fine_days"))
+    diff, same = F.abs(F.col("value") - F.col("again")), F.abs(F.col("value") - F.col("again")) <= tolerance
+    both = again.join(own.where("value is not null"), ["sensor", "day"]).groupBy("sensor", "role").agg(
+        F.count("*").alias("n_comparable"), F.count_if(same).alias("n_match"), F.count_if(~same).alias("n_mismatch"), F.round(F.max(diff), 12).alias("max_difference"),
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.when(~same, F.year("day")))), lambda y: y.cast("string")), ";").alias("_years"))
+    zero = F.lit(0).cast("bigint")
+    return counts.join(per, "sensor").join(both, ["sensor", "role"], "left").select(
+        "sensor", F.when(is_rain, "daily_rainfall_maximum").otherwise("daily_median").alias("daily_role"), "role", F.when(is_rain, "maximum").otherwise("median").alias("aggregation"), "n_daily_days", "n_fine_days",
+        F.coalesce("n_comparable", zero).alias("n_comparable"), F.coalesce("n_match", zero).alias("n_match"), F.coalesce("n_mismatch", zero).alias("n_mismatch"),
+        F.coalesce(F.nullif("_years", F.lit("")), F.lit("none")).alias("mismatch_years"), "max_difference", "n_duplicate_rows")
+
+
+def semantics_match(daily: DataFrame, fine: DataFrame, rain: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """daily(sensor, day, value) with daily_semantics_match: rain equals the day's largest cumulative value; false where either is missing. Other sensors match by definition."""
+    top = fine.where((F.col("role") == "cumulative_precipitation") & F.col("stamp").isNotNull()).groupBy("sensor", F.to_date("stamp").alias("day")).agg(F.max("value").alias("_top"))
+    same = F.coalesce(F.abs(F.col("value") - F.col("_top")) <= tolerance, F.lit(False))
+    is_rain = F.col("sensor").isin(*rain) if rain else F.lit(False)
+    return daily.join(top, ["sensor", "day"], "left").withColumn("daily_semantics_match", ~is_rain | same).drop("_top")

@@ -197,6 +197,18 @@ def interval_diagnostics(attempts: DataFrame, keys: list[str], level: float) ->
         F.avg(F.when(there, hi - lo)).alias("width"), F.avg(F.when(there, interval_score(y, lo, hi, level))).alias("score"))
 
 
+def interval_levels(attempts: DataFrame, keys: list[str], levels: tuple[float, ...] = tuple(Z)) -> DataFrame:
+    """interval_diagnostics of every level, in one pass: attempts are unfolded over levels."""
+    y = F.col("observed")
+    rows = F.inline(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"lower_{round(v * 100)}").alias("_lo"), F.col(f"upper_{round(v * 100)}").alias("_hi")) for v in levels]))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    there = lo.isNotNull() & hi.isNotNull() & y.isNotNull()
+    penalty = 2.0 / (1.0 - F.col("level")) * (F.greatest(lo - y, F.lit(0.0)) + F.greatest(y - hi, F.lit(0.0)))
+    return attempts.select(*keys, "observed", rows).groupBy(*keys, "level").agg(
+        F.count_if(there).alias("n_intervals"), F.avg(F.when(there, ((y >= lo) & (y <= hi)).cast("int"))).alias("coverage"),
+        F.avg(F.when(there, hi - lo)).alias("width"), F.avg(F.when(there, hi - lo + penalty)).alias("score"))
+
+
 def coverage_failures(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return attempts.groupBy(*keys, "status").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 

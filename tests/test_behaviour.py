@@ -98,7 +98,8 @@ def test_runs_and_changepoints(spark):
     df = spark.createDataFrame([("s", D("2020-01-01") + dt.timedelta(i), float(v)) for i, v in enumerate(y)], "sensor string, day date, value double")
     runs = series.contiguous_runs(df, ["sensor"], 180)
     found = changepoints.detect(runs, ["sensor"])
-    assert {(r.method, r.setting) for r in found.select("method", "setting").distinct().collect()} == {("pelt", f"multiplier_{k}") for k in (1, 2, 4)} | {("binary", f"breaks_{k}") for k in (1, 2, 3)}
+    penalty = {k: f"{k * math.log(300) * np.var(y, ddof=1):.12g}" for k in (1, 2, 4)}
+    assert {(r.method, r.setting) for r in found.select("method", "setting").distinct().collect()} == {("pelt", f"multiplier_{k}_penalty_{penalty[k]}") for k in (1, 2, 4)} | {("binary", f"breaks_{k}") for k in (1, 2, 3)}
     assert abs(changepoints.first_split(runs, ["sensor"]).first()["i"] - 150) <= 1
     best = changepoints.summarize(found, ["sensor"]).where("stability = 'method_stable'").collect()
     assert any(abs((r.day - D("2020-05-30")).days) <= 7 for r in best)
