@@ -242,11 +242,14 @@ def _similar_parts(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, l
     return out
 
 
-def _met(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """Pairs of a signature's places in two documents, as many as places: each meets the other's first, and the one of its own rank."""
-    if len(x) == len(y) == 1:
-        return [(x[0], y[0])]
-    return [(p, y[0]) for p in x] + [(x[0], q) for q in y] + [(x[k % len(x)], y[k % len(y)]) for k in range(max(len(x), len(y)))]
+def _met(x: list[int], y: list[int]) -> np.ndarray:
+    """Pairs of a signature's places in two documents: every place of one with every place of the other. Of very many pairs one of each diagonal is
+    enough, as a diagonal is tried along the whole texts."""
+    ca, cb = np.repeat(np.array(x, np.int64), len(y)), np.tile(np.array(y, np.int64), len(x))
+    if len(ca) > 1 << 16:
+        some = np.unique((cb - ca) // (BAND // 2), return_index=True)[1]
+        ca, cb = ca[some], cb[some]
+    return np.stack([ca, cb], 1)
 
 
 def _ranked(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,14 +257,14 @@ def _ranked(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, b[order]
 
 
-def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
+def similar_stretches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]] | np.ndarray, least: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
     """Stretches [a0, a1] and [b0, b1] of tokens that are similar enough, near the diagonals (place in b less place in a) of the anchors. Matches of
     the whole texts are found once; along a diagonal a token meets its equal nearest to it, up to BAND away, and
     the chain of these matches is cut in its maximal similar parts. Anchors that what was found covers in both texts, or near a diagonal already tried, are not tried again."""
     order, ranked = _ranked(b) if ranks is None else ranks
     low = np.searchsorted(ranked, a)
     equal = ranked[np.minimum(low, len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
-    ca, cb = np.array(sorted(set(anchors)), np.int64).reshape(-1, 2).T
+    ca, cb = np.unique(np.array(anchors, np.int64).reshape(-1, 2), axis=0).T
     ok = (ca < len(a)) & (cb < len(b))
     ca, cb = ca[ok], cb[ok]
     # a part of `least` tokens around an anchor has so many that occur in b at all
@@ -309,7 +312,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float)
                     tokens[x] = shingled(words, SHINGLE)
                     held += len(words)
                 for x, y, anchors in zip(left, right, batch.column("anchors").to_pylist()):
-                    places = [p for s in anchors for p in _met(s["ca"], s["cb"])]
+                    places = np.concatenate([_met(s["ca"], s["cb"]) for s in anchors])
                     if y != last:  # rows come by b
                         last, ranks = y, _ranked(tokens[y])
                     rows += [(x, y, *found) for found in similar_stretches(tokens[x], tokens[y], places, least, similarity, ranks)]
@@ -371,38 +374,56 @@ def _still_open(holders: DataFrame, state: DataFrame) -> DataFrame:
     return written(placed.join(keys.where("lo < hi and not (done and first = last)").select("key"), "key", "left_semi"), "open")
 
 
+def _fewest(tokens: np.ndarray, c: int, least: int) -> int:
+    """The fewest distinct tokens of any stretch of `least` tokens that holds place c: fewer than least where a passage repeats itself."""
+    lo, hi = max(c - least + 1, 0), min(c + least, len(tokens))
+    near = tokens[lo:hi]
+    if len(np.unique(near)) == len(near):
+        return min(least, len(near))
+    order = np.argsort(near, kind="stable")
+    again = np.flatnonzero(near[order[1:]] == near[order[:-1]])
+    before = np.full(len(near), -1)
+    before[order[again + 1]] = order[again]
+    new = before[None, :] < np.arange(len(near))[:, None]  # is a token new to a stretch that begins there
+    total = np.concatenate([np.zeros((len(near), 1), np.int64), np.cumsum(new, 1)], 1)
+    s = np.arange(max(len(near) - least + 1, 1))
+    return int((total[s, np.minimum(s + least, len(near))] - total[s, s]).min())
+
+
 def _neighbours(holders: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """holders(key, id, c) as (key, id, near): the distinct tokens (32 bits each) less than `least` from the signature's places."""
+    """holders(key, id, c) as (key, id, need, near): the distinct tokens (32 bits each) less than `least` from the signature's places, and how many a passage there has at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                keys, ids, near = [], [], []
+                keys, ids, need, near = [], [], [], []
                 for doc, own, words in zip(batch.column("id").to_pylist(), batch.column("own").to_pylist(), word_hashes(batch.column("text").to_pylist())):
                     tokens = (shingled(words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
                     for s in own:
                         keys.append(s["key"])
                         ids.append(doc)
+                        need.append(min(_fewest(tokens, c, least) for c in s["c"]))
                         near.append(np.unique(np.concatenate([tokens[max(c - least + 1, 0) : c + least] for c in s["c"]])).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(near, pa.binary())], names=["key", "id", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(need, pa.int32()), pa.array(near, pa.binary())], names=["key", "id", "need", "near"])
 
     own = holders.groupBy("id").agg(F.collect_list(F.struct("key", "c")).alias("own"))
-    return map_batches(texts.join(own, "id").select("id", "own", "text"), run, "key bigint, id bigint, near binary")
+    return map_batches(texts.join(own, "id").select("id", "own", "text"), run, "key bigint, id bigint, need int, near binary")
 
 
 def _refined(holders: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """The holders of each signature split in classes, keyed anew: two holders come together if what surrounds the signature in both has as many tokens in common as
-    a similar passage of `least` tokens around it must. So a line that many documents share ties none of them whose surroundings differ. Holders that are alone go."""
+    """The holders of each signature split in classes, keyed anew: two holders come together if what surrounds the signature in both has as many distinct tokens in common as
+    a similar passage of `least` tokens around it must, which may be few where it repeats itself. So a line that many documents share ties none of them whose surroundings differ. Holders that are alone go."""
     near = written(_neighbours(holders, texts, least), "near")
     sized = near.withColumn("component", F.col("id")).withColumn("n", F.octet_length("near").cast("bigint") / 4)
     chunks = written(_chunked(sized.groupBy("key"), "key"), "chunks")
-    rows = _dealt(sized.join(chunks, "key").select("key", "id", "near", "chunks"), "key")
+    rows = _dealt(sized.join(chunks, "key").select("key", "id", "need", "near", "chunks"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
             common = _intersections([np.frombuffer(x, np.uint32) for x in group.column("near").to_pylist()])
-            i, j = np.nonzero(np.triu(common >= similarity * least - 1e-9, 1))
+            need = group.column("need").to_numpy()
+            i, j = np.nonzero(np.triu(common >= similarity * np.maximum.outer(need, need) - 1e-9, 1))
             root = np.arange(len(common))
             while len(i):
                 low = np.minimum(root[i], root[j])
@@ -417,7 +438,7 @@ def _refined(holders: DataFrame, texts: DataFrame, least: int, similarity: float
             ids = group.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([group.column("key").take(pa.array(some)), pa.array(ids[some]), pa.array(ids[root[some]])], names=["key", "a", "b"])
 
-    ties = written(map_batches(rows.select("g", "key", "id", "near"), run, "key bigint, a bigint, b bigint").where("a <> b").distinct(), "ties")
+    ties = written(map_batches(rows.select("g", "key", "id", "need", "near"), run, "key bigint, a bigint, b bigint").where("a <> b").distinct(), "ties")
     node = lambda x: F.xxhash64("key", x)
     classes = written(components(ties.select(node("a").alias("a"), node("b").alias("b"))), "classes")
     out = written(holders.withColumn("node", node("id")).join(classes, "node").select(F.col("component").alias("key"), "id", "c"), "holders")
