@@ -792,4 +792,4 @@ def sy_claims(spark, sf_dir):
     return synthesis.claims({"daily": daily_levels(spark, sf_dir)}, rules)
 
 
-from . import suite_archives, suite_series  # noqa: E402, F401  (register their queries)
+from . import suite_archives, suite_contracts, suite_series  # noqa: E402, F401  (register their queries)
