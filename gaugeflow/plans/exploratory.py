@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.scalar import adjusted_kurtosis, adjusted_skew
+from ..operators.autocorr import autocorrelations, ljung_box, partial_autocorrelations
+from ..operators.parts import joined
 
 
 def _schema(df: DataFrame, keys: list[str], rest: str) -> str:
@@ -34,19 +36,11 @@ def stationarity(runs: DataFrame, keys: list[str], min_days: int = 120) -> DataF
 
 
 def dependence(runs: DataFrame, keys: list[str], min_days: int = 120, max_lag: int = 60) -> DataFrame:
-    """Autocorrelations and partial ones to lag min(max_lag, n // 4, n // 2 - 1), with the white-noise band."""
-
-    def run(pdf):
-        import pandas as pd
-
-        x = pdf.sort_values("day")["value"].to_numpy(float)
-        n, own, rows = len(x), tuple(pdf[k].iloc[0] for k in keys), []
-        if n >= min_days and np.var(x) > 0:
-            top = min(max_lag, n // 4, n // 2 - 1)
-            rows = [(*own, n, k, a, p, 1.96 / math.sqrt(n)) for k, (a, p) in enumerate(zip(K.acf(x, top), K.pacf(x, top)))]
-        return pd.DataFrame(rows, columns=[*keys, "n", "lag", "acf", "pacf", "band"])
-
-    return runs.select(*keys, "day", "value").groupBy(*keys).applyInPandas(run, _schema(runs, keys, "n int, lag int, acf double, pacf double, band double"))
+    """Autocorrelations and partial ones to lag min(max_lag, n // 4, n // 2 - 1), with the white-noise band; short and constant runs give no row."""
+    n = F.col("n")
+    top = F.when(n >= min_days, F.least(F.lit(max_lag), F.floor(n / 4), F.floor(n / 2) - 1)).otherwise(-1)
+    found = autocorrelations(runs, keys, "day", "value", top)
+    return partial_autocorrelations(found, keys).where("pacf is not null").select(*keys, "n", "lag", "acf", "pacf", (1.96 / F.sqrt("n")).alias("band"))
 
 
 def decomposition(runs: DataFrame, keys: list[str], periods: tuple[int, ...] = (365, 366), min_cycles: int = 2) -> DataFrame:
@@ -65,21 +59,30 @@ def decomposition(runs: DataFrame, keys: list[str], periods: tuple[int, ...] = (
     return runs.select(*keys, "day", "value").groupBy(*keys).applyInPandas(run, _schema(runs, keys, "n int, period int, season_strength double, trend_strength double"))
 
 
-def residual_diagnostics(attempts: DataFrame, keys: list[str], lags: int = 10) -> DataFrame:
-    """Autocorrelation of errors by origin for lags 0..lags (null past the data, 1 at lag 0), Ljung-Box at min(lags, n // 5), and their bias."""
+def chi2_tail(q: Column, k: Column) -> Column:
+    """P(X > q) for k degrees of freedom, null where either is."""
+
+    def tail(q: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(m) else K.chi2_tail(float(x), int(m)) for x, m in zip(q, k)], dtype="float64")
+
+    return F.pandas_udf(tail, "double")(q, k)
 
-    def run(pdf):
-        import pandas as pd
 
-        e = pdf.dropna(subset=["error"]).sort_values("origin")["error"].to_numpy(float)
-        n, own = len(e), tuple(pdf[k].iloc[0] for k in keys)
-        r = K.acf(e, min(lags, n - 1)) if n > 1 else np.array([1.0] * (n > 0))
-        m = min(lags, n // 5)
-        q, p = K.ljung_box(e, m) if m >= 1 and np.var(e) > 0 else (math.nan, math.nan)
-        rows = [(*own, n, k, float(r[k]) if k < len(r) else None, q, p, float(e.mean()) if n else None) for k in range(lags + 1)]
-        return pd.DataFrame(rows, columns=[*keys, "n", "lag", "acf", "ljung_box", "ljung_box_p", "bias"])
+def residual_autocorrelation(attempts: DataFrame, keys: list[str], lags: int = 10) -> DataFrame:
+    """Of the errors by origin, for each lag 0 to lags: autocorrelation (1 at lag 0; null past the data, under three errors and for constant ones), Ljung-Box at min(lags, n // 5), bias, adjusted skewness and excess
+    kurtosis, median and 95 % of absolute errors."""
+    found = autocorrelations(attempts, keys, "origin", "error", F.least(F.lit(lags), F.col("n") - 1), 3)
+    ok = attempts.where("error is not null")
+    shape = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("error").alias("bias"), adjusted_skew(F.col("error")).alias("skew"), adjusted_kurtosis(F.col("error")).alias("kurtosis"),
+                                  F.percentile(F.abs("error"), F.lit(0.5)).alias("median_ae"), F.percentile(F.abs("error"), F.lit(0.95)).alias("q95_ae"))
+    every = shape.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags))))
+    out = joined(every, found.drop("n"), [*keys, "lag"])
+    return joined(out, ljung_box(found, keys, lags), keys).select(*keys, "n", "lag", "acf", "ljung_box_lag", "ljung_box", "bias", "skew", "kurtosis", "median_ae", "q95_ae")
 
-    return attempts.select(*keys, "origin", "error").groupBy(*keys).applyInPandas(run, _schema(attempts, keys, "n int, lag int, acf double, ljung_box double, ljung_box_p double, bias double"))
+
+def residual_diagnostics(attempts: DataFrame, keys: list[str], lags: int = 10) -> DataFrame:
+    """residual_autocorrelation with the Ljung-Box sum's tail probability."""
+    return residual_autocorrelation(attempts, keys, lags).withColumn("ljung_box_p", chi2_tail(F.col("ljung_box"), F.col("ljung_box_lag")))
 
 
 def comparison_uncertainty(attempts: DataFrame, keys: list[str], reference: str = "zero_change") -> DataFrame:
@@ -156,3 +159,31 @@ def leakage_demo(spark, seed: int = 170, n: int = 300, shift_at: int = 220, shif
         e = y[unseen] - y[seen].mean()
         rows.append((name, float(np.abs(e).mean()), float(np.sqrt(np.mean(e * e))), float(e.mean())))
     return spark.createDataFrame(rows, "split string, mae double, rmse double, bias double")
+
+
+def processes_of(innovations: DataFrame, order: str, value: str, coefficient: float = 0.7, lags: int = 20) -> DataFrame:
+    """(process, n, lag, acf): autocorrelations of an autoregression, a moving average and a random walk driven by the standardised values of one series, in order."""
+    e = innovations.where(F.col(value).isNotNull()).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("x"))
+    e = e.where(F.size("x") > 0).select(F.transform("x", lambda s: s["v"]).alias("x"))
+    size = F.size("x").cast("double")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / size
+    e = e.withColumn("m", mean)
+    e = e.withColumn("sd", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / F.size("x"))).select(F.transform("x", lambda v: (v - F.col("m")) / F.col("sd")).alias("e"))
+    grow = lambda c: F.aggregate("e", F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(c * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + v)))
+    made = e.select(grow(F.lit(coefficient)).alias("ar1"), F.transform("e", lambda v, i: v + coefficient * F.when(i > 0, F.get("e", i - 1)).otherwise(0.0)).alias("ma1"), grow(F.lit(1.0)).alias("random_walk"))
+    rows = made.select(F.inline(F.array(*[F.struct(F.lit(n).alias("process"), F.col(n).alias("y")) for n in ("ar1", "ma1", "random_walk")])))
+    return autocorrelations(rows.select("process", F.posexplode("y").alias("at", "y")), ["process"], "at", "y", F.least(F.lit(lags), F.col("n") - 1))
+
+
+def split_errors(df: DataFrame, order: str, value: str, train_share: float = 0.7, shift_share: float = 220 / 300, shift: float = 5.0) -> DataFrame:
+    """The error of a mean model under a chronological and a random split of a standardised series that shifts near its end: what looking ahead hides. The random split takes the
+    days whose digests are smallest, so that it is the same everywhere."""
+    whole = Window.partitionBy()
+    x = df.where(F.col(value).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    x = x.withColumns({"n": F.count("*").over(whole), "i": F.row_number().over(whole.orderBy("o")) - 1, "r": F.row_number().over(whole.orderBy(F.md5(F.col("o").cast("string").cast("binary")), "o")) - 1, "m": F.avg("v").over(whole), "sd": F.stddev_pop("v").over(whole)})
+    y = (F.col("v") - F.col("m")) / F.col("sd") + F.when(F.col("i") >= F.floor(F.col("n") * shift_share), shift).otherwise(0.0)
+    rows = x.select("n", y.alias("y"), F.inline(F.array(F.struct(F.lit("chronological").alias("split"), F.col("i").alias("at")), F.struct(F.lit("random").alias("split"), F.col("r").alias("at")))))
+    rows = rows.withColumn("seen", F.col("at") < F.floor(F.col("n") * train_share))
+    fit = rows.where("seen").groupBy("split").agg(F.avg("y").alias("mean"))
+    e = F.col("y") - F.col("mean")
+    return rows.where("not seen").join(fit, "split").groupBy("split").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))

@@ -34,6 +34,20 @@ def receipt(spark, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def settings(values: dict[str, object], spark) -> DataFrame:
+    """A run's settings as a table (setting, value), in order of names; lists are joined."""
+    shown = lambda v: ";".join(map(str, v)) if isinstance(v, (list, tuple, set, frozenset)) else str(v)
+    return spark.createDataFrame([(k, shown(values[k])) for k in sorted(values)], "setting string, value string")
+
+
+def forecast_settings() -> dict[str, object]:
+    """The settings of a rolling run."""
+    from . import changepoints, forecast
+
+    return {"horizons_days": forecast.HORIZONS, "minimum_calendar_days": forecast.MIN_DAYS, "minimum_targets": forecast.MIN_TARGETS, "minimum_mase_pairs": forecast.MIN_PAIRS, "minimum_equations": forecast.MIN_EQUATIONS,
+            "minimum_past_residuals": forecast.MIN_RESIDUALS, "models": forecast.COMPLEXITY, "arima_orders": [f"{k}={v}" for k, v in forecast.ARIMA.items()], "pelt_multipliers": changepoints.SETTINGS, "binary_breaks": changepoints.SPLITS}
+
+
 def software_versions(spark) -> DataFrame:
     import platform
 

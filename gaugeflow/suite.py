@@ -241,9 +241,11 @@ def fc_calendar_grid(spark, sf_dir):
 _ORIGINS = """origins AS (SELECT w.win, CAST(x.o AS DATE) AS origin FROM w, LATERAL (SELECT unnest(generate_series(w.anchor, w.stop - INTERVAL 1 DAY, INTERVAL 14 DAY)) AS o) x)"""
 
 
-@query(f"""WITH w AS (SELECT * FROM {_WINDOWS.replace('t(window', 't(win')}), {_ORIGINS} SELECT win AS "window", origin FROM origins""")
+@query(f"""WITH {_DAILY}, w AS (SELECT sensor AS win, min(day) + 400 AS anchor, max(day) + 1 AS stop FROM daily GROUP BY 1), {_ORIGINS} SELECT win AS "window", origin FROM origins""")
 def fc_scheduled_origins(spark, sf_dir):
-    return series.scheduled_origins(_windows(spark))
+    """Windows that begin 400 days after each sensor's first day and end with its last."""
+    ends = daily_levels(spark, sf_dir).groupBy(F.col("sensor").alias("window")).agg(F.date_add(F.min("day"), 400).alias("anchor"), F.date_add(F.max("day"), 1).alias("stop"))
+    return series.scheduled_origins(ends.where("anchor < stop"))
 
 
 _CORE = f"""core AS (SELECT win, day AS origin, coalesce(count(value) OVER f = 2 AND count(segment) OVER f = 2 AND min(segment) OVER f = max(segment) OVER f AND min({_WY.format('day')}) OVER f = max({_WY.format('day')}) OVER f, false) AS core_eligible
@@ -479,10 +481,13 @@ def fc_target_windows(spark, sf_dir):
     return rolling.target_windows(*_staged(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('zero_change', 'baseline', 0), ('persistence', 'baseline', 1), ('expanding_median', 'baseline', 2), ('prior_year', 'baseline', 3), ('mean', 'ARIMA', 4), ('ar1', 'ARIMA', 5), ('ar2', 'ARIMA', 6),
- ('arma11', 'ARIMA', 7), ('sar1', 'ARIMA', 8), ('arx', 'conditional_ARX', 9)) AS t(model, family, complexity)""")
+@query(f"""{_ROLL} SELECT t.model, t.family, t.complexity, count(att.model) AS n_attempts, count(*) FILTER (att.status = 'ok') AS n_ok FROM (VALUES ('zero_change', 'baseline', 0), ('persistence', 'baseline', 1), ('expanding_median', 'baseline', 2), ('prior_year', 'baseline', 3),
+ ('mean', 'ARIMA', 4), ('ar1', 'ARIMA', 5), ('ar2', 'ARIMA', 6), ('arma11', 'ARIMA', 7), ('sar1', 'ARIMA', 8), ('arx', 'conditional_ARX', 9)) AS t(model, family, complexity) LEFT JOIN att USING (model) GROUP BY ALL""")
 def fc_model_specifications(spark, sf_dir):
-    return spark.createDataFrame([r[:3] for r in rolling.model_specifications()], "model string, family string, complexity int")
+    """The ten specifications with what the rolling run without ARIMA made of each."""
+    made = _rolling(spark, sf_dir)[0].groupBy("model").agg(F.count("*").alias("n_attempts"), F.count_if(F.col("status") == "ok").alias("n_ok"))
+    specs = spark.createDataFrame([r[:3] for r in rolling.model_specifications()], "model string, family string, complexity int")
+    return specs.join(made, "model", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_attempts", "n_ok")})
 
 
 # -- lags, top-k, alignment ---------------------------------------------------------------------
@@ -752,14 +757,52 @@ def st_residual_diagnostics(spark, sf_dir):
     return exploratory.residual_diagnostics(_attempts(spark, sf_dir), ["window", "model"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIR}, e AS (SELECT row_number() OVER (ORDER BY day) AS i, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS e FROM r),
+ar AS (SELECT i, e AS y FROM e WHERE i = 1 UNION ALL SELECT e.i, 0.7 * ar.y + e.e FROM ar JOIN e ON e.i = ar.i + 1),
+y AS (SELECT 'ar1' AS process, i, y FROM ar UNION ALL SELECT 'ma1', i, e + 0.7 * coalesce(lag(e) OVER (ORDER BY i), 0) FROM e UNION ALL SELECT 'random_walk', i, sum(e) OVER (ORDER BY i) FROM e),
+d AS (SELECT process, i, y - avg(y) OVER (PARTITION BY process) AS d, count(*) OVER (PARTITION BY process) AS n FROM y)
+SELECT a.process, a.n, CAST(l.lag AS INT) AS lag, round(sum(a.d * b.d) / any_value(z.z), 6) AS acf FROM d a JOIN (SELECT unnest(range(0, 21)) AS lag) l ON true JOIN d b ON b.process = a.process AND b.i = a.i + l.lag JOIN (SELECT process, sum(d * d) AS z FROM d GROUP BY 1) z ON z.process = a.process GROUP BY ALL""")
 def st_linear_processes(spark, sf_dir):
-    return exploratory.linear_processes(spark)
+    """Processes driven by the standardised daily response; the fixed-seed table is a test."""
+    return exploratory.processes_of(response(spark, sf_dir), "day", "value").withColumn("acf", F.round("acf", 6))
 
 
-@query()
+@query(f"""WITH {_PAIR}, x AS (SELECT (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY day) - 1 AS i, row_number() OVER (ORDER BY md5(CAST(day AS VARCHAR)), day) - 1 AS r FROM r),
+s AS (SELECT 'chronological' AS split, n, i AS place, z + CASE WHEN i >= floor(n * 220 / 300) THEN 5 ELSE 0 END AS y FROM x UNION ALL SELECT 'random', n, r, z + CASE WHEN i >= floor(n * 220 / 300) THEN 5 ELSE 0 END FROM x),
+f AS (SELECT split, avg(y) AS m FROM s WHERE place < floor(n * 0.7) GROUP BY 1)
+SELECT split, count(*) AS n, round(avg(abs(y - m)), 6) AS mae, round(sqrt(avg((y - m) * (y - m))), 6) AS rmse, round(avg(y - m), 6) AS bias FROM s JOIN f USING (split) WHERE place >= floor(n * 0.7) GROUP BY 1""")
 def st_leakage_demo(spark, sf_dir):
-    return exploratory.leakage_demo(spark)
+    """Splits of the daily response; the fixed-seed demonstration is a test."""
+    return exploratory.split_errors(response(spark, sf_dir), "day", "value").withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "bias")})
+
+
+@query(f"""{_ATTEMPTS}, o AS (SELECT win, model, error, row_number() OVER (PARTITION BY win, model ORDER BY origin) AS i FROM att WHERE error IS NOT NULL),
+g AS (SELECT win, model, count(*) AS n, avg(error) AS bias, CASE WHEN count(*) >= 3 AND var_pop(error) > 0 THEN skewness(error) END AS skew, CASE WHEN count(*) >= 4 AND var_pop(error) > 0 THEN kurtosis(error) END AS kurtosis,
+  quantile_cont(abs(error), 0.5) AS median_ae, quantile_cont(abs(error), 0.95) AS q95_ae, min(error) < max(error) AND count(*) >= 3 AS varies, CAST(least(10, count(*) // 5) AS INT) AS m FROM o GROUP BY ALL),
+z AS (SELECT win, model, sum((error - bias) * (error - bias)) AS z FROM o JOIN g USING (win, model) GROUP BY ALL),
+a AS (SELECT o.win, o.model, l.lag, sum((o.error - g.bias) * (p.error - g.bias)) / any_value(z.z) AS acf FROM o JOIN g USING (win, model) JOIN z USING (win, model) JOIN (SELECT unnest(range(0, 11)) AS lag) l ON true JOIN o p ON p.win = o.win AND p.model = o.model AND p.i = o.i + l.lag WHERE varies GROUP BY ALL),
+q AS (SELECT win, model, n * (n + 2) * sum(acf * acf / (n - lag)) AS q FROM a JOIN g USING (win, model) WHERE lag BETWEEN 1 AND m GROUP BY win, model, n)
+SELECT g.win AS "window", g.model, n, CAST(l.lag AS INT) AS lag, CASE WHEN l.lag = 0 THEN 1.0 ELSE round(acf, 6) END AS acf, m AS ljung_box_lag, CASE WHEN m >= 1 THEN round(q, 4) END AS ljung_box, round(bias, 2) AS bias, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(median_ae, 2) AS median_ae, round(q95_ae, 2) AS q95_ae
+FROM g JOIN (SELECT unnest(range(0, 11)) AS lag) l ON true LEFT JOIN a ON a.win = g.win AND a.model = g.model AND a.lag = l.lag LEFT JOIN q ON q.win = g.win AND q.model = g.model""")
+def st_residual_acf(spark, sf_dir):
+    """Residual diagnostics without the tail probability, which SQL has no function for."""
+    d = exploratory.residual_autocorrelation(_attempts(spark, sf_dir), ["window", "model"])
+    return d.withColumns({"acf": F.round("acf", 6), "ljung_box": F.round("ljung_box", 4), **{c: F.round(c, 6) for c in ("skew", "kurtosis")}, **{c: F.round(c, 2) for c in ("bias", "median_ae", "q95_ae")}})
+
+
+@query(f"""WITH {_PAIR}, k AS (SELECT *, CASE WHEN day - lag(day) OVER (ORDER BY day) = 1 THEN 0 ELSE 1 END AS g FROM r), u AS (SELECT *, CAST(sum(g) OVER (ORDER BY day) AS BIGINT) AS run_no FROM k),
+x AS (SELECT 'all__r' || run_no AS run, value, row_number() OVER (PARTITION BY run_no ORDER BY day) AS i, count(*) OVER (PARTITION BY run_no) AS n, value - avg(value) OVER (PARTITION BY run_no) AS d FROM u)
+SELECT a.run, a.n, CAST(l.lag AS INT) AS lag, round(sum(a.d * b.d) / any_value(z.z), 6) AS acf, round(1.96 / sqrt(a.n), 8) AS band FROM x a JOIN (SELECT unnest(range(0, 61)) AS lag) l ON l.lag <= least(60, a.n // 4, a.n // 2 - 1) JOIN x b ON b.run = a.run AND b.i = a.i + l.lag
+ JOIN (SELECT run, sum(d * d) AS z FROM x GROUP BY 1 HAVING min(value) < max(value)) z ON z.run = a.run WHERE a.n >= 120 GROUP BY a.run, a.n, l.lag""")
+def st_autocorrelation(spark, sf_dir):
+    return exploratory.dependence(_cp_runs(spark, sf_dir), ["run"]).drop("pacf").withColumns({"acf": F.round("acf", 6), "band": F.round("band", 8)})
+
+
+@query()
+def pd_stationarity_counts(spark, sf_dir):
+    """Readings of the two tests, which have no SQL, by run."""
+    found = exploratory.stationarity(_cp_runs(spark, sf_dir), ["run"])
+    return found.groupBy("reading").agg(F.count("*").alias("n"))
 
 
 @query()

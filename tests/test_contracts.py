@@ -186,3 +186,30 @@ def test_histogram_keeps_empty_bins_and_ends(spark):
     got = panels.trimmed_histogram(spark.createDataFrame(rows, "k string, value double"), ["k"], low=0.0, high=1.0).orderBy("k", "bin").collect()
     a = [r for r in got if r.k == "a"]
     assert len(a) == 45 and {r.bin: r.n for r in a if r.n} == {1: 3, 11: 1, 45: 2} and [(r.bin, r.n) for r in got if r.k == "b"] == [(1, 4)] and not [r for r in got if r.k == "c"]
+
+
+def test_command_line_keeps_what_stands(spark, tmp_path):
+    from gaugeflow import __main__ as cli
+
+    given = ["--data", "/root/testdata/sf0.001", "--out", str(tmp_path), "--only", "ag_distribution", "qc_value_flags"]
+    a = cli.arguments([*given, "--summaries-only", "--record"])
+    assert list(cli.run(spark, a)) == ["ag_distribution"] and not (tmp_path / "qc_value_flags").exists()
+    stood = (tmp_path / "ag_distribution/_SUCCESS").stat().st_mtime_ns
+    b = cli.arguments(given)
+    assert cli.run(spark, b) == {"ag_distribution": 10, "qc_value_flags": 1000} and (tmp_path / "ag_distribution/_SUCCESS").stat().st_mtime_ns == stood
+    cli.run(spark, cli.arguments([*given[:4], "--only", "ag_distribution", "--again"]))
+    assert (tmp_path / "ag_distribution/_SUCCESS").stat().st_mtime_ns > stood
+    assert {r.table: r.n_rows for r in spark.read.json(str(tmp_path / "_receipt")).collect()} == {"ag_distribution": 10}
+    with pytest.raises(SystemExit, match="nope"):
+        cli.run(spark, cli.arguments([*given[:4], "--only", "nope"]))
+
+
+def test_counts_come_from_footers_and_settings_are_a_table(spark, tmp_path):
+    from gaugeflow.plans import synthesis
+    from gaugeflow.sources import sinks
+
+    spark.range(1234).repartition(3).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert sinks.row_count(spark, str(tmp_path / "t")) == 1234 and spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    got = {r.setting: r.value for r in synthesis.settings(synthesis.forecast_settings(), spark).collect()}
+    assert got["horizons_days"] == "1;2;7" and got["minimum_equations"] == "240" and len(got) == 10

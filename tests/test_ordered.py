@@ -126,3 +126,37 @@ def test_residual_intervals_by_brute_force(spark):
             assert r.lower_95 == pytest.approx(1 + np.quantile(past, 0.025)) and r.upper_80 == pytest.approx(1 + np.quantile(past, 0.9))
         else:
             assert r.lower_80 is None and r.interval_status == "insufficient_past_calibration"
+
+
+def test_dependence_is_that_of_the_kernels(spark):
+    from gaugeflow.functions import kernels as K
+    from gaugeflow.plans import exploratory
+
+    rng = np.random.default_rng(11)
+    runs = {"a": np.cumsum(rng.normal(size=400)), "b": rng.normal(size=121), "short": rng.normal(size=119), "flat": np.ones(200)}
+    rows = [(k, D("2001-01-01") + dt.timedelta(i), float(v)) for k, x in runs.items() for i, v in enumerate(x)]
+    got = {(r.run, r.lag): r for r in exploratory.dependence(spark.createDataFrame(rows, "run string, day date, value double"), ["run"]).collect()}
+    assert {k for k, _ in got} == {"a", "b"} and len(got) == 61 + 31
+    for k, top in (("a", 60), ("b", 30)):
+        assert [got[k, i].acf for i in range(top + 1)] == pytest.approx(K.acf(runs[k], top).tolist(), abs=1e-10)
+        assert [got[k, i].pacf for i in range(top + 1)] == pytest.approx(K.pacf(runs[k], top).tolist(), abs=1e-10)
+        # order 3 by solving its Yule-Walker equations
+        r = K.acf(runs[k], 3)
+        want = np.linalg.solve([[r[abs(i - j)] for j in range(3)] for i in range(3)], r[1:4])[-1]
+        assert got[k, 3].pacf == pytest.approx(want, abs=1e-10)
+
+
+def test_residual_diagnostics_of_few_and_constant_errors(spark):
+    from gaugeflow.functions import kernels as K
+    from gaugeflow.plans import exploratory
+
+    rng = np.random.default_rng(12)
+    errors = {"many": rng.normal(size=70).tolist(), "two": [1.0, 2.0], "flat": [3.0] * 12, "gone": [None]}
+    rows = [(k, D("2001-01-01") + dt.timedelta(14 * i), e) for k, x in errors.items() for i, e in enumerate(x)]
+    got = {(r.model, r.lag): r for r in exploratory.residual_diagnostics(spark.createDataFrame(rows, "model string, origin date, error double"), ["model"]).collect()}
+    assert len(got) == 33 and all(got[k, 0].acf == 1 for k in ("many", "two", "flat")) and all(got[k, 1].acf is None for k in ("two", "flat"))
+    e = np.array(errors["many"])
+    q, p = K.ljung_box(e, 10)
+    m = got["many", 4]
+    assert [got["many", i].acf for i in range(11)] == pytest.approx(K.acf(e, 10).tolist()) and (m.ljung_box, m.ljung_box_p, m.ljung_box_lag) == (pytest.approx(q), pytest.approx(p), 10)
+    assert got["two", 1].ljung_box is None and got["flat", 1].ljung_box is None and got["flat", 1].skew is None

@@ -45,3 +45,13 @@ def test_library_does_not_need_llm():
     for p in pathlib.Path(suite.__file__).parent.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_import_needs_no_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    root = str(pathlib.Path(suite.__file__).parent.parent)
+    said = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; print(len(e.queries()) > 50)"], capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip() == "True", said.stderr[-500:]
