@@ -25,8 +25,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from .common import map_batches
 
-#: Words kept with their ids in each Python worker; the memo starts anew beyond it.
-MEMO_WORDS = 200_000
+#: Words kept with their ids in each Python worker during a partition; the memo starts anew beyond it.
+MEMO_WORDS = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -154,13 +154,16 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer or default_path()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [c.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())],
-                    names=[id_col, *keep, "n_tokens", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    ids = [c.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:-1], pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())],
+                        names=[id_col, *keep, "n_tokens", "ids", "decoded"])
+        finally:
+            c.memo.clear()
 
     schema = StructType([df.schema[c] for c in (id_col, *keep)]).add("n_tokens", LongType()).add("ids", BinaryType()).add("decoded", StringType())
     return map_batches(df.select(id_col, *keep, F.col(text_col).cast("string").alias("_text")), run, schema)
