@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +113,8 @@ def _of_table(df: DataFrame, table: str, contracts: list[Contract], claims: list
             rows.append(_row(table, "rule", rule, column, n, none, n == 0))
     for c in claims:
         own = [part(x) for x in c.parts]
-        rows.append(_row(table, "claim", c.claim, c.category, F.lit(None), F.format_string(c.sentence, *own), c.holds(*own)))
+        there = reduce(lambda a, x: a & x.isNotNull(), own, F.lit(True))  # a number that is missing makes no sentence
+        rows.append(_row(table, "claim", c.claim, c.category, F.lit(None), F.when(there, F.format_string(c.sentence, *own)), c.holds(*own)))
     return df.agg(*parts).select(F.inline(F.array(*rows)))
 
 

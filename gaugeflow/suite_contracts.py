@@ -96,26 +96,26 @@ def claims() -> list[Claim]:
 # one text each of the plans' SQL, so that a claim's numbers come from the tables anew
 _CLAIM_SQL = {
     "obs": f"""{_FLAGS} SELECT unnest([
- struct_pack(claim := 'C01', said := format('{{}} members hold {{:,}} source rows.', count(DISTINCT member), count(*))),
- struct_pack(claim := 'C02', said := format('{{:,}} values are numbers, {{:,}} blank, {{:,}} malformed and {{:,}} not finite.', count(value), count(*) FILTER (blank), count(*) FILTER (malformed), count(*) FILTER (bad))),
- struct_pack(claim := 'C03', said := format('{{:,}} rows stand after a gap, {{:,}} are out of order.', count(*) FILTER (gap), count(*) FILTER (d < 0)))]) AS x FROM flagged""",
+ struct_pack(claim := 'C01', ok := count(*) > 0, said := format('{{}} members hold {{:,}} source rows.', count(DISTINCT member), count(*))),
+ struct_pack(claim := 'C02', ok := count(value) > 0 AND count(*) FILTER (blank OR malformed OR bad) > 0, said := format('{{:,}} values are numbers, {{:,}} blank, {{:,}} malformed and {{:,}} not finite.', count(value), count(*) FILTER (blank), count(*) FILTER (malformed), count(*) FILTER (bad))),
+ struct_pack(claim := 'C03', ok := true, said := format('{{:,}} rows stand after a gap, {{:,}} are out of order.', count(*) FILTER (gap), count(*) FILTER (d < 0)))]) AS x FROM flagged""",
     "roll": f"""{_ROLL} SELECT unnest([
- struct_pack(claim := 'C06', said := format('Of {{:,}} attempts {{:,}} are ok, {{:,}} begin at an ineligible origin, {{:,}} lack training and {{:,}} a feature.', count(*), count(*) FILTER (status = 'ok'), count(*) FILTER (status = 'ineligible_core_origin'), count(*) FILTER (status = 'insufficient_training'), count(*) FILTER (status = 'feature_unavailable'))),
- struct_pack(claim := 'C07', said := printf('Later zero change is off by %.1f on average, the expanding median by %.1f.', avg(abs(error)) FILTER (stage = 'evaluation' AND model = 'zero_change'), avg(abs(error)) FILTER (stage = 'evaluation' AND model = 'expanding_median')))]) AS x FROM att""",
-    "decided": f"""{_DECIDED} SELECT struct_pack(claim := 'C08', said := format('{{}} of {{}} decisions retain zero change; evaluation revises none.', count(*) FILTER (retained = 'zero_change'), count(*))) AS x FROM base""",
+ struct_pack(claim := 'C06', ok := count(*) = count(*) FILTER (status IN ('ok', 'ineligible_core_origin', 'insufficient_training', 'feature_unavailable')), said := format('Of {{:,}} attempts {{:,}} are ok, {{:,}} begin at an ineligible origin, {{:,}} lack training and {{:,}} a feature.', count(*), count(*) FILTER (status = 'ok'), count(*) FILTER (status = 'ineligible_core_origin'), count(*) FILTER (status = 'insufficient_training'), count(*) FILTER (status = 'feature_unavailable'))),
+ struct_pack(claim := 'C07', ok := coalesce(avg(abs(error)) FILTER (stage = 'evaluation' AND model = 'zero_change') >= 0 AND avg(abs(error)) FILTER (stage = 'evaluation' AND model = 'expanding_median') >= 0, false), said := printf('Later zero change is off by %.1f on average, the expanding median by %.1f.', avg(abs(error)) FILTER (stage = 'evaluation' AND model = 'zero_change'), avg(abs(error)) FILTER (stage = 'evaluation' AND model = 'expanding_median')))]) AS x FROM att""",
+    "decided": f"""{_DECIDED} SELECT struct_pack(claim := 'C08', ok := true, said := format('{{}} of {{}} decisions retain zero change; evaluation revises none.', count(*) FILTER (retained = 'zero_change'), count(*))) AS x FROM base""",
     "cand": f"""{_IN_CONTEXT} SELECT unnest([
- struct_pack(claim := 'C09', said := format('{{}} candidates are stable over methods, {{}} within one, {{}} unstable.', count(*) FILTER (stability = 'method_stable'), count(*) FILTER (stability = 'within_method_only'), count(*) FILTER (stability = 'unstable'))),
- struct_pack(claim := 'C10', said := format('{{}} candidates stand near metadata, {{}} near an event, {{}} near neither.', count(*) FILTER (classification = 'metadata_aligned'), count(*) FILTER (classification = 'event_aligned'), count(*) FILTER (classification = 'unexplained')))]) AS x FROM cand""",
+ struct_pack(claim := 'C09', ok := count(*) > 0, said := format('{{}} candidates are stable over methods, {{}} within one, {{}} unstable.', count(*) FILTER (stability = 'method_stable'), count(*) FILTER (stability = 'within_method_only'), count(*) FILTER (stability = 'unstable'))),
+ struct_pack(claim := 'C10', ok := count(*) > 0, said := format('{{}} candidates stand near metadata, {{}} near an event, {{}} near neither.', count(*) FILTER (classification = 'metadata_aligned'), count(*) FILTER (classification = 'event_aligned'), count(*) FILTER (classification = 'unexplained')))]) AS x FROM cand""",
     "lags": f"""{_LAGS}, top AS (SELECT DISTINCT ON (id) * FROM curve WHERE corr IS NOT NULL ORDER BY id, abs(corr) DESC, lag) SELECT unnest([
- struct_pack(claim := 'C11', said := format('{{}} of {{}} lag configurations have a correlation; the largest in absolute value is at {{}} days.', (SELECT count(*) FROM top), (SELECT count(*) FROM cfg), (SELECT arg_max(lag, [abs(corr), -lag]) FROM top))),
- struct_pack(claim := 'C12', said := format('{{}} configurations have no series.', (SELECT count(*) FROM cfg WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.id = cfg.id) AND (NOT EXISTS (SELECT 1 FROM x WHERE x.id = cfg.id) OR NOT EXISTS (SELECT 1 FROM y WHERE y.id = cfg.id)))))]) AS x""",
+ struct_pack(claim := 'C11', ok := (SELECT count(*) FROM top) > 0, said := format('{{}} of {{}} lag configurations have a correlation; the largest in absolute value is at {{}} days.', (SELECT count(*) FROM top), (SELECT count(*) FROM cfg), (SELECT arg_max(lag, [abs(corr), -lag]) FROM top))),
+ struct_pack(claim := 'C12', ok := true, said := format('{{}} configurations have no series.', (SELECT count(*) FROM cfg WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.id = cfg.id) AND (NOT EXISTS (SELECT 1 FROM x WHERE x.id = cfg.id) OR NOT EXISTS (SELECT 1 FROM y WHERE y.id = cfg.id)))))]) AS x""",
     "plain": f"""WITH d AS (SELECT o_orderpriority AS sensor, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL)
- SELECT struct_pack(claim := 'C04', said := format('{{}} sensors have levels on {{:,}} days.', count(DISTINCT sensor), count(DISTINCT day))) AS x FROM d
- UNION ALL SELECT struct_pack(claim := 'C05', said := printf('The largest level is %.2f, on %s.', max(value), strftime(arg_max(day, (value, day)), '%Y-%m-%d'))) FROM d
- UNION ALL SELECT struct_pack(claim := 'C13', said := format('{{:,}} of {{:,}} pages have a heading.', count(*) FILTER (regexp_matches(html, '{_HEAD}')), count(*))) FROM pages"""}
+ SELECT struct_pack(claim := 'C04', ok := count(DISTINCT sensor) = 5, said := format('{{}} sensors have levels on {{:,}} days.', count(DISTINCT sensor), count(DISTINCT day))) AS x FROM d
+ UNION ALL SELECT struct_pack(claim := 'C05', ok := max(value) > 0, said := printf('The largest level is %.2f, on %s.', max(value), strftime(arg_max(day, (value, day)), '%Y-%m-%d'))) FROM d
+ UNION ALL SELECT struct_pack(claim := 'C13', ok := true, said := format('{{:,}} of {{:,}} pages have a heading.', count(*) FILTER (regexp_matches(html, '{_HEAD}')), count(*))) FROM pages"""}
 
 
-@query("SELECT x.claim AS claim, x.said AS statement, true AS holds FROM (" + " UNION ALL ".join(f"SELECT x FROM ({q})" for q in _CLAIM_SQL.values()) + ")")
+@query("SELECT x.claim AS claim, x.said AS statement, x.ok AS holds FROM (" + " UNION ALL ".join(f"SELECT x FROM ({q})" for q in _CLAIM_SQL.values()) + ")")
 def sy_claim_matrix(spark, sf_dir):
     """Thirteen claims over seven tables, each table read once."""
     attempts, _ = _rolling(spark, sf_dir)
