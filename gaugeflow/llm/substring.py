@@ -390,6 +390,15 @@ def _fewest(tokens: np.ndarray, c: int, least: int) -> int:
     return int((total[s, np.minimum(s + least, len(near))] - total[s, s]).min())
 
 
+def _again(tokens: np.ndarray, within: int) -> np.ndarray:
+    """How many of the tokens before each place stand less than `within` after an equal one."""
+    order = np.argsort(tokens, kind="stable")
+    same = (tokens[order[1:]] == tokens[order[:-1]]) & (np.diff(order) < within)
+    flag = np.zeros(len(tokens) + 1, np.int64)
+    flag[order[1:][same] + 1] = 1
+    return np.cumsum(flag)
+
+
 def _neighbours(holders: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """holders(key, id, c) as (key, id, need, near): the distinct tokens (32 bits each) less than `least` from the signature's places, and how many a passage there has at least."""
 
@@ -400,9 +409,15 @@ def _neighbours(holders: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 keys, ids, need, near = [], [], [], []
                 for doc, own, words in zip(batch.column("id").to_pylist(), batch.column("own").to_pylist(), word_hashes(batch.column("text").to_pylist())):
                     tokens = (shingled(words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+                    again = _again(tokens, 2 * least)
                     for s in own:
                         keys.append(s["key"])
                         ids.append(doc)
+                        lo, hi = max(s["c"][0] - least + 1, 0), min(s["c"][0] + least, len(tokens))
+                        if len(s["c"]) == 1 and again[hi] == again[lo]:  # nothing repeats there
+                            need.append(min(least, hi - lo))
+                            near.append(np.sort(tokens[lo:hi]).tobytes())
+                            continue
                         need.append(min(_fewest(tokens, c, least) for c in s["c"]))
                         near.append(np.unique(np.concatenate([tokens[max(c - least + 1, 0) : c + least] for c in s["c"]])).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(need, pa.int32()), pa.array(near, pa.binary())], names=["key", "id", "need", "near"])

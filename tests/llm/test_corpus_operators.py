@@ -513,3 +513,7 @@ def test_fewest_distinct_tokens():
         if len(t) >= least:
             want = min(len(set(t[s : s + least].tolist())) for s in range(max(0, c - least + 1), min(c, len(t) - least) + 1))
             assert substring._fewest(t, c, least) == want
+            # where nothing repeats near the place, the short way gives the same
+            again, lo, hi = substring._again(t, 2 * least), max(c - least + 1, 0), min(c + least, len(t))
+            if again[hi] == again[lo]:
+                assert want == min(least, hi - lo) and len(set(t[lo:hi].tolist())) == hi - lo
