@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -97,8 +99,11 @@ def scan(text: str | None, allowed: frozenset[str] = frozenset()) -> list[tuple[
     if "AKIA" in text:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    for a, b in entropy_windows(text, allowed):
-        if not any(x <= a and b <= y for _, x, y in out):
+    named = sorted((a, b) for _, a, b in out)
+    far = list(accumulate((b for _, b in named), max))  # the furthest end of the spans that begin no later
+    for a, b in entropy_windows(text, allowed):  # disjoint
+        k = bisect_right(named, a, key=lambda s: s[0])
+        if not k or far[k - 1] < b:
             out.append(("entropy", a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

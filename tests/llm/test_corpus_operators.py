@@ -517,3 +517,15 @@ def test_fewest_distinct_tokens():
             again, lo, hi = substring._again(t, 2 * least), max(c - least + 1, 0), min(c + least, len(t))
             if again[hi] == again[lo]:
                 assert want == min(least, hi - lo) and len(set(t[lo:hi].tolist())) == hi - lo
+
+
+def test_slots_are_the_plain_order(spark):
+    """Shards are stretches of one order by text's CRC-32 and hashed id, and slots count along it."""
+    rows = queries.op3_sharding(spark, SF1).withColumn("d", F.shiftrightunsigned(F.xxhash64("doc_id"), 12)).collect()
+    plain = sorted(rows, key=lambda r: (r.text_crc32, r.d, r.doc_id))
+    assert [r.shard for r in plain] == sorted(r.shard for r in rows)
+    seen = Counter()
+    for r in plain:
+        assert r.slot == seen[r.shard]
+        seen[r.shard] += 1
+

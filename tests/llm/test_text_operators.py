@@ -293,3 +293,56 @@ def test_pages_odd_tables(spark):
     rows = [(None, None, None, "x"), (1, "u", "", "x"), (1, "u", PAGE, "x"), (1, "u", PAGE, "x")]
     out = html_main.extract_main(spark.createDataFrame(rows, schema)).collect()
     assert sorted(len(r.text) for r in out) == [0, 0, 60, 60] and {tuple(r.asDict()) for r in out} == {("page_id", "url", "text")}
+
+
+def _recounted(text):
+    """Entropy spans by counting every window anew."""
+    from collections import Counter
+    from math import log2
+
+    hot = set()
+    for m in secrets._CANDIDATE.finditer(text):
+        if any(f.fullmatch(m[0]) for f in secrets.ALLOWED_FORMS):
+            continue
+        for chars, width, least, digits in secrets.CLASSES.values():
+            for k in range(len(m[0]) - width + 1):
+                w = m[0][k : k + width]
+                n = Counter(w)
+                if set(w) <= chars and digits <= sum(c.isdigit() for c in w) < width and -sum(c / width * log2(c / width) for c in n.values()) >= least + 1e-12:
+                    hot |= set(range(m.start() + k, m.start() + k + width))
+    return hot
+
+
+def test_entropy_windows_are_those_counted_anew():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    for _ in range(120):
+        text = " ".join("".join(rng.choice(rng.choice((letters, letters[:6], "0123456789abcdef", "abc1"))) for _ in range(rng.randint(5, 70))) for _ in range(rng.randint(1, 8)))
+        got = {i for a, b in secrets.entropy_windows(text) for i in range(a, b)}
+        assert got == _recounted(text)
+        base = [s for s in secrets.scan(text) if s[0] != "entropy"]
+        assert [s[1:] for s in secrets.scan(text) if s[0] == "entropy"] == [(a, b) for a, b in secrets.entropy_windows(text) if not any(x <= a and b <= y for _, x, y in base)]
+
+
+def test_a_dump_of_keys_takes_time_in_proportion():
+    import time
+
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    def took(n):
+        text = " ".join("".join(rng.choice(letters) for _ in range(28)) + " " + "".join(rng.choice("0123456789abcdef") for _ in range(26)) for _ in range(n))
+        at = time.process_time()
+        found = secrets.scan(text)
+        assert sum(k == "hex" for k, _, _ in found) == n
+        return time.process_time() - at
+
+    took(500)
+    assert took(8000) < 12 * took(1000) + 0.5
+
+
+def test_odd_rows_of_secret_scans(spark):
+    df = spark.createDataFrame([(1, None, "x"), (None, "token=abcdef123", "y"), (2, "A1b2" * 50_000, "z")], "doc_id bigint, text string, spans string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(df).collect()}
+    assert got[1] == [] and got[None] == [("assign", 0, 15)] and set(got) == {1, None, 2}
+    assert secrets.find_secrets(df.limit(0)).count() == 0
+
