@@ -311,7 +311,7 @@ def _filter(y: np.ndarray, mean: float, ar: np.ndarray, ma: np.ndarray) -> tuple
     h[1 : 1 + len(ma)] = ma
     q = np.outer(h, h)
     p = np.linalg.solve(np.eye(r * r) - np.kron(t, t), q.ravel()).reshape(r, r) if r <= 3 else _lyapunov(t, q)
-    a, logs, sse, n, steady = np.zeros(r), 0.0, 0.0, 0, False
+    a, logs, sse, n = np.zeros(r), 0.0, 0.0, 0
     for v in y:
         if v == v:
             f = p[0, 0]
@@ -321,16 +321,51 @@ def _filter(y: np.ndarray, mean: float, ar: np.ndarray, ma: np.ndarray) -> tuple
             n += 1
             k = p[:, 0] / f
             a = a + k * e
-            if not steady:
-                p = p - np.outer(k, p[0])
-        elif steady:
-            steady = False
+            p = p - np.outer(k, p[0])
         a = t @ a
         p = t @ p @ t.T + q
     var = max(sse / max(n, 1), 1e-300)
     return -0.5 * (n * math.log(2 * math.pi * var) + logs + n), var, n, a, p
 
 
+def _losses(y: np.ndarray, seen: np.ndarray, spec: tuple[int, int, int, int], xs: np.ndarray) -> np.ndarray:
+    """Minus the mean log-likelihood at several parameter vectors at once, as _filter has it. While observations follow each other the covariance
+    settles, and is then left alone until the next gap."""
+    polynomials = [_polynomials(spec, x[1:]) for x in xs]
+    size = max(max(len(ar), len(ma) + 1, 1) for ar, ma in polynomials)
+    b = len(xs)
+    ar, h, p, t = np.zeros((b, size)), np.zeros((b, size)), np.zeros((b, size, size)), np.zeros((b, size, size))
+    for i, (phi, theta) in enumerate(polynomials):
+        ar[i, : len(phi)], h[i, 0], h[i, 1 : 1 + len(theta)] = phi, 1.0, theta
+        t[i, :, 0] = ar[i]
+        t[i, :-1, 1:] += np.eye(size - 1)
+        q = np.outer(h[i], h[i])
+        p[i] = np.linalg.solve(np.eye(size * size) - np.kron(t[i], t[i]), q.ravel()).reshape(size, size) if size <= 3 else _lyapunov(t[i], q)
+    q, tt = h[:, :, None] * h[:, None, :], np.swapaxes(t, 1, 2)
+    a, logs, sse, n, steady = np.zeros((b, size)), np.zeros(b), np.zeros(b), 0, False
+    f = logf = k = np.zeros(b)
+    for v, there in zip((y[:, None] - xs[:, 0]), seen):
+        if there:
+            n += 1
+            if not steady:
+                f = p[:, 0, 0].copy()
+                logf, k = np.log(f), p[:, :, 0] / f[:, None]
+            e = v - a[:, 0]
+            logs += logf
+            sse += e * e / f
+            a = a + k * e[:, None]
+        out = ar * a[:, :1]
+        out[:, :-1] += a[:, 1:]
+        a = out
+        if there and steady:
+            continue
+        new = t @ (p - k[:, :, None] * p[:, :1, :] if there else p) @ tt + q
+        steady = there and bool(np.abs(new - p).max() < 1e-13 * np.abs(new).max())
+        p = new
+    var = np.maximum(sse / max(n, 1), 1e-300)
+    return 0.5 * (n * np.log(2 * math.pi * var) + logs + n) / n
+
+
 def _lyapunov(t: np.ndarray, q: np.ndarray) -> np.ndarray:
     p, m = q.copy(), t.copy()
     for _ in range(60):
@@ -351,16 +386,15 @@ def arima_forecast(y: np.ndarray, spec: tuple[int, int, int, int], steps: int =
     scale, centre = float(np.std(seen)), float(np.mean(seen))
     z, k = (y - centre) / scale, spec[0] + spec[1] + spec[2]
 
+    there = np.isfinite(z)
+
     def loss(x: np.ndarray) -> float:
-        return -_filter(z, x[0], *_polynomials(spec, x[1:]))[0] / len(seen)
+        return float(_losses(z, there, spec, x[None, :])[0])
 
     def slope(x: np.ndarray) -> np.ndarray:
-        g = np.empty(len(x))
-        for i in range(len(x)):
-            e = np.zeros(len(x))
-            e[i] = 1e-5
-            g[i] = (loss(x + e) - loss(x - e)) / 2e-5
-        return g
+        e = np.eye(len(x)) * 1e-5
+        both = _losses(z, there, spec, np.concatenate([x + e, x - e]))
+        return (both[: len(x)] - both[len(x) :]) / 2e-5
 
     x, inverse, converged = np.concatenate([[0.0], np.full(k, 0.1)]), np.eye(k + 1), False
     fx, g = loss(x), slope(x)

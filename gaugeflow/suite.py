@@ -744,12 +744,12 @@ def st_dependence(spark, sf_dir):
 
 @query()
 def st_decomposition(spark, sf_dir):
-    return exploratory.decomposition(_cp_runs(spark, sf_dir), ["run"], (30,))
+    return exploratory.decomposition(_cp_runs(spark, sf_dir), ["run"])
 
 
 @query()
 def st_bootstrap_intervals(spark, sf_dir):
-    return lags.bootstrap_intervals(lags.lag_pairs(predictor(spark, sf_dir), response(spark, sf_dir), 3), ["lag"])
+    return lags.bootstrap_intervals(lags.lag_pairs(predictor(spark, sf_dir), response(spark, sf_dir), 30), ["lag"])
 
 
 @query()
@@ -812,11 +812,16 @@ def fc_comparison_uncertainty(spark, sf_dir):
 
 @query()
 def fc_arima_attempts(spark, sf_dir):
-    """All orders at every scheduled origin of the external window, in the one rolling run. A fit is a task of some seconds."""
-    grid, windows = _staged(spark, sf_dir)
-    one = windows.where("`window` = 'x1'")
-    a, _ = rolling.rolling_forecasts(grid.join(one.select("window"), "window", "left_semi"), one, forecast.ARIMA)
-    return a.where("family = 'ARIMA'").select("window", "origin", "stage", "horizon", "model", "status", "converged", F.round("prediction", 0).alias("prediction"), F.round("lower_80", 0).alias("lower_80"), F.round("upper_80", 0).alias("upper_80"))
+    """All orders at every scheduled origin of all windows, in the one rolling run; a fit has no SQL, tests hold its likelihood and forecasts."""
+    a, _ = _rolling(spark, sf_dir, forecast.ARIMA)
+    return a.where("family = 'ARIMA'").select("window", "origin", "stage", "horizon", "model", "status", "converged", *[F.round(c, 2).alias(c) for c in ("prediction", "lower_80", "upper_80")])
+
+
+@query()
+def fc_selection_all(spark, sf_dir):
+    """Decisions among all ten models; fc_selection has the SQL of the rule for those without a likelihood."""
+    d = rolling.selection_decisions(_rolling(spark, sf_dir, forecast.ARIMA)[0])
+    return d.withColumns({c: F.round(c, 2) for c in ("selection_mae", "evaluation_mae", "evaluation_best_mae", "external_mae")})
 
 
 @query(f"""{_DECIDED}, m AS (SELECT win, horizon, model, avg(abs(error)) AS mae, count(*) FILTER (status = 'ok') AS n FROM att WHERE stage = 'evaluation' GROUP BY ALL)

@@ -160,3 +160,15 @@ def test_residual_diagnostics_of_few_and_constant_errors(spark):
     m = got["many", 4]
     assert [got["many", i].acf for i in range(11)] == pytest.approx(K.acf(e, 10).tolist()) and (m.ljung_box, m.ljung_box_p, m.ljung_box_lag) == (pytest.approx(q), pytest.approx(p), 10)
     assert got["two", 1].ljung_box is None and got["flat", 1].ljung_box is None and got["flat", 1].skew is None
+
+
+def test_losses_at_once_are_those_of_the_filter():
+    from gaugeflow.functions import kernels as K
+
+    rng = np.random.default_rng(13)
+    for spec in ((0, 0, 0, 7), (1, 0, 0, 7), (2, 0, 0, 7), (1, 1, 0, 7), (1, 0, 1, 7)):
+        y = rng.normal(size=160)
+        y[rng.choice(160, 30, replace=False)] = np.nan
+        xs = rng.normal(size=(5, 1 + spec[0] + spec[1] + spec[2])) * 0.5
+        want = [-K._filter(y, x[0], *K._polynomials(spec, x[1:]))[0] / 130 for x in xs]
+        assert K._losses(y, np.isfinite(y), spec, xs).tolist() == pytest.approx(want, abs=1e-10)
