@@ -11,7 +11,8 @@ joint signature ties its documents to one of them, and tokens verify each tie: a
 shared tokens, matches are followed over short gaps, and the two stretches must reach the similarity. A document
 is held against its likeliest partner first; ties that lie in verified stretches of both documents, in one component, need
 no other. Then the other holders of a
-signature are split in classes by what surrounds it in each, and get a new leader, unless verified stretches cover them all in one component; after LEADS leaders, all pairs left are verified.
+signature are split in classes by what surrounds it in each, where one document stands for all with the same surroundings, and get a new leader, then four, sixteen and so on,
+until verified stretches cover all of a class in one component or each of its members has led.
 
 A passage that repeats exactly agrees in all functions; one at similarity 0.8 agrees in two of four with probability 0.97.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,6 @@ HELD = 4 << 20
 BAND = 64
 #: Turns of verification: in all but the last, each document meets the partner with which it shares most.
 TURNS = 3
-#: Leaders that a signature's holders are held against in turn, before the pairs left are verified all at once.
-LEADS = 3
 
 
 def tokens_of(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -114,11 +114,11 @@ def _windows_of(held: list[tuple[int, np.ndarray]], least: int) -> pa.RecordBatc
     order = np.argsort(text, kind="stable")
     ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=len(held)))), pa.int32())
     lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x)[order])) for x in (keys, places)]
-    return pa.RecordBatch.from_arrays([pa.array([doc for doc, _ in held], pa.int64()), *lists], names=["id", "keys", "places"])
+    return pa.RecordBatch.from_arrays([pa.array([doc for doc, _ in held], pa.int64()), pa.array([len(t) for _, t in held], pa.int64()), *lists], names=["id", "n", "keys", "places"])
 
 
 def signatures(df: DataFrame, least: int) -> DataFrame:
-    """(id, keys, places): every compact window of every text(id, text), as its signature and packed (c, c - l, r - c)."""
+    """(id, n, keys, places): the tokens of every text(id, text) that has `least`, and its compact windows, each as its signature and packed (c, c - l, r - c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +137,7 @@ def signatures(df: DataFrame, least: int) -> DataFrame:
             if held:
                 yield _windows_of(held, least)
 
-    return map_batches(df, run, "id bigint, keys array<bigint>, places array<bigint>")
+    return map_batches(df, run, "id bigint, n bigint, keys array<bigint>, places array<bigint>")
 
 
 def _joint(hits: DataFrame, least: int) -> DataFrame:
@@ -400,46 +400,89 @@ def _again(tokens: np.ndarray, within: int) -> np.ndarray:
 
 
 def _neighbours(holders: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """holders(key, id, c) as (key, id, need, near): the distinct tokens (32 bits each) less than `least` from the signature's places, and how many a passage there has at least."""
+    """holders(key, id, c) as (key, id, need, at, near, digest): the tokens (32 bits each) less than `least` from the signature's places, how many distinct ones a passage there
+    has at least, and a digest of these tokens in the order of the text. Where none repeats they stand in that order, the signature at `at`; else sorted and once, and `at` is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                keys, ids, need, near = [], [], [], []
+                keys, ids, need, place, near, digests = [], [], [], [], [], []
                 for doc, own, words in zip(batch.column("id").to_pylist(), batch.column("own").to_pylist(), word_hashes(batch.column("text").to_pylist())):
                     tokens = (shingled(words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
                     again = _again(tokens, 2 * least)
+                    known: dict[bytes, int] = {}  # a passage that repeats itself has the same surroundings over and over
                     for s in own:
                         keys.append(s["key"])
                         ids.append(doc)
                         lo, hi = max(s["c"][0] - least + 1, 0), min(s["c"][0] + least, len(tokens))
+                        around = tokens[lo:hi] if len(s["c"]) == 1 else np.concatenate([tokens[max(c - least + 1, 0) : c + least] for c in s["c"]])
+                        digests.append(blake2b(around.tobytes(), digest_size=16).digest())
                         if len(s["c"]) == 1 and again[hi] == again[lo]:  # nothing repeats there
                             need.append(min(least, hi - lo))
-                            near.append(np.sort(tokens[lo:hi]).tobytes())
+                            place.append(s["c"][0] - lo)
+                            near.append(around.tobytes())
                             continue
-                        need.append(min(_fewest(tokens, c, least) for c in s["c"]))
-                        near.append(np.unique(np.concatenate([tokens[max(c - least + 1, 0) : c + least] for c in s["c"]])).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(need, pa.int32()), pa.array(near, pa.binary())], names=["key", "id", "need", "near"])
+                        for c in s["c"]:
+                            if (stretch := tokens[max(c - least + 1, 0) : c + least].tobytes()) not in known:
+                                known[stretch] = _fewest(tokens, c, least)
+                        need.append(min(known[tokens[max(c - least + 1, 0) : c + least].tobytes()] for c in s["c"]))
+                        place.append(-1)
+                        near.append(np.unique(around).tobytes())
+                columns = zip((keys, ids, need, place, near, digests), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(*x) for x in columns], names=["key", "id", "need", "at", "near", "digest"])
 
     own = holders.groupBy("id").agg(F.collect_list(F.struct("key", "c")).alias("own"))
-    return map_batches(texts.join(own, "id").select("id", "own", "text"), run, "key bigint, id bigint, need int, near binary")
-
-
-def _refined(holders: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """The holders of each signature split in classes, keyed anew: two holders come together if what surrounds the signature in both has as many distinct tokens in common as
-    a similar passage of `least` tokens around it must, which may be few where it repeats itself. So a line that many documents share ties none of them whose surroundings differ. Holders that are alone go."""
-    near = written(_neighbours(holders, texts, least), "near")
+    return map_batches(texts.join(own, "id").select("id", "own", "text"), run, "key bigint, id bigint, need int, at int, near binary, digest binary")
+
+
+def _alike(near: list[np.ndarray], at: np.ndarray, need: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Which holders of one signature may hold a similar passage around it: their tokens have enough in common, and so has, of one of the two, a stretch of `least` tokens around the signature
+    with all tokens of the other. Where tokens repeat (`at` is -1) the first alone decides."""
+    sets = [np.sort(x) for x in near]
+    enough = similarity * need - 1e-9
+    common = _intersections(sets) >= np.maximum.outer(enough, enough)
+    np.fill_diagonal(common, False)
+    words, held = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), len(words)), bool)
+    has[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), held] = True
+    out = np.zeros_like(common)
+    for i, tokens in enumerate(near):
+        js = np.flatnonzero(common[i])
+        if at[i] < 0:
+            out[i, js] = True
+        elif len(js):
+            hit = has[np.ix_(js, np.searchsorted(words, tokens))]
+            total = np.concatenate([np.zeros((len(js), 1), np.int64), np.cumsum(hit, 1)], 1)
+            wide = min(least, len(tokens))
+            s = np.arange(max(at[i] - wide + 1, 0), min(at[i], len(tokens) - wide) + 1)
+            out[i, js] = (total[:, s + wide] - total[:, s]).max(1) >= enough[i]
+    return out | out.T
+
+
+def _twins(near: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, a, ca, b, cb): holders in whose documents the same tokens surround the signature, each with the smallest of them, where verified stretches do not cover both in one component."""
+    heads = near.groupBy("key", "digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = near.select("key", F.col("id").alias("a"), "digest").join(heads, ["key", "digest"]).where("a <> b").select("key", "a", "b")
+    side = lambda x: placed.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}"), F.col("covered").alias(f"covered_{x}"), F.col("component").alias(f"component_{x}"))
+    return pairs.join(side("a"), ["key", "a"]).join(side("b"), ["key", "b"]).where("not (covered_a and covered_b and component_a = component_b)").select("key", "a", "ca", "b", "cb")
+
+
+def _refined(holders: DataFrame, near: DataFrame, least: int, similarity: float) -> DataFrame:
+    """The holders of each signature split in classes, keyed anew: two holders come together if what surrounds the signature in both may hold a similar passage of
+    `least` tokens (see _alike). So a line that many documents share ties none of them whose surroundings differ. Holders that are alone go.
+    Of holders with the same surroundings one, the smallest, stands for all (see _twins)."""
+    heads = near.groupBy("key", "digest").agg(F.min("id").alias("id"))
+    near = written(near.join(heads.drop("digest"), ["key", "id"], "left_semi"), "heads")
     sized = near.withColumn("component", F.col("id")).withColumn("n", F.octet_length("near").cast("bigint") / 4)
     chunks = written(_chunked(sized.groupBy("key"), "key"), "chunks")
-    rows = _dealt(sized.join(chunks, "key").select("key", "id", "need", "near", "chunks"), "key")
+    rows = _dealt(sized.join(chunks, "key").select("key", "id", "need", "at", "near", "chunks"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
-            common = _intersections([np.frombuffer(x, np.uint32) for x in group.column("near").to_pylist()])
-            need = group.column("need").to_numpy()
-            i, j = np.nonzero(np.triu(common >= similarity * np.maximum.outer(need, need) - 1e-9, 1))
-            root = np.arange(len(common))
+            near = [np.frombuffer(x, np.uint32) for x in group.column("near").to_pylist()]
+            i, j = np.nonzero(np.triu(_alike(near, group.column("at").to_numpy(), group.column("need").to_numpy(), least, similarity), 1))
+            root = np.arange(len(near))
             while len(i):
                 low = np.minimum(root[i], root[j])
                 new = root.copy()
@@ -453,7 +496,7 @@ def _refined(holders: DataFrame, texts: DataFrame, least: int, similarity: float
             ids = group.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([group.column("key").take(pa.array(some)), pa.array(ids[some]), pa.array(ids[root[some]])], names=["key", "a", "b"])
 
-    ties = written(map_batches(rows.select("g", "key", "id", "need", "near"), run, "key bigint, a bigint, b bigint").where("a <> b").distinct(), "ties")
+    ties = written(map_batches(rows.select("g", "key", "id", "need", "at", "near"), run, "key bigint, a bigint, b bigint").where("a <> b").distinct(), "ties")
     node = lambda x: F.xxhash64("key", x)
     classes = written(components(ties.select(node("a").alias("a"), node("b").alias("b"))), "classes")
     out = written(holders.withColumn("node", node("id")).join(classes, "node").select(F.col("component").alias("key"), "id", "c"), "holders")
@@ -476,6 +519,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     multi = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "signatures")
     pairs = windows.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
     hits = written(pairs.join(multi, "key"), "hits")
+    twins = heads.where("copies > 1").select(F.col("head").alias("id"))
+    whole = written(windows.select("id", "n").join(twins, "id", "left_semi").select(F.col("id").alias("head"), F.lit(0).alias("s"), (F.col("n") + SHINGLE - 1).cast("int").alias("e"), F.lit(1.0).alias("score")), "whole")
     dropped(windows)
     dropped(multi)
     open_ = written(_joint(hits, least), "joint")
@@ -510,31 +555,34 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # pairs of holders in different components, or not both covered, that have not met over this signature
     rest = _still_open(holders, _state(_all(found)))
     dropped(holders)
-    holders = _refined(rest.select("key", "id", "c"), reps, least, similarity)
+    near = written(_neighbours(rest.select("key", "id", "c"), reps, least), "near")
+    by_pair = written(_twins(near, rest).groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")), "pairs")
+    found.append(written(_verified(by_pair, reps, least, similarity), "passages"))
+    dropped(by_pair)
+    holders = _refined(rest.select("key", "id", "c"), near, least, similarity)
+    dropped(near)
     dropped(rest)
-    for lead_no in range(1, LEADS + 1):
+    leads = 1
+    while True:
         rest = _still_open(holders, _state(_all(found)))
         dropped(holders)
         if rest.isEmpty():
             break
         side = lambda x: [F.col("id").alias(x), F.col("c").alias(f"c{x}"), F.col("covered").alias(f"covered_{x}"), F.col("component").alias(f"component_{x}")]
-        if lead_no < LEADS:  # an uncovered leader first
-            head = rest.groupBy("key").agg(F.min(F.struct("covered", "id", "c", "component")).alias("x")).select("key", "x.*")
-            ties = rest.select("key", *side("a")).join(written(head.select("key", *side("b")), "lead"), "key").where("a <> b")
-        else:
-            ties = rest.select("key", *side("a")).join(rest.select("key", *side("b")), "key").where("a > b")
-        unsettled = ties.where("not (covered_a and covered_b and component_a = component_b)")
-        by_pair = written(unsettled.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")), "pairs")
+        part = F.pmod(F.xxhash64("id", F.lit(leads)), F.lit(leads))  # an uncovered leader first
+        head = written(rest.groupBy("key", part.alias("part")).agg(F.min(F.struct("covered", "id", "c", "component")).alias("x")).select("key", "x.*"), "lead")
+        ties = rest.select("key", *side("a")).join(head.select("key", *side("b")), "key").where("a <> b")
+        unsettled = ties.where("not (covered_a and covered_b and component_a = component_b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
+            F.when(F.col("a") > F.col("b"), F.struct("ca", "cb")).otherwise(F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).alias("anchor"))
+        by_pair = written(unsettled.groupBy("a", "b").agg(F.collect_set("anchor").alias("anchors")), "pairs")
         found.append(written(_verified(by_pair, reps, least, similarity), "passages"))
-        if lead_no < LEADS:
-            holders = written(ties.select("key", F.col("a").alias("id"), F.col("ca").alias("c")), "holders")
-        dropped(rest)
+        holders = written(rest.join(head.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "c"), "holders")
+        for old in (by_pair, head, rest):
+            dropped(old)
+        leads *= 4
         released(df.sparkSession)
     every = _all(found)
     ends = _sides(every).select("head", F.col("s").alias("s"), (F.col("e") + SHINGLE).alias("e"), "score")
-    words = F.size(F.filter(F.split(F.translate(F.col("text").cast("string"), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
-    twins = heads.where("copies > 1")
-    whole = written(reps.join(twins.select(F.col("head").alias("id")), "id", "left_semi").select(F.col("id").alias("head"), F.lit(0).alias("s"), words.alias("e"), F.lit(1.0).alias("score")).where(F.col("e") >= min_words), "whole")
     spans = ends.unionByName(whole).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("s", "e", "score"))).alias("spans"))
     component = written(components(every.select("a", "b")).withColumnRenamed("node", "head"), "component")
     passages = written(spans.select("head", F.explode(_merged("spans")).alias("p")).select("head", "p.*").join(component, "head", "left"), "merged")

@@ -519,6 +519,39 @@ def test_fewest_distinct_tokens():
                 assert want == min(least, hi - lo) and len(set(t[lo:hi].tolist())) == hi - lo
 
 
+def test_surroundings_that_may_hold_a_passage():
+    """Every stretch of `least` tokens around a signature is held against all tokens of the other, one by one."""
+    rng, least = np.random.default_rng(5), 20
+    base = rng.permutation(1000)[:39].astype(np.uint32)
+    near, at = [base], [19]
+    for k in range(40):
+        other = base.copy()
+        some = rng.choice(39, int(rng.integers(0, 30)), replace=False) if k % 2 else np.arange(int(rng.integers(0, 19)))
+        other[some] = 2000 + 50 * k + np.arange(len(some))
+        near.append(other)
+        at.append(19)
+    near.append(np.sort(base[:25]))  # tokens that repeat: only what is in common counts
+    at.append(-1)
+    got = substring._alike(near, np.array(at), np.full(len(near), least), least, 0.8)
+    for i in range(len(near)):
+        for j in range(len(near)):
+            dense = lambda x, y: at[x] < 0 or max(np.isin(near[x][s : s + least], near[y]).sum() for s in range(20)) >= 16
+            want = i != j and len(np.intersect1d(near[i], near[j])) >= 16 and (dense(i, j) or dense(j, i))
+            assert got[i, j] == want, (i, j)
+    assert got.any() and not got.all()
+
+
+def test_equal_surroundings_stand_for_one_another(spark):
+    """Of holders with the same surroundings the smallest meets the rest, and each is tied to it; one passage in many texts leaves none out."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = word(120)
+    rows = [(k, " ".join(word(30 + k) + passage + word(30))) for k in range(1, 40)] + [(100 + k, " ".join(word(150))) for k in range(5)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == set(range(1, 40)) and {r.class_id for r in found} == {1}
+    assert all(r.start_word <= 30 + r.doc_id and r.end_word >= 150 + r.doc_id for r in found)
+
+
 def test_slots_are_the_plain_order(spark):
     """Shards are stretches of one order by text's CRC-32 and hashed id, and slots count along it."""
     rows = queries.op3_sharding(spark, SF1).withColumn("d", F.shiftrightunsigned(F.xxhash64("doc_id"), 12)).collect()
