@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
-from .parts import by_days, lag_in_parts
+from .parts import by_hours, lag_in_parts
 
 
 def nearest_candidates(left: DataFrame, right: DataFrame, tolerance_s: int, keys: list[str] = (), carried: list[str] = ()) -> DataFrame:
@@ -68,7 +68,7 @@ def event_changes(obs: DataFrame, max_minutes: int = 20) -> DataFrame:
     """Change from the previous stamp of a sensor where it is 0 to max_minutes later in one segment; copies of a stamp all go."""
     d = F.timestamp_diff("MICROSECOND", F.col("_p.stamp"), F.col("stamp"))
     n = F.count("*").over(Window.partitionBy("sensor", "stamp"))
-    seen = lag_in_parts(obs, ["sensor"], by_days(F.col("stamp")), "stamp", F.struct("stamp", "value", "segment"), "_p")
+    seen = lag_in_parts(obs, ["sensor"], by_hours(F.col("stamp")), "stamp", F.struct("stamp", "value", "segment"), "_p")
     return (seen.withColumn("_n", n).where((d > 0) & (d <= max_minutes * 60_000_000) & (F.col("segment") == F.col("_p.segment")) & (F.col("_n") == 1))
             .withColumn("value", F.col("value") - F.col("_p.value")).drop("_p", "_n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import minutes_between
-from .parts import by_days, lag_in_parts
+from .parts import by_hours, lag_in_parts
 
 
 def flag_counts(df: DataFrame) -> list[Column]:
@@ -36,7 +36,7 @@ def missingness_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 def gap_lengths(df: DataFrame, keys: list[str]) -> DataFrame:
     """Histogram of missing intervals between distinct, ordered stamps."""
     d = df.where("stamp is not null").select(*keys, "stamp", "expected_min").distinct()
-    d = lag_in_parts(d, keys, by_days(F.col("stamp")), "stamp", F.col("stamp"), "_p")
+    d = lag_in_parts(d, keys, by_hours(F.col("stamp")), "stamp", F.col("stamp"), "_p")
     step = minutes_between(F.col("_p"), F.col("stamp"))
     return (d.withColumn("missing", (F.floor(step / F.col("expected_min")) - 1).cast("bigint")).where("missing > 0")
             .groupBy(*keys, "missing").agg(F.count("*").alias("n_gaps")))

@@ -8,16 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Years of a daily series, and days of a sub-daily one, that one task orders.
-PART_YEARS, PART_DAYS = 10, 1000
+#: Years of a daily series, and hours of a sub-daily one, that one task orders: many readings may share a stamp.
+PART_YEARS, PART_HOURS = 10, 6
 
 
 def by_years(day: Column) -> Column:
     return F.floor(F.year(day) / PART_YEARS)
 
 
-def by_days(stamp: Column) -> Column:
-    return F.floor(F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")) / PART_DAYS)
+def by_hours(stamp: Column) -> Column:
+    return F.floor((F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")) * 24 + F.hour(stamp)) / PART_HOURS)
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -31,14 +31,14 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 
 def lag_in_parts(df: DataFrame, keys: list[str], part: Column, order: str | Column, value: Column, name: str) -> DataFrame:
     """The previous row's value in order within keys. part must not decrease along order. Rows are sorted within (keys, part) only;
-    the last value of each part, one row a part, carries over to the next part that has rows."""
+    the last value of each part, one row a part, stands before the rows of the next part that has some, so that the rows move once."""
     order = F.col(order) if isinstance(order, str) else order
-    df = df.withColumn("_part", part)
-    inside = Window.partitionBy(*keys, "_part").orderBy(order)
-    tails = df.groupBy(*keys, "_part").agg(F.max_by(value, order).alias("_tail"))
-    carried = tails.select(*keys, "_part", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_part")).alias("_carried"))
-    out = joined(df.withColumns({"_first": F.row_number().over(inside) == 1, "_inside": F.lag(value).over(inside)}), carried, [*keys, "_part"])
-    return out.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inside"))).drop("_part", "_first", "_inside", "_carried")
+    df = df.withColumns({"_part": part, "_value": value})
+    tails = df.groupBy(*keys, "_part").agg(F.max_by("_value", order).alias("_value"))
+    carried = tails.select(*keys, "_part", F.lag("_value").over(Window.partitionBy(*keys).orderBy("_part")).alias("_value"), F.lit(False).alias("_own"))
+    both = df.withColumn("_own", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_own", order)
+    return both.withColumn(name, F.lag("_value").over(inside)).where("_own").drop("_part", "_value", "_own")
 
 
 def islands(df: DataFrame, keys: list[str], part: Column, order: str, value: Column, starts: Callable[[Column, Column], Column], name: str) -> DataFrame:

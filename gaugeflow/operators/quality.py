@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import SENTINELS, is_nonfinite, minutes_between, parse_number, water_year
-from .parts import by_days, lag_in_parts
+from ..functions.scalar import NONFINITE_TOKENS, SENTINELS, minutes_between, parse_number, water_year
+from .parts import by_hours, lag_in_parts
 
 #: Source rows of a member that one task orders.
-PART_ROWS = 1_000_000
+PART_ROWS = 200_000
 #: Flags that make a level unfit for analysis.
 FATAL = (
     "flag_timestamp_parse_failure", "flag_duplicate_timestamp", "flag_missing_value", "flag_nonfinite_value", "flag_malformed_value",
@@ -27,17 +27,21 @@ def _on(flag: str) -> Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
 
+def _copies(*keys: str) -> Column:
+    """Rows with the same keys and stamp; those without a stamp, whose number tells nothing, stay apart."""
+    return F.count("*").over(Window.partitionBy(*keys, "stamp", F.when(F.col("stamp").isNull(), F.col("row_no"))))
+
+
 def time_flags(df: DataFrame) -> DataFrame:
     """Steps from the immediately previous source row; unparsed stamps break the chain."""
     df = lag_in_parts(df, ["member"], F.floor(F.col("row_no") / PART_ROWS), "row_no", F.struct("stamp"), "_prev")
     delta = minutes_between(F.col("_prev.stamp"), F.col("stamp"))
     d, e = F.col("delta_min"), F.col("expected_min")
-    copies = F.count("*").over(Window.partitionBy("member", "stamp"))
     return (df.withColumn("delta_min", delta).drop("_prev").withColumns({
         "water_year": water_year(F.col("stamp")),
         "missing_before": F.greatest(F.when(d > e, F.floor(d / e) - 1).otherwise(0), F.lit(0)).cast("bigint"),
         "flag_timestamp_parse_failure": F.col("stamp").isNull(),
-        "flag_duplicate_timestamp_in_member": F.col("stamp").isNotNull() & (copies > 1),
+        "flag_duplicate_timestamp_in_member": F.col("stamp").isNotNull() & (_copies("member") > 1),
         "flag_off_grid_timestamp": F.coalesce((d > 0) & (F.pmod(d, e) != 0), F.lit(False)),
         "flag_irregular_timestamp_step": F.coalesce(d != e, F.lit(False)),
         "flag_gap_before": F.coalesce(d > e, F.lit(False)),
@@ -46,21 +50,19 @@ def time_flags(df: DataFrame) -> DataFrame:
 
 
 def cross_member_duplicates(df: DataFrame) -> DataFrame:
-    copies = F.count("*").over(Window.partitionBy("product", "sensor", "role", "stamp"))
-    return df.withColumn("flag_duplicate_timestamp", F.col("stamp").isNotNull() & (copies > 1))
+    return df.withColumn("flag_duplicate_timestamp", F.col("stamp").isNotNull() & (_copies("product", "sensor", "role") > 1))
 
 
 def value_flags(df: DataFrame) -> DataFrame:
     text = F.trim("value_text")
-    bad = is_nonfinite(F.col("value_text"))
-    number = parse_number(F.col("value_text"))
+    df = df.withColumns({"value": parse_number(F.col("value_text")), "_bad": F.lower(text).isin(*NONFINITE_TOKENS)})
+    number, bad = F.col("value"), F.col("_bad") | F.coalesce(F.abs("value") == float("inf"), F.lit(False))
     return df.withColumns({
-        "value": number,
         "flag_missing_value": F.coalesce(text == "", F.lit(False)),
         "flag_nonfinite_value": F.coalesce(bad, F.lit(False)),
         "flag_malformed_value": F.coalesce((text != "") & number.isNull() & ~bad, F.lit(False)),
         "flag_sentinel_candidate": F.coalesce(number.isin(*SENTINELS), F.lit(False)),
-    })
+    }).drop("_bad")
 
 
 def range_flags(df: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -70,22 +72,30 @@ def range_flags(df: DataFrame, ranges: DataFrame) -> DataFrame:
     return out.withColumn("flag_metadata_range_concern", F.coalesce(F.col("value") < F.col("_lo"), F.lit(False)) | F.coalesce(F.col("value") > F.col("_hi"), F.lit(False))).drop("_lo", "_hi")
 
 
-def cumulative_flags(df: DataFrame) -> DataFrame:
-    """Changes of cumulative series from the previous row of (product, sensor, role) in time, then source, order."""
+def with_previous(df: DataFrame) -> DataFrame:
+    """_p: value and water_year of the previous row of (product, sensor, role) in time, then source, order, in cumulative series. Rows of other series stay where they are."""
     order = F.struct(F.col("stamp").isNull().alias("none"), "stamp", "row_no", "member", *(["position"] if "position" in df.columns else []))
-    part = F.coalesce(by_days(F.col("stamp")), F.lit(2**31))  # unparsed stamps come last
-    gone = F.col("is_cumulative")
+    part = F.coalesce(by_hours(F.col("stamp")), F.lit(2**31) + F.floor(F.col("row_no") / PART_ROWS))  # unparsed stamps come last, in source order
+    gone = F.coalesce("is_cumulative", F.lit(False))
+    before = lag_in_parts(df.where(gone), ["product", "sensor", "role"], part, order, F.struct("value", "water_year"), "_p")
+    return before.unionByName(df.where(~gone), allowMissingColumns=True)
+
+
+def change_flags(df: DataFrame) -> DataFrame:
+    """Changes since the previous row, of rows with_previous."""
     df = df.withColumns({f: F.lit(False) for f in ("flag_documented_change_boundary", "flag_documented_maintenance_or_outage") if f not in df.columns})
-    df = lag_in_parts(df, ["product", "sensor", "role"], part, order, F.struct("value", "water_year"), "_p").withColumns({"_v": F.col("_p.value"), "_wy": F.col("_p.water_year")})
-    change = F.when(gone, F.col("value") - F.col("_v"))
-    boundary = gone & F.col("_wy").isNotNull() & F.col("water_year").isNotNull() & (F.col("_wy") != F.col("water_year"))
-    negative = F.coalesce(F.col("value_change") < 0, F.lit(False))
-    return df.withColumn("value_change", change).withColumns({
-        "flag_water_year_boundary": F.coalesce(boundary, F.lit(False)),
-        "flag_water_year_reset": F.coalesce(boundary, F.lit(False)) & negative,
+    gone, wy = F.coalesce("is_cumulative", F.lit(False)), F.col("_p.water_year")
+    df = df.withColumns({"value_change": F.when(gone, F.col("value") - F.col("_p.value")), "flag_water_year_boundary": F.coalesce(gone & (wy != F.col("water_year")), F.lit(False))}).drop("_p")
+    boundary, negative = F.col("flag_water_year_boundary"), F.coalesce(F.col("value_change") < 0, F.lit(False))
+    return df.withColumns({
+        "flag_water_year_reset": boundary & negative,
         "flag_negative_increment": negative,
-        "flag_unexplained_negative_increment": negative & ~(F.coalesce(boundary, F.lit(False)) | _on("flag_documented_change_boundary") | _on("flag_documented_maintenance_or_outage") | _on("flag_gap_before")),
-    }).drop("_v", "_wy", "_p")
+        "flag_unexplained_negative_increment": negative & ~(boundary | _on("flag_documented_change_boundary") | _on("flag_documented_maintenance_or_outage") | _on("flag_gap_before")),
+    })
+
+
+def cumulative_flags(df: DataFrame) -> DataFrame:
+    return df.transform(with_previous).transform(change_flags)
 
 
 def level_eligibility(df: DataFrame) -> DataFrame:

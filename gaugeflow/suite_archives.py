@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import ingest
@@ -22,7 +22,8 @@ _RANGES = "(VALUES ('P3', 10.0, 90.0), ('E2', NULL, 50.0)) AS t(sensor, lo, hi)"
 
 
 def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as 15-minute archives, one a station with two members, and orders by day as a daily one: (archive, member, line_no, line)."""
+    """events as 15-minute archives, one a station with two members, and orders by day as a daily one: (archive, member, line_no, line), where
+    line_no ascends within a member, lowest in its first four lines."""
     e, r = table(spark, sf_dir, "events"), F.col("event_id") % 41
     kind = F.col("event_type")
     text = (F.when(r == 3, "").when(r == 5, "NaN").when(r == 7, "x1").when(r == 11, "-9999").when(r == 13, " 1e2 ").when(r == 17, "1d")
@@ -38,10 +39,10 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = days.select(F.lit("orders_daily.zip").alias("archive"), F.lit("Station_toe_all.csv").alias("member"), F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("_order"),
                         F.concat_ws(",", F.date_format("day", "M/d/yyyy"), "n", "v").alias("line"))
     rows = fine.unionByName(daily)
-    place = (F.row_number().over(Window.partitionBy("archive", "member").orderBy("_order")) + 4).cast("bigint")
+    place = F.coalesce("_order", F.lit(2**63 - 1))
     header = F.when(F.col("archive") == "orders_daily.zip", "date,rain_R1,press_P3").otherwise(_HEADER)
     top = rows.select("archive", "member").distinct().select("archive", "member", F.posexplode(F.array(F.lit("﻿A network"), F.lit("no warranty"), F.lit("made from events"), header)).alias("at", "line"))
-    return rows.select("archive", "member", place.alias("line_no"), "line").unionByName(top.select("archive", "member", (F.col("at") + 1).cast("bigint").alias("line_no"), "line"))
+    return rows.select("archive", "member", place.alias("line_no"), "line").unionByName(top.select("archive", "member", (F.col("at") + F.lit(-(2**63))).cast("bigint").alias("line_no"), "line"))
 
 
 def archives(spark: SparkSession, sf_dir: str) -> str:

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeflow.operators import parts, quality
 from gaugeflow.plans import ingest
 from gaugeflow.sources import monitoring
 
@@ -102,3 +103,43 @@ def test_written_archives_hold_the_lines(spark, tmp_path):
             assert z.testzip() is None and z.namelist() == ["toe.csv", "upper.csv"]
             assert z.read("upper.csv").decode().splitlines() == [f"{p}upper{i}é" for i in range(50)]
     assert monitoring.listed(f"file://{tmp_path}/z") == [f"file://{tmp_path}/z/{p}_15_Minute.zip" for p in "ab"]
+
+
+def test_an_archive_is_deflated_by_many_tasks(spark, tmp_path):
+    assert all(monitoring.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b) for a in (b"", b"ab", b"x" * 999) for b in (b"", b"c", bytes(70_000)))
+    df = spark.range(40_000).selectExpr("'a_daily.zip' archive", "if(id < 35000, 'toe.csv', 'upper.csv') member", "id line_no", "concat(id, ',é') line").repartition(7)
+    whole = ["".join(f"{i},é\n" for i in r).encode() for r in (range(35_000), range(35_000, 40_000))]
+    for name, compressed in (("packed", True), ("plain", False)):
+        assert monitoring.write_archives(df, str(tmp_path / name), compressed) == 1
+        assert [p.name for p in (tmp_path / name).iterdir() if not p.name.endswith(".crc")] == ["a_daily.zip"]
+        with zipfile.ZipFile(tmp_path / name / "a_daily.zip") as z:
+            assert z.testzip() is None and [z.read(m) for m in z.namelist()] == whole
+            assert [i.file_size for i in z.infolist()] == [len(w) for w in whole]
+    assert (tmp_path / "packed" / "a_daily.zip").read_bytes().count(b"\x00\x00\xff\xff") >= 4  # pieces end in a flush
+
+
+def test_ranges_of_a_member_are_bounded(spark, tmp_path):
+    text = fine(3000).replace("\r\n10/5/", "\n\n\r\n10/5/")
+    archive(tmp_path / "A_15_Minute.zip", {"toe.csv": text})
+    assert len(monitoring.planned(str(tmp_path), 100)) == monitoring.RANGES
+    rows = monitoring.read_rows(spark, str(tmp_path), ["R1", "E2"], ["R1"], 100).orderBy("row_no").collect()
+    assert [(r.row_no, r.fields[2].value_text) for r in rows] == [(i + 5, f"é{i}") for i in range(3000)]
+
+
+def test_series_are_ordered_in_small_parts(spark):
+    many = spark.range(2880).selectExpr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 15 * cast(id as int)) stamp")
+    assert many.groupBy(parts.by_hours(F.col("stamp"))).count().count() == 120
+    rows = spark.range(10).selectExpr("'m' member", "'15_minute' product", "'E2' sensor", "'15_minute_observation' role", "cast(null as timestamp_ntz) stamp", "id row_no", "cast(id as string) value_text",
+                                      "15.0D expected_min", "id % 2 = 0 is_cumulative")
+    found = quality.flagged(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN isnull(stamp") >= 2  # rows without a stamp are no group
+    got = {r.row_no: (r.value_change, r.flag_duplicate_timestamp, r.flag_duplicate_timestamp_in_member) for r in found.collect()}
+    assert got == {i: (2.0 if i % 2 == 0 and i else None, False, False) for i in range(10)}
+
+
+def test_source_rows_are_read_once(spark, tmp_path):
+    archive(tmp_path / "A_15_Minute.zip", {"toe.csv": fine(200), "upper.csv": fine(100)})
+    got = ingest.monitoring_observations(spark, str(tmp_path), ["R1", "E2"], operating(spark), ["R1"], ["E2"])
+    assert "monitoring_archive" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.member[16:], r.flag_duplicate_timestamp, r.n) for r in got.groupBy("member", "flag_duplicate_timestamp").agg(F.count("*").alias("n")).collect()} == {
+        ("toe.csv", True, 300), ("toe.csv", False, 300), ("upper.csv", True, 300)}
